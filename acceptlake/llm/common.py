@@ -96,16 +96,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts one after another (null: none), and the places where each starts, with the end."""
+    texts = pc.fill_null(texts, "")
+    _, places, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of each span."""
+    power, back = _powers(_BASE, len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * power[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * back[start])
+
+
 class Words:
     """Words of a slice of texts. first[i]:first[i+1] are those of text i; start and end are byte places in data; hash is 64 bit."""
 
     def __init__(self, texts: pa.Array, is_word: np.ndarray, lower: bool):
-        texts = pc.fill_null(texts, "")
-        wide = pa.types.is_large_string(texts.type)
-        _, places, data = texts.buffers()
-        at = np.frombuffer(places, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(at) else np.zeros(0, np.uint8)
-        at = at - at[0] if len(at) else np.zeros(1, np.int64)
+        raw, at = text_bytes(texts)
         self.raw, self.at, self.data = raw, at, _LOWER[raw] if lower else raw
         inside = is_word[self.data]
         begins, ends = inside.copy(), inside.copy()
@@ -119,10 +132,7 @@ class Words:
         self.first = np.searchsorted(self.start, at)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.count)
-        power, back = _powers(_BASE, len(raw) + 1)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[self.data] * power[: len(raw)], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * back[self.start])
+        self.hash = span_hashes(self.data, self.start, self.end)
 
     def runs(self, n: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """First words of all runs of n words inside one text, and the runs' hashes."""

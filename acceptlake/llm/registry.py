@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES and SQL, in the order of the operators' numbers.
-MODULES = ("decontamination", "mixing", "language_id", "token_files", "sharding")
+MODULES = ("ngram_join", "decontamination", "mixing", "language_id", "token_files", "substring_dedup", "sharding")
 
 
 def _modules():

@@ -6,14 +6,14 @@ Documents are put in ascending id order by range partitions; each partition enco
 start and n_tokens in the file. A file is written under a name of the task attempt and then moved, so that a task that runs again
 leaves the same files. The files' own sizes, a row each, give the global starts by a window; ids never pass through the driver.
 
-Encoding: byte-level pre-tokens never cross from a non-space into a following space or line break, so a text is cut there, and
-each distinct piece is encoded once by the tokenizers library and kept in a bounded cache; texts with other runs of white
-space, or NUL, are encoded whole. Null and empty texts give the end id alone. Repeated rows are encoded each; null ids come first.
+Encoding: byte-level pre-tokens never cross from a non-space into a following space or line break, nor from a letter into an
+ASCII mark, so a text is cut there, and each different piece is encoded once by the tokenizers library and kept in a bounded cache;
+texts with other runs of white space are encoded whole. Null and empty texts give the end id alone. Repeated rows are encoded each; null ids come first.
 """
 
 from __future__ import annotations
 
-import re
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -24,37 +24,126 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, slices, staged
+from .common import scratch_dir, slices, span_hashes, staged, text_bytes
 
-SEQUENCE, BATCH, FILE_BYTES, CACHE = 2048, 256, 32 << 20, 400_000
-_UNEVEN = re.compile(r"\s[ \n]|\x00")
+SEQUENCE, BATCH, FILE_BYTES = 2048, 256, 32 << 20
+#: Different pieces whose ids a Python worker keeps (about 30 bytes each).
+CACHE = 3_000_000
+_U = np.uint64
+
+
+def _table(test) -> np.ndarray:
+    return np.array([test(b) for b in range(256)])
+
+
+_LETTER = _table(lambda b: chr(b).isascii() and chr(b).isalpha())
+_MARK = _table(lambda b: 0x21 <= b <= 0x7E and not chr(b).isalnum())
+_BLANK = _table(lambda b: 9 <= b <= 13 or 0x1C <= b <= 0x20)
+_WIDE_BLANKS = ["\u0085", "\u00a0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 
 
 class Encoder:
-    """bytes of little-endian ids for a text."""
+    """Ids of texts; one for each tokenizer in a Python worker, kept between tasks. Pieces are known by 64-bit hashes."""
+
+    _made: dict[tuple[str, str], Encoder] = {}
 
     def __init__(self, path: str, dtype: np.dtype):
         from tokenizers import Tokenizer
 
-        self.library, self.dtype, self.cache = Tokenizer.from_file(path), dtype, {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if _UNEVEN.search(text):
-            return self.whole([text])[0]
-        pieces = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            new = [p for p in dict.fromkeys(pieces) if p not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(dict.fromkeys(pieces))
-        cache.update(zip(new, self.whole(new), strict=True))
-        return b"".join([cache[p] for p in pieces])
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.library, self.dtype = Tokenizer.from_file(path), dtype
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(token)  # one character stands for one byte
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.place, self.n, self.store = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    @classmethod
+    def at(cls, path: str, dtype: np.dtype) -> Encoder:
+        key = (path, dtype.str)
+        if key not in cls._made:
+            cls._made[key] = cls(path, dtype)
+        return cls._made[key]
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Encode new pieces. Those that start with a space or line break and end in no blank are joined to longer texts, whose
+        ids are parted by the bytes they stand for; the rest are encoded one by one."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        joins = np.array([p[0] in (10, 32) and not _BLANK[p[-1]] for p in pieces], bool)
+        joined, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
+        for a in range(0, len(joined), 8192):
+            part = joined[a : a + 8192]
+            data = [pieces[i] for i in part]
+            ids = self.whole([b"".join(data).decode()])[0]
+            ends, stops = np.cumsum([len(p) for p in data]), np.cumsum(self.length[ids])
+            cut = np.searchsorted(stops, ends)
+            if cut[-1] == len(ids) - 1 and (stops[np.minimum(cut, len(ids) - 1)] == ends).all():
+                found.append((keys[part], np.diff(np.concatenate([[-1], cut])), ids))
+            else:
+                alone = np.concatenate([alone, part])
+        if len(alone):
+            ids = self.whole([pieces[i].decode() for i in alone])
+            found.append((keys[alone], np.array([len(x) for x in ids]), np.concatenate(ids)))
+        key, n, ids = (np.concatenate([f[k] for f in found]) for k in range(3))
+        key, n = np.concatenate([self.keys, key]), np.concatenate([self.n, n])
+        place = np.concatenate([self.place, len(self.store) + np.cumsum(n[len(self.keys) :]) - n[len(self.keys) :]])
+        order = np.argsort(key, kind="stable")
+        self.keys, self.n, self.place, self.store = key[order], n[order], place[order], np.concatenate([self.store, ids])
+
+    def _uneven(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Texts in which a blank comes before a space or line break."""
+        gap = np.flatnonzero((raw[1:] == 32) | (raw[1:] == 10))
+        before = raw[gap]
+        odd = list(gap[_BLANK[before]] + 1)
+        for i in (gap[before >= 0x80] + 1).tolist():
+            if bytes(raw[max(0, i - 3) : i]).endswith(tuple(c.encode() for c in _WIDE_BLANKS)):
+                odd.append(i)
+        odd = np.array(odd, np.int64)
+        text = np.searchsorted(at, odd, side="right") - 1
+        return np.unique(text[odd > at[text]])
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, the end id after each text, and the number of ids of each text."""
+        raw, at = text_bytes(texts)
+        begins = (raw == 32) | (raw == 10)
+        wide = np.zeros(len(raw), bool)  # the last byte of a letter of U+00C0 to U+024F
+        wide[1:] = (raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC9) & (raw[1:] >= 0x80) & ~((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))
+        begins[1:] |= _MARK[raw[1:]] & (_LETTER[raw[:-1]] | wide[:-1])
+        begins[at[:-1][at[:-1] < at[1:]]] = True
+        start = np.flatnonzero(begins)
+        stop = np.append(start[1:], len(raw)) if len(start) else start
+        hashes = span_hashes(raw, start, stop)
+        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE:
+            self._clear()
+        k = np.searchsorted(self.keys, unique)
+        new = np.flatnonzero(self.keys[np.minimum(k, len(self.keys) - 1)] != unique) if len(self.keys) else np.arange(len(unique))
+        if len(new):
+            data = raw.tobytes()
+            self._add(unique[new], [data[start[i] : stop[i]] for i in first[new].tolist()])
+            k = np.searchsorted(self.keys, unique)
+        n, place = self.n[k][back], self.place[k][back]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.store[np.repeat(place - total[:-1], n) + np.arange(total[-1])]
+        cut = total[np.searchsorted(start, at)]
+        sizes = np.diff(cut)
+        uneven = self._uneven(raw, at)
+        if len(uneven):
+            parts = [ids[cut[i] : cut[i + 1]] for i in range(len(texts))]
+            for i, own in zip(uneven.tolist(), self.whole([texts[i].as_py() for i in uneven.tolist()]), strict=True):
+                parts[i], sizes[i] = own, len(own)
+            ids = np.concatenate(parts)
+        out = np.full(len(ids) + len(texts), end_id, self.dtype)
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(sizes + 1) - 1] = False
+        out[keep] = ids
+        return out, sizes + 1
 
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
@@ -75,19 +164,18 @@ class _Writer:
         self.files = [pa.ipc.new_file(s, schema) for s, schema in zip(self.sinks, (self.schema, _DOCS), strict=True)]
         self.held, self.size, self.tokens, self.docs = [], 0, 0, 0
 
-    def add(self, doc_ids: list[int | None], rows: list[bytes]) -> None:
-        sizes = np.array([len(r) // self.dtype.itemsize for r in rows], np.int64)
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         starts = self.tokens + np.cumsum(sizes) - sizes
-        self.files[1].write(pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes)], schema=_DOCS))
-        self.held += rows
-        self.size += int(sizes.sum())
-        self.tokens += int(sizes.sum())
-        self.docs += len(rows)
+        self.files[1].write(pa.record_batch([doc_ids, pa.array(starts), pa.array(sizes)], schema=_DOCS))
+        self.held.append(ids)
+        self.size += len(ids)
+        self.tokens += len(ids)
+        self.docs += len(sizes)
         if self.size >= BATCH * self.length:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.held), self.dtype)
+        ids = np.concatenate([np.zeros(0, self.dtype), *self.held])
         step = BATCH * self.length
         full = len(ids) // step * step
         for a in range(0, full, step):
@@ -95,7 +183,7 @@ class _Writer:
         if last and full < len(ids):
             self._batch(ids[full:], len(ids) - full)
             full = len(ids)
-        self.held, self.size = [ids[full:].tobytes()], len(ids) - full
+        self.held, self.size = [ids[full:]], len(ids) - full
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
         whole = -(-real // self.length) * self.length
@@ -124,15 +212,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    made: list[Encoder] = []
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Encoder(tokenizer, dtype))
-        end, out, part = np.array([end_id], dtype).tobytes(), None, TaskContext.get().partitionId()
+        encoder = Encoder.at(tokenizer, dtype)
+        out, part = None, TaskContext.get().partitionId()
         for rows in slices(batches, "text"):
             out = out or _Writer(folder, part, dtype, length)
-            out.add(rows.column(0).to_pylist(), [made[0](t) + end if t else end for t in rows.column(1).to_pylist()])
+            out.add(rows.column(0), *encoder.encode(rows.column(1), end_id))
         if out:
             names = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array(names[:1]), pa.array(names[1:]), pa.array([out.docs], pa.int64()), pa.array([out.tokens], pa.int64())], ["part", "ids_file", "docs_file", "n_docs", "n_tokens"])
