@@ -8,12 +8,13 @@ leaves the same files. The files' own sizes, a row each, give the global starts
 
 Encoding: byte-level pre-tokens never cross from a non-space into a following space or line break, nor from a letter into an
 ASCII mark, so a text is cut there, and each different piece is encoded once by the tokenizers library and kept in a bounded cache;
-texts with other runs of white space are encoded whole. Null and empty texts give the end id alone. Repeated rows are encoded each; null ids come first.
+texts with other runs of white space, or with a special token, are encoded whole. Null and empty texts give the end id alone. Repeated rows are encoded each; null ids come first.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -53,6 +54,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library, self.dtype = Tokenizer.from_file(path), dtype
         vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.length[i] = len(token)  # one character stands for one byte
@@ -96,8 +98,8 @@ class Encoder:
         order = np.argsort(key, kind="stable")
         self.keys, self.n, self.place, self.store = key[order], n[order], place[order], np.concatenate([self.store, ids])
 
-    def _uneven(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Texts in which a blank comes before a space or line break."""
+    def _uneven(self, raw: np.ndarray, at: np.ndarray, data: bytes) -> np.ndarray:
+        """Texts in which a blank comes before a space or line break, or that hold an added token."""
         gap = np.flatnonzero((raw[1:] == 32) | (raw[1:] == 10))
         before = raw[gap]
         odd = list(gap[_BLANK[before]] + 1)
@@ -106,11 +108,13 @@ class Encoder:
                 odd.append(i)
         odd = np.array(odd, np.int64)
         text = np.searchsorted(at, odd, side="right") - 1
-        return np.unique(text[odd > at[text]])
+        special = np.array([m.start() for token in self.special for m in re.finditer(re.escape(token), data)], np.int64)
+        return np.unique(np.concatenate([text[odd > at[text]], np.searchsorted(at, special, side="right") - 1]))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and the number of ids of each text."""
         raw, at = text_bytes(texts)
+        data = raw.tobytes()
         begins = (raw == 32) | (raw == 10)
         wide = np.zeros(len(raw), bool)  # the last byte of a letter of U+00C0 to U+024F
         wide[1:] = (raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC9) & (raw[1:] >= 0x80) & ~((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))
@@ -125,7 +129,6 @@ class Encoder:
         k = np.searchsorted(self.keys, unique)
         new = np.flatnonzero(self.keys[np.minimum(k, len(self.keys) - 1)] != unique) if len(self.keys) else np.arange(len(unique))
         if len(new):
-            data = raw.tobytes()
             self._add(unique[new], [data[start[i] : stop[i]] for i in first[new].tolist()])
             k = np.searchsorted(self.keys, unique)
         n, place = self.n[k][back], self.place[k][back]
@@ -133,7 +136,7 @@ class Encoder:
         ids = self.store[np.repeat(place - total[:-1], n) + np.arange(total[-1])]
         cut = total[np.searchsorted(start, at)]
         sizes = np.diff(cut)
-        uneven = self._uneven(raw, at)
+        uneven = self._uneven(raw, at, data)
         if len(uneven):
             parts = [ids[cut[i] : cut[i + 1]] for i in range(len(texts))]
             for i, own in zip(uneven.tolist(), self.whole([texts[i].as_py() for i in uneven.tolist()]), strict=True):
