@@ -35,7 +35,7 @@ from .common import SPACE_WORDS, Words, mix, slices, staged
 
 LEAF = 32
 #: Shingles to a coordinate of the coarse points, about.
-PER_GROUP = 8
+PER_GROUP = 4
 #: Words in the table of frequent words, and places in its hashed form; fixed sizes.
 FREQUENT, PLACES = 1 << 17, 1 << 20
 #: Members that one task verifies against one pivot, about.
@@ -94,12 +94,16 @@ def groups(size: int) -> int:
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
+    """Group counts in one byte each; should a count not fit, all coordinates are set to the most, so that nothing is ruled out by them."""
     n = groups(len(hashes))
-    return np.bincount((hashes & _U(n - 1)).astype(np.int64), minlength=n).astype(np.uint16)
+    counts = np.bincount((hashes & _U(n - 1)).astype(np.int64), minlength=n)
+    return counts.astype(np.uint8) if counts.max() < 255 else np.full(n, 255, np.uint8)
 
 
 def folded(v: np.ndarray, n: int) -> np.ndarray:
     """The point(s) with n coordinates instead of more: group = hash modulo n."""
+    if v.shape[-1] > n:
+        v = v.astype(np.uint16)
     while v.shape[-1] > n:
         v = v[..., : v.shape[-1] // 2] + v[..., v.shape[-1] // 2 :]
     return v
@@ -162,52 +166,50 @@ def dealt(texts: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFra
     return texts.mapInArrow(scan, "id long, size long, class long, cells array<long>")
 
 
-def _members(cells: DataFrame, percent: int) -> DataFrame:
-    """Of sorted (cell, size, class) rows those whose cell has several classes, with a pivot: the first class of about the same size."""
+def _members(cells: DataFrame) -> DataFrame:
+    """Of (cell, size, class) rows those whose cell has several classes. One pass over sorted rows; a cell may span batches."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        many, pivot = None, (None, None)  # the last cell if rows of it have gone out; its last size step and pivot
-        last = (None, None)
-
-        def settle(c, s, k, open_end):
-            nonlocal held, many, pivot
+        held = [np.zeros(0, np.int64)] * 3  # the last row, as long as it is the only class of its cell
+        many, last = None, (None, None)  # the last cell of which rows have gone out; the last row
+        for batch in batches:
+            c, s, k = (np.concatenate([h, batch.column(x).to_numpy()]) for x, h in enumerate(held))
+            fresh = np.ones(len(c), bool)
+            fresh[1:] = (c[1:] != c[:-1]) | (k[1:] != k[:-1])
+            fresh[0] = len(held[0]) > 0 or (c[0], k[0]) != last
+            last = (c[-1], k[-1])
+            c, s, k = c[fresh], s[fresh], k[fresh]
+            held = [np.zeros(0, np.int64)] * 3
             if not len(c):
-                held = [c, s, k]
-                return None
+                continue
             new = np.ones(len(c), bool)
             new[1:] = c[1:] != c[:-1]
             start = np.flatnonzero(new)
             count = np.diff(np.append(start, len(c)))
             several = count > 1
             several[0] |= c[0] == many
-            held = [np.zeros(0, np.int64)] * 3
-            if open_end and not several[-1]:
+            if several[-1]:
+                many = c[-1]
+            else:
                 held = [x[start[-1] :] for x in (c, s, k)]
             out = np.repeat(several, count)
-            step = np.floor(np.log(np.maximum(s, 1)) / -np.log(percent / 100)).astype(np.int64)
-            head = new.copy()
-            head[1:] |= step[1:] != step[:-1]
-            lead = k[np.maximum.accumulate(np.where(head, np.arange(len(c)), 0))]
-            if c[0] == many and step[0] == pivot[0]:
-                following = np.flatnonzero(head[1:])
-                lead[: following[0] + 1 if len(following) else len(lead)] = pivot[1]
-            if several[-1]:
-                many, pivot = c[-1], (step[-1], lead[-1])
-            return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (c, s, k, lead)], ["cell", "size", "class", "pivot"])
-
-        for batch in batches:
-            c, s, k = (np.concatenate([h, batch.column(x).to_numpy()]) for x, h in enumerate(held))
-            fresh = np.ones(len(c), bool)
-            fresh[1:] = (c[1:] != c[:-1]) | (k[1:] != k[:-1])
-            if len(c) and not len(held[0]) and (c[0], k[0]) == last:
-                fresh[0] = False
-            last = (c[-1], k[-1]) if len(c) else last
-            if (out := settle(c[fresh], s[fresh], k[fresh], True)) is not None and out.num_rows:
-                yield out
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (c, s, k)], ["cell", "size", "class"])
 
     sorted_cells = cells.repartition("cell").sortWithinPartitions("cell", "size", "class")
-    return sorted_cells.mapInArrow(scan, "cell long, size long, class long, pivot long")
+    return sorted_cells.mapInArrow(scan, "cell long, size long, class long")
+
+
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """(x, y): for each class y the pivot x it shares most cells with. The pivot of a cell, among sets of about one size, is the class
+    the largest part of whose cells is shared: the text that the others are copies of rather than a copy with changes of its own."""
+    shared = members.groupBy("class").agg((F.count("*") / F.first("size")).alias("part"))
+    step = F.floor(F.log("size") / -float(np.log(percent / 100))).alias("step")
+    stepped = members.select("cell", "class", step)
+    pivots = stepped.join(shared, "class").groupBy("cell", "step").agg(F.max_by("class", F.struct("part", "class")).alias("pivot"))
+    shares = stepped.join(pivots, ["cell", "step"]).where(F.col("class") != F.col("pivot")).groupBy("class", "pivot").count()
+    stars = shares.groupBy("class").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
+    return stars.select(F.col("pivot").alias("x"), F.col("class").alias("y"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -284,29 +286,91 @@ class _Leaves:
                     yield int(a[1][i]), int(b[1][t])
 
 
+class _Rows:
+    """Points of a batch of rows (cell, size, class, comp, point): gathered by row for the bounds inside a leaf."""
+
+    def __init__(self, columns: list[pa.Array]):
+        self.columns = columns
+        self.cell, self.size, self.key, self.comp = (c.to_numpy() for c in columns[:4])
+        point = columns[4]
+        self.at = np.frombuffer(point.buffers()[1], np.int32)[point.offset : point.offset + len(point) + 1].astype(np.int64)
+        self.data = np.frombuffer(point.buffers()[2], np.uint8)
+        self.n = np.diff(self.at)
+
+    def point(self, i: int) -> np.ndarray:
+        return self.data[self.at[i] : self.at[i + 1]]
+
+    def near(self, ok: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """Pairs of rows of one cell, both in `ok`, that pass sizes, components and the bound: neighbours at each distance in turn."""
+        found = []
+        for lag in range(1, LEAF):
+            i = np.flatnonzero(ok[:-lag] & (self.cell[:-lag] == self.cell[lag:])) if lag < len(self.cell) else []
+            if not len(i):
+                break
+            j = i + lag
+            need = _needed(self.size[i] + self.size[j], percent)
+            keep = (self.comp[i] != self.comp[j]) & (np.minimum(self.size[i], self.size[j]) >= need)
+            i, j, need = i[keep], j[keep], need[keep]
+            for n, m in set(zip(self.n[i].tolist(), self.n[j].tolist(), strict=True)):
+                these = np.flatnonzero((self.n[i] == n) & (self.n[j] == m))
+                for part in np.array_split(these, max(1, len(these) * (n + m) >> 22)):
+                    a, b = (self.data[self.at[x[part], None] + np.arange(k)] for x, k in ((i, n), (j, m)))
+                    part = part[bound(a, b) >= need[part]]
+                    found += zip(self.key[i[part]].tolist(), self.key[j[part]].tolist(), strict=True)
+        return found
+
+
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components in one cell that pass the bounds of the leaves and the points."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, tree, found = None, None, []
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], ["x", "y"])
+        held: list[pa.Array] | None = None
+        tree, growing = _Leaves(percent), None  # the cell that has outgrown a leaf
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (min, max)], ["x", "y"])
+
+        def pairs(r: _Rows, end: int) -> list[tuple[int, int]]:
+            """Pairs of the cells that lie whole in rows before end; cells larger than a leaf go into a tree of their own."""
+            nonlocal tree, growing
+            edge = np.flatnonzero(np.append(True, r.cell[1:end] != r.cell[: end - 1])) if end else np.zeros(0, np.int64)
+            count = np.diff(np.append(edge, end))
+            large = (count > LEAF) | (r.cell[edge] == growing) if growing is not None else count > LEAF
+            ok = np.zeros(len(r.cell), bool)
+            ok[:end] = np.repeat(~large, count)
+            found = r.near(ok, percent)
+            for k in np.flatnonzero(large).tolist():
+                if r.cell[edge[k]] != growing:
+                    found += tree.close()
+                    tree, growing = _Leaves(percent), r.cell[edge[k]]
+                for i in range(edge[k], edge[k] + count[k]):
+                    found += tree.add(int(r.size[i]), int(r.key[i]), int(r.comp[i]), r.point(i))
+            return found
 
         for batch in batches:
-            cells, size, key, comp = (batch.column(c).to_numpy() for c in range(4))
-            points = batch.column(4)
-            for r in range(batch.num_rows):
-                if cells[r] != cell:
-                    found += tree.close() if tree else []
-                    cell, tree = cells[r], _Leaves(percent)
-                found += tree.add(int(size[r]), int(key[r]), int(comp[r]), np.frombuffer(points[r].as_buffer(), np.uint16))
-                if len(found) >= 10_000:
-                    yield out()
-                    found = []
-        found += tree.close() if tree else []
+            columns = batch.columns if held is None else [pa.concat_arrays([h, c]) for h, c in zip(held, batch.columns, strict=True)]
+            r = _Rows(columns)
+            end = int(np.searchsorted(r.cell, r.cell[-1]))
+            if len(r.cell) - end > LEAF or r.cell[-1] == growing:
+                end = len(r.cell)  # a growing cell needn't wait for its end
+                if r.cell[-1] != growing:
+                    found = pairs(r, int(np.searchsorted(r.cell, r.cell[-1]))) + list(tree.close())
+                    tree, growing = _Leaves(percent), r.cell[-1]
+                    r = _Rows([c.slice(int(np.searchsorted(r.cell, r.cell[-1]))) for c in columns])
+                    end = len(r.cell)
+                    if found:
+                        yield out(found)
+            found = pairs(r, end)
+            held = [x.slice(len(columns[0]) - len(r.cell) + end) for x in columns]
+            if found:
+                yield out(found)
+        if held is not None and len(held[0]):
+            found = pairs(_Rows(held), len(held[0]))
+            if found:
+                yield out(found)
+        found = list(tree.close())
         if found:
-            yield out()
+            yield out(found)
 
     return rows.repartition("cell").sortWithinPartitions("cell", "size", "class").mapInArrow(scan, "x long, y long")
 
@@ -338,14 +402,12 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     points = staged(dealt(texts, frequent_words(texts), n, percent), "points")
     classes = points.where("size > 0").groupBy("class").agg(F.min("id").alias("least"))
-    members = staged(_members(points.select(F.explode("cells").alias("cell"), "size", "class"), percent), "members")
+    members = staged(_members(points.select(F.explode("cells").alias("cell"), "size", "class")), "members")
     met = members.select("class").distinct()
     named = points.join(met, "class").groupBy("class").agg(F.min("id").alias("named"))
     known = staged(_class_texts(texts, named, n), "texts")
 
-    shares = members.where(F.col("class") != F.col("pivot")).groupBy("class", "pivot").count()
-    stars = shares.groupBy("class").agg(F.max_by("pivot", F.struct("count", F.col("pivot"))).alias("pivot"))
-    stars = staged(stars.select(F.col("pivot").alias("x"), F.col("class").alias("y")), "stars")
+    stars = staged(_stars(members, percent), "stars")
     links = staged(_verified(stars, known.select("class", "text"), n, percent), "links")
     parts = components(links)
 
