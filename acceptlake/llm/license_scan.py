@@ -4,7 +4,7 @@ Words are runs of ASCII letters (A-Z lower-cased) and digits; a shingle is two n
 (c: 8, 16, ... ; the least that holds it) is looked for in windows of 2c words that start every c words, so that each
 occurrence lies in one window whole. The bands have one row each: a window that holds a template with the wanted
 containment has Jaccard similarity of about 0.2 or more to it, and shares one of BANDS minima with probability 1 - 0.8 ** 32 > 0.999.
-Only texts that hold a word without which no template can reach the containment are cut into windows; this loses nothing.
+Only windows that hold one of the words without which no template can reach the containment are made; this loses nothing.
 
 Null, empty and one-word texts match nothing; rows that share an id but not the text are told apart by the text's hash, and repeated
 rows count once; ties go to the first window. A template without a shingle is refused. Other columns aren't looked at.
@@ -77,16 +77,22 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     t_bands = table.select("license_id", F.col("step").alias("t_step"), _bands().alias("b")).select("license_id", "t_step", F.col("b.band").alias("t_band"), F.col("b.least").alias("t_least"))
     t_sets = table.select(F.col("license_id").alias("t_license"), "t_set")
 
-    wanted = "|".join(sorted({x for r in known for x in needles(r.w, containment)}))
-    rows = docs.where(F.col(text_col).rlike(f"(?i){wanted}")).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), words(F.col(text_col)).alias("w"))
-    pairs = rows.where(F.size("w") > 1).select("id", "own", F.posexplode(shingles(F.col("w"))).alias("p", "shingle")).select("id", "own", "p", F.xxhash64("shingle").alias("h"))
+    wanted = sorted({x for r in known for x in needles(r.w, containment)})
+    test = f"(?i)(?<![a-z0-9])(?:{'|'.join(wanted)})(?![a-z0-9])"
+    rows = docs.where(F.col(text_col).rlike(test)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), words(F.col(text_col)).alias("w"))
+    at = F.filter(F.transform("w", lambda x, i: F.when(x.isin(*wanted), i)), lambda i: i.isNotNull())
+    rows = rows.where(F.size("w") > 1).select("id", "own", "w", at.alias("at"))
+
+    def cut(step: int) -> DataFrame:
+        """Shingles of the windows of 2 * step words, one every step words, that hold a needed word."""
+        both = F.flatten(F.transform("at", lambda p: F.array(F.floor(p / step), F.floor(p / step) - 1)))
+        part = rows.select("id", "own", "w", F.lit(step).alias("step"), F.explode(F.array_distinct(F.filter(both, lambda k: k >= 0))).alias("k"))
+        part = part.withColumn("w", F.slice("w", (F.col("k") * step + 1).cast("int"), 2 * step)).where(F.size("w") > 1)
+        return part.select("id", "own", "step", "k", F.explode(shingles(F.col("w"))).alias("h")).withColumn("h", F.xxhash64("h"))
+
     windows = None
     for step in sorted(set(steps.values())):
-        # the shingle at p lies in the window that starts at its own step and in the one before
-        own = F.floor(F.col("p") / step)
-        part = pairs.select("id", "own", "p", "h", F.lit(step).alias("step"), F.explode(F.array(own, own - 1)).alias("k"))
-        part = part.where((F.col("k") >= 0) & (F.col("p") - F.col("k") * step < 2 * step - 1)).drop("p")
-        windows = part if windows is None else windows.unionByName(part)
+        windows = cut(step) if windows is None else windows.unionByName(cut(step))
     windows = windows.groupBy("id", "own", "step", "k").agg(F.collect_set("h").alias("set"), *_minima(F.col("h")))
     bands = windows.select("id", "own", "step", "k", "set", _bands().alias("b")).select("id", "own", "step", "k", "set", "b.*")
     met = bands.join(F.broadcast(t_bands), (F.col("band") == F.col("t_band")) & (F.col("least") == F.col("t_least")) & (F.col("step") == F.col("t_step")))
