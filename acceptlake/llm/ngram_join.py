@@ -4,8 +4,9 @@ A document's set holds the 64-bit hashes of its distinct n-word shingles. Hashed
 and the sum of the coordinate minima of two points bounds the overlap of their sets from above. The index has three levels:
 
 * Cells. With the finest groups (a group a shingle) in one fixed order, rare words first, two sets whose overlap reaches the
-  threshold must have a non-zero minimum among the first size - needed + 1 coordinates of both: the minima of the rest alone
-  sum to less than the needed overlap. So points are dealt to a cell for each of these coordinates, without loss.
+  threshold must have SHARED non-zero minima (or as many as are needed, if fewer) among the first size - needed + SHARED
+  coordinates of both: the minima of the rest alone sum to less than what is left. So points are dealt to a cell for each of
+  these coordinates, and points that share fewer cells with others are passed over, without loss.
   The order comes from word counts over all documents: a shingle ranks by its rarest word.
 * Leaves. In a cell the points lie sorted by size in leaves of LEAF points with the maximum of each coordinate; pairs of leaves are
   passed over if their sizes are too far apart or their maxima's minima sum to less than any needed overlap.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, Words, mix, slices, staged
@@ -38,6 +39,10 @@ LEAF = 32
 PER_GROUP = 4
 #: Words in the table of frequent words, and places in its hashed form; fixed sizes.
 FREQUENT, PLACES = 1 << 17, 1 << 20
+#: Cells that two linked sets share at least, unless their overlap need not be as large.
+SHARED = 5
+#: Classes whose texts are picked by a broadcast join; more are joined by a shuffle.
+MAX_BROADCAST_CLASSES = 1_000_000
 #: Members that one task verifies against one pivot, about.
 MEMBERS = 256
 _U = np.uint64
@@ -49,8 +54,9 @@ def _needed(total: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 def _first(size: np.ndarray, percent: int) -> np.ndarray:
-    """Coordinates that are dealt: size - least overlap with any set + 1."""
-    return np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+    """Coordinates that are dealt: size - least overlap with any set + cells that must be shared."""
+    least = -(-percent * size // 100)
+    return size - least + np.minimum(SHARED, least)
 
 
 class Sets:
@@ -208,6 +214,7 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
     stepped = members.select("cell", "class", step)
     pivots = stepped.join(shared, "class").groupBy("cell", "step").agg(F.max_by("class", F.struct("part", "class")).alias("pivot"))
     shares = stepped.join(pivots, ["cell", "step"]).where(F.col("class") != F.col("pivot")).groupBy("class", "pivot").count()
+    shares = shares.where(F.col("count") >= 2)
     stars = shares.groupBy("class").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
     return stars.select(F.col("pivot").alias("x"), F.col("class").alias("y"))
 
@@ -249,12 +256,12 @@ class _Leaves:
     def __init__(self, percent: int):
         self.percent, self.leaves, self.rest = percent, [], []
 
-    def add(self, size: int, key: int, comp: int, v: np.ndarray) -> Iterator[tuple[int, int]]:
+    def add(self, size: int, key: int, comp: int, v: np.ndarray) -> Iterator[tuple[int, int, int]]:
         self.rest.append((size, key, comp, v))
         if len(self.rest) == LEAF:
             yield from self.close()
 
-    def close(self) -> Iterator[tuple[int, int]]:
+    def close(self) -> Iterator[tuple[int, int, int]]:
         if not self.rest:
             return
         rows, self.rest = self.rest, []
@@ -267,7 +274,7 @@ class _Leaves:
             yield from self._pairs(other, leaf, other is leaf)
         self.leaves.append(leaf)
 
-    def _pairs(self, a, b, same: bool) -> Iterator[tuple[int, int]]:
+    def _pairs(self, a, b, same: bool) -> Iterator[tuple[int, int, int]]:
         if a[2].min() == a[2].max() == b[2].min() == b[2].max():
             return
         if bound(a[4], b[4]) < _needed(int(a[0][0] + b[0][0]), self.percent):
@@ -283,7 +290,7 @@ class _Leaves:
             if len(j):
                 j = j[np.minimum(left[i], right[j]).sum(1, dtype=np.int64) >= need[j]]
                 for t in j.tolist():
-                    yield int(a[1][i]), int(b[1][t])
+                    yield int(a[1][i]), int(b[1][t]), int(min(a[0][i], b[0][t]))
 
 
 class _Rows:
@@ -300,7 +307,7 @@ class _Rows:
     def point(self, i: int) -> np.ndarray:
         return self.data[self.at[i] : self.at[i + 1]]
 
-    def near(self, ok: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    def near(self, ok: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
         """Pairs of rows of one cell, both in `ok`, that pass sizes, components and the bound: neighbours at each distance in turn."""
         found = []
         for lag in range(1, LEAF):
@@ -316,21 +323,22 @@ class _Rows:
                 for part in np.array_split(these, max(1, len(these) * (n + m) >> 22)):
                     a, b = (self.data[self.at[x[part], None] + np.arange(k)] for x, k in ((i, n), (j, m)))
                     part = part[bound(a, b) >= need[part]]
-                    found += zip(self.key[i[part]].tolist(), self.key[j[part]].tolist(), strict=True)
+                    size = np.minimum(self.size[i[part]], self.size[j[part]])
+                    found += zip(self.key[i[part]].tolist(), self.key[j[part]].tolist(), size.tolist(), strict=True)
         return found
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components in one cell that pass the bounds of the leaves and the points."""
+    """Pairs of classes of different components that pass the bounds of the leaves and the points in as many cells as linked sets share."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Array] | None = None
         tree, growing = _Leaves(percent), None  # the cell that has outgrown a leaf
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (min, max)], ["x", "y"])
+            return pa.RecordBatch.from_arrays([*[pa.array([f(p[:2]) for p in found], pa.int64()) for f in (min, max)], pa.array([p[2] for p in found], pa.int64())], ["x", "y", "size"])
 
-        def pairs(r: _Rows, end: int) -> list[tuple[int, int]]:
+        def pairs(r: _Rows, end: int) -> list[tuple[int, int, int]]:
             """Pairs of the cells that lie whole in rows before end; cells larger than a leaf go into a tree of their own."""
             nonlocal tree, growing
             edge = np.flatnonzero(np.append(True, r.cell[1:end] != r.cell[: end - 1])) if end else np.zeros(0, np.int64)
@@ -372,7 +380,13 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if found:
             yield out(found)
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "size", "class").mapInArrow(scan, "x long, y long")
+    met = rows.repartition("cell").sortWithinPartitions("cell", "size", "class").mapInArrow(scan, "x long, y long, size long")
+    return met.groupBy("x", "y").agg(F.count("*").alias("cells"), F.min("size").alias("size")).where(F.col("cells") >= _shared(F.col("size"), percent)).select("x", "y")
+
+
+def _shared(size: Column, percent: int) -> Column:
+    """Cells that a set of this size shares with any set it links with."""
+    return F.least(F.lit(SHARED), F.ceil(F.lit(percent) * size / 100))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -403,8 +417,10 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     points = staged(dealt(texts, frequent_words(texts), n, percent), "points")
     classes = points.where("size > 0").groupBy("class").agg(F.min("id").alias("least"))
     members = staged(_members(points.select(F.explode("cells").alias("cell"), "size", "class")), "members")
+    enough = members.groupBy("class").agg(F.count("*").alias("cells"), F.first("size").alias("of")).where(F.col("cells") >= _shared(F.col("of"), percent)).select("class")
+    members = staged(members.join(enough, "class", "left_semi"), "members")
     met = members.select("class").distinct()
-    named = points.join(met, "class").groupBy("class").agg(F.min("id").alias("named"))
+    named = staged(points.select("id", "class").join(met, "class").groupBy("class").agg(F.min("id").alias("named")), "named")
     known = staged(_class_texts(texts, named, n), "texts")
 
     stars = staged(_stars(members, percent), "stars")
@@ -415,7 +431,7 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     open_cells = placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("cell")
     rows = placed.join(open_cells, "cell").join(known.select(F.col("class").alias("c"), "point"), F.col("class") == F.col("c")).select("cell", "size", "class", "comp", "point")
     tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = staged(_tree_pairs(rows, percent).distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
+    rest = staged(_tree_pairs(rows, percent).join(tried, ["x", "y"], "left_anti"), "pairs")
     links = links.unionByName(staged(_verified(rest, known.select("class", "text"), n, percent), "links"))
 
     named = components(links).join(classes, F.col("node") == F.col("class"))
@@ -436,7 +452,8 @@ def _class_texts(texts: DataFrame, named: DataFrame, n: int) -> DataFrame:
             data = pa.array([point(s.of(i)).tobytes() for i in range(part.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays([x.filter(own) for x in (part.column(0), part.column(1), data)], ["class", "text", "point"])
 
-    rows = texts.join(named, texts["id"].eqNullSafe(named["named"])).select("class", "text")
+    wanted = F.broadcast(named) if named.count() <= MAX_BROADCAST_CLASSES else named
+    rows = texts.join(wanted, texts["id"].eqNullSafe(named["named"])).select("class", "text")
     return rows.mapInArrow(scan, "class long, text string, point binary")
 
 
