@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Neighbours of a node; random orders at the start, rows of their blocks; rounds at most and the share of edges that must still change.
-NEIGHBOURS, ORDERS, BLOCK, ROUNDS, CHANGE = 32, 3, 1024, 5, 0.02
+NEIGHBOURS, ORDERS, BLOCK, ROUNDS, CHANGE = 40, 4, 1024, 6, 0.01
 #: Best nodes that a query keeps, nodes it expands a hop, hops at most, spread nodes it starts from.
 KEPT, EXPANDED, HOPS, ENTRIES = 192, 24, 8, 32
 
