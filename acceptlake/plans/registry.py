@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("gate_queries", "policy_queries", "reporting_queries", "security_queries", "patch_queries", "textmatch_queries", "graph_queries", "source_queries", "manifest_queries", "streaming_queries")
+MODULES: tuple[str, ...] = ("gate_queries", "policy_queries", "reporting_queries", "security_queries", "patch_queries", "textmatch_queries", "graph_queries", "source_queries", "manifest_queries", "code_queries", "streaming_queries")
 
 
 def _modules():
