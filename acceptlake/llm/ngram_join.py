@@ -13,7 +13,7 @@ and the sum of the coordinate minima of two points bounds the overlap of their s
 * Points. The pairs of the remaining leaves are bounded one by one, and the survivors verified on the exact sets.
 
 Sets that are equal form one class, which takes part once. Links only matter as far as they join what isn't joined yet: first each class
-is verified against the pivot it shares most cells with, then, in cells that still hold several components, every pair of different
+is verified against the pivot it shares most cells with, then, among the cells that still hold several components, every pair of different
 components that passes the bounds. So a group of near copies costs a star and not all its pairs, and no link between
 components is lost. Cells are streamed in sorted order; of a cell only the points within reach in size are held.
 
@@ -256,12 +256,12 @@ class _Leaves:
     def __init__(self, percent: int):
         self.percent, self.leaves, self.rest = percent, [], []
 
-    def add(self, size: int, key: int, comp: int, v: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def add(self, size: int, key: int, comp: int, v: np.ndarray) -> Iterator[tuple[int, int]]:
         self.rest.append((size, key, comp, v))
         if len(self.rest) == LEAF:
             yield from self.close()
 
-    def close(self) -> Iterator[tuple[int, int, int]]:
+    def close(self) -> Iterator[tuple[int, int]]:
         if not self.rest:
             return
         rows, self.rest = self.rest, []
@@ -274,7 +274,7 @@ class _Leaves:
             yield from self._pairs(other, leaf, other is leaf)
         self.leaves.append(leaf)
 
-    def _pairs(self, a, b, same: bool) -> Iterator[tuple[int, int, int]]:
+    def _pairs(self, a, b, same: bool) -> Iterator[tuple[int, int]]:
         if a[2].min() == a[2].max() == b[2].min() == b[2].max():
             return
         if bound(a[4], b[4]) < _needed(int(a[0][0] + b[0][0]), self.percent):
@@ -290,7 +290,7 @@ class _Leaves:
             if len(j):
                 j = j[np.minimum(left[i], right[j]).sum(1, dtype=np.int64) >= need[j]]
                 for t in j.tolist():
-                    yield int(a[1][i]), int(b[1][t]), int(min(a[0][i], b[0][t]))
+                    yield int(a[1][i]), int(b[1][t])
 
 
 class _Rows:
@@ -307,7 +307,7 @@ class _Rows:
     def point(self, i: int) -> np.ndarray:
         return self.data[self.at[i] : self.at[i + 1]]
 
-    def near(self, ok: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
+    def near(self, ok: np.ndarray, percent: int) -> list[tuple[int, int]]:
         """Pairs of rows of one cell, both in `ok`, that pass sizes, components and the bound: neighbours at each distance in turn."""
         found = []
         for lag in range(1, LEAF):
@@ -323,22 +323,21 @@ class _Rows:
                 for part in np.array_split(these, max(1, len(these) * (n + m) >> 22)):
                     a, b = (self.data[self.at[x[part], None] + np.arange(k)] for x, k in ((i, n), (j, m)))
                     part = part[bound(a, b) >= need[part]]
-                    size = np.minimum(self.size[i[part]], self.size[j[part]])
-                    found += zip(self.key[i[part]].tolist(), self.key[j[part]].tolist(), size.tolist(), strict=True)
+                    found += zip(self.key[i[part]].tolist(), self.key[j[part]].tolist(), strict=True)
         return found
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that pass the bounds of the leaves and the points in as many cells as linked sets share."""
+    """Pairs of classes of different components in one group of cells that pass the bounds of the leaves and the points."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Array] | None = None
         tree, growing = _Leaves(percent), None  # the cell that has outgrown a leaf
 
         def out(found):
-            return pa.RecordBatch.from_arrays([*[pa.array([f(p[:2]) for p in found], pa.int64()) for f in (min, max)], pa.array([p[2] for p in found], pa.int64())], ["x", "y", "size"])
+            return pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (min, max)], ["x", "y"])
 
-        def pairs(r: _Rows, end: int) -> list[tuple[int, int, int]]:
+        def pairs(r: _Rows, end: int) -> list[tuple[int, int]]:
             """Pairs of the cells that lie whole in rows before end; cells larger than a leaf go into a tree of their own."""
             nonlocal tree, growing
             edge = np.flatnonzero(np.append(True, r.cell[1:end] != r.cell[: end - 1])) if end else np.zeros(0, np.int64)
@@ -380,8 +379,7 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if found:
             yield out(found)
 
-    met = rows.repartition("cell").sortWithinPartitions("cell", "size", "class").mapInArrow(scan, "x long, y long, size long")
-    return met.groupBy("x", "y").agg(F.count("*").alias("cells"), F.min("size").alias("size")).where(F.col("cells") >= _shared(F.col("size"), percent)).select("x", "y")
+    return rows.repartition("cell").sortWithinPartitions("cell", "size", "class").mapInArrow(scan, "x long, y long")
 
 
 def _shared(size: Column, percent: int) -> Column:
@@ -428,10 +426,12 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     parts = components(links)
 
     placed = members.join(parts, F.col("class") == F.col("node"), "left").select("cell", "size", "class", F.coalesce("component", "class").alias("comp"))
-    open_cells = placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("cell")
-    rows = placed.join(open_cells, "cell").join(known.select(F.col("class").alias("c"), "point"), F.col("class") == F.col("c")).select("cell", "size", "class", "comp", "point")
+    open_cells = placed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("cell", "low")
+    # cells whose least component is the same are one tree: a class that shares many cells with a group comes into it once
+    rows = placed.join(open_cells, "cell").select(F.col("low").alias("cell"), "size", "class", "comp").distinct()
+    rows = rows.join(known.select(F.col("class").alias("c"), "point"), F.col("class") == F.col("c")).select("cell", "size", "class", "comp", "point")
     tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = staged(_tree_pairs(rows, percent).join(tried, ["x", "y"], "left_anti"), "pairs")
+    rest = staged(_tree_pairs(rows, percent).distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
     links = links.unionByName(staged(_verified(rest, known.select("class", "text"), n, percent), "links"))
 
     named = components(links).join(classes, F.col("node") == F.col("class"))
