@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_WORDS, Words, mix, slices, without
+from .common import SPACE_WORDS, Words, mix, slices, staged, without
 
 WINDOW, ANCHOR = 13, 6
+#: Pieces (about 50 bytes each) that a broadcast join brings to the documents; more go by a shuffle.
+MAX_BROADCAST_PIECES = 1_000_000
 _U = np.uint64
 _SETTLED = 15  # in the offset's place: the row is no path but a span that is settled already
 _SPAN = T.StructType([T.StructField("first_word", T.IntegerType(), False), T.StructField("n_words", T.IntegerType(), False), T.StructField("source_id", T.LongType(), False), T.StructField("source_word", T.IntegerType(), False)])
@@ -172,9 +174,10 @@ def matched(rows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_words, n_removed, removed_spans (with source coordinates), kept_text and its digest."""
     kept = without(docs, *RESULT.names, "__pieces", "__d")
-    pieces = matched(paths(docs, id_col, text_col, window, anchor))
+    pieces = staged(matched(paths(docs, id_col, text_col, window, anchor)), "pieces")
+    few = pieces.count() <= MAX_BROADCAST_PIECES
     pieces = pieces.groupBy(F.col("d").alias("__d")).agg(F.collect_list(F.struct("word", "tag", "edges", "source", "source_word")).alias("__pieces"))
-    joined = kept.join(pieces, kept[f"`{id_col}`"].cast("long") == pieces["__d"], "left").drop("__d")
+    joined = kept.join(F.broadcast(pieces) if few else pieces, kept[f"`{id_col}`"].cast("long") == pieces["__d"], "left").drop("__d")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
