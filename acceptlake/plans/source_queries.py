@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import snapshots as P
+from ..streaming.progress import shared_folder
 from .base import EXECUTIONS_SQL, FINDINGS_SQL, Registry, duck, executions, findings, table
 from .patch_queries import patches
 from .security_queries import DOC_FILES
@@ -16,11 +14,6 @@ R = Registry()
 _PATH = f"concat({DOC_FILES}, CASE doc_id % 5 WHEN 0 THEN '.json' WHEN 1 THEN '.md' WHEN 2 THEN '/node_modules/x.js' ELSE '' END)"
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or ("file://" + tempfile.mkdtemp(prefix="acceptlake-"))
-    return f"{base}/out-{uuid.uuid4().hex}"
-
-
 @R.add("scan_snapshot", f"SELECT 's' || doc_id % 3 AS snapshot, {duck(_PATH)} AS path, md5(text) AS text FROM documents WHERE doc_id % 5 <> 2 AND doc_id % 7 <> 0")
 def scan_snapshot(spark, d):
     content = "CASE WHEN doc_id % 7 = 0 THEN encode(concat(chr(0), text), 'UTF-8') ELSE encode(text, 'UTF-8') END"
@@ -37,7 +30,7 @@ def snapshot_stats(spark, d):
 @R.add("read_patches", "SELECT count(*) AS patches FROM documents WHERE text IS NOT NULL")
 def read_patches(spark, d):
     """Patches of all documents, written as files of many patches each and read again."""
-    root = _folder(spark)
+    root = shared_folder(spark, "out")
     patches(spark, d).select(F.to_json(F.struct("patch_id", "text")).alias("value")).write.text(root)
     back = spark.read.text(root).select(F.from_json("value", "patch_id long, text string").alias("p")).select("p.*")
     return back.where(~F.col("text").contains("\0") & (F.octet_length("text") <= P.MAX_PATCH_BYTES)).agg(F.count("*").alias("patches"))
@@ -78,7 +71,7 @@ def archive_inventory_audit(spark, d):
 
 @R.add("results_sink", f"WITH {FINDINGS_SQL}, {EXECUTIONS_SQL} SELECT 'findings' AS name, count(*) AS n, count(DISTINCT run_id % 16) AS runs FROM findings UNION ALL SELECT 'executions', count(*), count(DISTINCT run_id % 16) FROM executions")
 def results_sink(spark, d):
-    root = _folder(spark)
+    root = shared_folder(spark, "out")
     made = {"findings": findings(spark, d), "executions": executions(spark, d)}
     P.results_sink({k: df.withColumn("run_id", F.col("run_id") % 16) for k, df in made.items()}, root)
     parts = [spark.read.parquet(f"{root}/{k}").agg(F.count("*").alias("n"), F.count_distinct("run_id").alias("runs")).select(F.lit(k).alias("name"), "n", "runs") for k in made]
@@ -87,7 +80,7 @@ def results_sink(spark, d):
 
 @R.add("evidence_sink", "SELECT count(*) AS n, count(DISTINCT conv_id) AS ids FROM conversations")
 def evidence_sink(spark, d):
-    root = _folder(spark)
+    root = shared_folder(spark, "out")
     P.evidence_sink({"turns": table(spark, d, "conversations")}, root)
     back = spark.read.text(f"{root}/turns").select(F.from_json("value", "schema_version string, turns struct<conv_id:bigint,text:string>").alias("v"))
     return back.where("v.schema_version = '1.0' AND v.turns.text IS NOT NULL").agg(F.count("*").alias("n"), F.count_distinct("v.turns.conv_id").alias("ids"))

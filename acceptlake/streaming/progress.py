@@ -18,7 +18,11 @@ from ..operators import policy as P
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder below spark.checkpoint.dir (in local mode without it, a temporary one)."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ("file://" + tempfile.mkdtemp(prefix="acceptlake-"))
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="acceptlake-")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
