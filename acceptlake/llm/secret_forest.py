@@ -1,7 +1,8 @@
 """Secret scan with a random forest that removes false positives; DataFrame operations and Spark's own tree learner only.
 
 Candidates are runs of 16 or more of [A-Za-z0-9+/_-] (with up to two trailing =) that hold a digit, or that a credential word or
-an assignment introduces. The forest sees a candidate's length, its character transitions and classes, its entropy, how far
+an assignment introduces, and what a credential word is assigned (NAME=value, "name": "value", name = value), at any length and of
+any marks up to a quote or a blank. The forest sees a candidate's length, its character transitions and classes, its entropy, how far
 dictionary words cover it, its path, and the neighbouring words. It is trained on labelled findings (id, value, is_secret): at most
 about MAX_TRAIN of them, drawn by a digest of the value. The dictionary holds the DICTIONARY most frequent lower-case words of three to twelve letters in all texts.
 
@@ -24,24 +25,33 @@ from pyspark.sql import functions as F
 from .common import staged
 
 MAX_TRAIN, DICTIONARY, TREES, DEPTH = 20_000, 500, 24, 6
-RUN = r"(?:^|[^A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{16,}={0,2})"
+#: A = that more of the text follows assigns and is no part of the run before it.
+RUN = r"""(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{16,}(?:={1,2}(?!=*["']?[A-Za-z0-9+/_\-]))?)"""
 #: Words that introduce credentials, and path parts of samples.
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api_?key|apikey|auth|credential|bearer|private|access)"
+#: What a credential word is assigned, in the last word of a text: group 1 is the name with the sign and an opening quote, group 2 the value.
+ASSIGNED = CREDENTIAL.replace("(token", "((?:token").removesuffix(")") + r""")[A-Za-z0-9_.\-]*["'\])]{0,2}\s*(?::=|=>|[=:])\s*["']?(?:(?:bearer|basic)\s+)?)((?<=")[^"\s]+|(?<=')[^'\s]+|(?<!["'])[^\s"'=>](?:[^\s"']*[^\s"',;)}\]])?)(?=\S*$)"""
 SAMPLE_PATH = r"(?i)(test|example|sample|mock|fixture|doc)"
 FEATURES = ["length", "transitions", "case_changes", "digits", "uppers", "distinct", "entropy", "covered", "introduced", "assigned", "quoted", "follows", "sample_path", "depth"]
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path: Column) -> DataFrame:
     """id, path, word (place of the word in the text), value, before and after (neighbouring words), own (the word it stands in)."""
-    w = docs.where(F.length(text_col) >= 16).select(F.col(id_col).alias("id"), path.alias("path"), F.split(F.col(text_col), r"[ \t\n\x0B\f\r]+").alias("w"))
-    long = F.filter(F.transform("w", lambda x, i: F.when(F.length(x) >= 16, i)), lambda i: i.isNotNull())
+    text = F.col(text_col)
+    w = docs.where(F.length(text) > 0).select(F.col(id_col).alias("id"), path.alias("path"), F.split(text, r"[ \t\n\x0B\f\r]+").alias("w"), text.rlike(CREDENTIAL).alias("named"))
     around = lambda i, k: F.when(i + k >= 0, F.get("w", i + k))
-    found = w.select("id", "path", "w", F.explode(long).alias("i")).select(
-        "id", "path", F.col("i").alias("word"), F.get("w", F.col("i")).alias("own"), F.concat_ws(" ", around(F.col("i"), -2), around(F.col("i"), -1)).alias("before"), F.coalesce(around(F.col("i"), 1), F.lit("")).alias("after")
+    near = lambda i: F.concat_ws(" ", around(i, -2), around(i, -1), F.get("w", i))
+    given = lambda i: F.col("named") & near(i).rlike("[=:]") & near(i).rlike(ASSIGNED)
+    places = F.filter(F.transform("w", lambda x, i: F.when((F.length(x) >= 16) | given(i), i)), lambda i: i.isNotNull())
+    found = w.select("id", "path", "w", "named", F.explode(places).alias("i")).select(
+        "id", "path", F.col("i").alias("word"), F.get("w", F.col("i")).alias("own"), F.concat_ws(" ", around(F.col("i"), -2), around(F.col("i"), -1)).alias("before"), F.coalesce(around(F.col("i"), 1), F.lit("")).alias("after"),
+        F.when(F.col("named"), near(F.col("i"))).otherwise("").alias("near"),
     )
-    found = found.withColumn("value", F.explode(F.regexp_extract_all("own", F.lit(RUN), F.lit(1))))
-    lead = F.concat_ws(" ", "before", F.call_function("substring_index", F.col("own"), F.col("value"), F.lit(1)))
-    found = found.withColumn("lead", lead)
+    runs = F.regexp_extract_all("own", F.lit(RUN), F.lit(1))
+    led = F.transform(runs, lambda v: F.struct(v.alias("value"), F.concat_ws(" ", "before", F.call_function("substring_index", F.col("own"), v, F.lit(1))).alias("lead")))
+    names, values = (F.regexp_extract_all("near", F.lit(ASSIGNED), F.lit(g)) for g in (1, 2))
+    assigned = F.filter(F.zip_with(values, names, lambda v, n: F.struct(v.alias("value"), n.alias("lead"))), lambda s: ~F.array_contains(runs, s["value"]))
+    found = found.withColumn("found", F.explode(F.concat(led, assigned))).select("*", "found.*")
     return found.where(F.col("value").rlike("[0-9]") | F.col("lead").rlike(CREDENTIAL) | F.col("lead").rlike("[=:]"))
 
 
@@ -111,7 +121,7 @@ def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     learn = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(4)) != 2
     found = find_secrets(docs, learn_from=learn, path=F.concat(F.lit("src/"), F.col("source"), F.lit("/doc_"), F.col("doc_id"), F.lit(".txt")))
-    masked = F.concat(F.substring("value", 1, 4), F.lit("..."), F.substring(F.col("value"), -2, 2))
+    masked = F.when(F.length("value") < 16, "...").otherwise(F.concat(F.substring("value", 1, 4), F.lit("..."), F.substring(F.col("value"), -2, 2)))
     return found.select("doc_id", F.col("word").cast("long").alias("word"), masked.alias("masked"), F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
 
 
