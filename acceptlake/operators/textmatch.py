@@ -59,9 +59,10 @@ def explicit_reference(requirements: DataFrame, candidates: DataFrame) -> DataFr
     return candidates.join(r, named("path") | named("symbol") | named("id")).select("requirement_id", F.col("id").alias("candidate_id"))
 
 
-def evidence_candidates(files: DataFrame, symbols: DataFrame, tests: DataFrame, routes: DataFrame) -> DataFrame:
-    """One table of candidates of four kinds; of a file's text the first characters count."""
-    f = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), F.substring("text", 1, CANDIDATE_CHARACTERS).alias("text"), "path", F.lit(None).cast("string").alias("symbol"))
+def evidence_candidates(files: DataFrame, symbols: DataFrame, tests: DataFrame, routes: DataFrame, characters: int | None = None) -> DataFrame:
+    """One table of candidates of four kinds, with whole texts; characters: how many of a file's first characters count, if not all (the reference: CANDIDATE_CHARACTERS)."""
+    text = F.col("text") if characters is None else F.substring("text", 1, characters)
+    f = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), text.alias("text"), "path", F.lit(None).cast("string").alias("symbol"))
     parts = [df.select(F.concat(F.lit(f"{kind}:"), "path", F.lit(":"), "symbol").alias("id"), F.lit(kind).alias("kind"), F.col("symbol").alias("text"), "path", "symbol") for kind, df in (("symbol", symbols), ("test", tests), ("route", routes))]
     for part in parts:
         f = f.unionByName(part)

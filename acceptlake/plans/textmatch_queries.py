@@ -20,7 +20,7 @@ def requirements(spark, d):
 
 
 def candidates(spark, d):
-    return table(spark, d, "documents").selectExpr(f"{_ID} AS id", f"{_KIND} AS kind", f"substring(text, 1, {P.CANDIDATE_CHARACTERS}) AS text", f"{DOC_FILES} AS path", f"{_SYMBOL} AS symbol")
+    return table(spark, d, "documents").selectExpr(f"{_ID} AS id", f"{_KIND} AS kind", "text", f"{DOC_FILES} AS path", f"{_SYMBOL} AS symbol")
 
 
 _TOKENS = "list_filter(regexp_extract_all(lower({}), '[a-z][a-z0-9_/-]+'), lambda t: t NOT IN {})"
