@@ -49,28 +49,54 @@ def user_rules(files: DataFrame, rules: DataFrame, max_rules: int = 1_000) -> Da
     return met.select("path", "rule_id", "severity", F.explode(F.regexp_extract_all(F.col("text"), F.col("pattern"), F.col("value_group"))).alias("value"))
 
 
-def secret_scan(files: DataFrame, rules: tuple = SECRET_RULES, key: str = "path") -> DataFrame:
-    """Credentials: key, rule_id, severity, line, value, masked. Each (text, line, value) goes to the first rule that finds it; placeholders are passed over."""
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once; inside another lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _spans(pattern: str) -> Column:
+    """Every match of a pattern in text, in order: start and stop (characters from 0 on), line and value of group 1."""
+    wholes, values = (F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (0, 1))
+    breaks = lambda c: F.regexp_count(c, F.lit("\n"))
+    # each match with the gap before it; the gap after the last has none
+    matches = F.zip_with(F.zip_with(F.split("text", pattern, -1), wholes, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), values, lambda x, v: F.struct(x["g"].alias("g"), x["m"].alias("m"), v.alias("v"), (F.length(x["g"]) + F.length(x["m"])).alias("n"), (breaks(x["g"]) + breaks(x["m"])).alias("lines")))
+
+    def span(x: Column, before: Column) -> Column:
+        behind = F.call_function("substring_index", x["m"], x["v"], F.lit(-1))
+        at = F.aggregate(before, F.struct(F.lit(0).alias("n"), F.lit(1).alias("lines")), lambda t, y: F.struct((t["n"] + y["n"]).alias("n"), (t["lines"] + y["lines"]).alias("lines")))
+        stop = at["n"] + x["n"] - F.length(behind)
+        return F.struct((stop - F.length(x["v"])).alias("start"), stop.alias("stop"), (at["lines"] + x["lines"] - breaks(behind) - breaks(x["v"])).alias("line"), x["v"].alias("value"))
+
+    found = _let(matches, lambda all_: F.transform(F.filter(all_, lambda x: x["m"].isNotNull()), lambda x, k: span(x, F.slice(all_, F.lit(1), k))))
+    return F.when(F.col("text").rlike(pattern), F.filter(found, lambda x: x["value"] != "")).otherwise(F.array().cast("array<struct<start:int,stop:int,line:int,value:string>>"))
+
+
+def _secret_spans(rules: tuple) -> Column:
+    """The spans of all rules without placeholders, each once: with the first rule that finds it."""
 
     def claimed(place: int, rule: str, severity: str, pattern: str) -> Column:
-        values = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
-        return F.transform(values, lambda v: F.struct(F.lit(place).alias("place"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), v.alias("value")))
+        return F.transform(_spans(pattern), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lit(place).alias("place"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), x["line"].alias("line"), x["value"].alias("value")))
+
+    found = F.concat(*[claimed(i, *rule) for i, rule in enumerate(rules)])
+    found = F.array_sort(F.filter(found, lambda x: ~X.is_placeholder(x["value"])))
+    same = lambda x, y: (x["start"] == y["start"]) & (x["stop"] == y["stop"])
+    return _let(found, lambda all_: F.filter(all_, lambda x, i: (i == 0) | ~same(x, F.get(all_, i - 1))))
 
-    found = [claimed(i, *rule) for i, rule in enumerate(rules)]
-    rows = files.select(key, "text", F.explode(F.concat(*found)).alias("f")).where(~X.is_placeholder(F.col("f.value")))
-    rows = rows.select(key, X.line_of(F.col("text"), F.col("f.value")).alias("line"), "f.*")
-    first = rows.groupBy(key, "line", "value").agg(F.min(F.struct("place", "rule_id", "severity")).alias("r"))
-    return first.select(key, "r.rule_id", "r.severity", "line", "value", X.mask(F.col("value")).alias("masked"))
+
+def secret_scan(files: DataFrame, rules: tuple = SECRET_RULES, key: str = "path") -> DataFrame:
+    """Credentials: key, rule_id, severity, line, value, masked. Each span of a text goes to the first rule that finds it; placeholders are passed over."""
+    rows = files.select(key, F.explode(_secret_spans(rules)).alias("f"))
+    return rows.select(key, "f.rule_id", "f.severity", "f.line", "f.value", X.mask(F.col("f.value")).alias("masked"))
 
 
 def high_entropy_scan(files: DataFrame, threshold: float = 4.25, length: int = 28, key: str = "path") -> DataFrame:
-    """Long tokens of high entropy that no credential rule has claimed: key, value, entropy, line."""
+    """Long tokens of high entropy whose span no credential rule has claimed: key, value, entropy, line."""
     pattern = rf"((?<![A-Za-z0-9])[A-Za-z0-9+/=_-]{{{length},}}(?![A-Za-z0-9]))"
-    rows = files.select(key, "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("value"))
+    claimed = F.transform(_secret_spans(SECRET_RULES), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+    rows = files.where(F.col("text").rlike(pattern)).select(key, claimed.alias("claimed"), F.explode(_spans(pattern)).alias("f"))
+    rows = rows.where(~F.array_contains("claimed", F.struct(F.col("f.start").alias("start"), F.col("f.stop").alias("stop")))).select(key, "f.value", "f.line")
     rows = rows.where(~X.is_placeholder(F.col("value")) & ~F.col("value").rlike("^(sha256-|symbol:|https)"))
-    rows = rows.withColumn("entropy", X.shannon_entropy(F.col("value"))).where(F.col("entropy") >= threshold)
-    rows = rows.select(key, "value", "entropy", X.line_of(F.col("text"), F.col("value")).alias("line"))
-    return rows.join(secret_scan(files, key=key).select(key, "value"), [key, "value"], "left_anti")
+    return rows.withColumn("entropy", X.shannon_entropy(F.col("value"))).where(F.col("entropy") >= threshold).select(key, "value", "entropy", "line")
 
 
 def by_line(files: DataFrame) -> DataFrame:
