@@ -3,8 +3,9 @@
 Texts and items are lower-cased in A-Z; words are runs of ASCII letters, digits and non-ASCII characters. A window is n
 consecutive words of an item (a shorter item is one window of its own length). Every hash hit is verified on the words
 themselves before it counts. Null and empty texts have no words, so they are never hit and a null or empty item has no
-window. Rows are judged one by one: repeated rows and rows without an id keep their place. Columns of the documents that
-share a name with a result column are replaced by it; all others pass through.
+window. An item without an id hits as any other, but has no name in hit_items. Rows are judged one by one: repeated rows and
+rows without an id keep their place. Columns of the documents that share a name with a result column are replaced by it; all
+others pass through.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: st
     if action == "annotate":
         return out
     if action == "drop_documents":
-        return out.where(F.size("hit_items") == 0).select(*[F.col(f"`{c}`") for c in without(docs, *RESULT.names).columns])
+        return out.where(F.size("hit_spans") == 0).select(*[F.col(f"`{c}`") for c in without(docs, *RESULT.names).columns])
     return out.select(*[F.col("clean_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in without(docs, *RESULT.names).columns])
 
 
@@ -145,7 +146,7 @@ def _in_rounds(docs: DataFrame, windows: DataFrame, rounds: int, text_col: str)
     spans = None
     for k in range(rounds):
         rows = [tuple(r) for r in windows.where(F.pmod(F.xxhash64("words"), F.lit(rounds)) == k).toLocalIterator()]
-        found = staged(_annotated(numbered.select("__row", text_col), rows, text_col).where(F.size("hit_items") > 0).select("__row", "hit_spans", "hit_items"), "hits")
+        found = staged(_annotated(numbered.select("__row", text_col), rows, text_col).where(F.size("hit_spans") > 0).select("__row", "hit_spans", "hit_items"), "hits")
         spans = found if spans is None else spans.unionByName(found)
     merged = spans.groupBy("__row").agg(F.flatten(F.collect_list("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
     base = _annotated(numbered, [], text_col).drop("hit_spans", "hit_items", "clean_text").join(merged, "__row", "left")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from acceptlake.llm import secret_forest
+from acceptlake.llm import decontamination, secret_forest
 
 
 def test_secrets_assigned_without_blanks(spark):
@@ -19,3 +19,12 @@ def test_secrets_assigned_without_blanks(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {(r.id, r.value) for r in secret_forest.candidates(docs, "doc_id", "text", F.lit(None).cast("string")).collect()}
     assert found == {(0, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzKEY"), (1, "hunter2correct"), (2, "p@ss;w0rd!"), (3, "a1"), (4, "k1"), (4, "z9"), (5, "hunter2"), (6, "abcdefghijklmnop12==")}
+
+
+def test_benchmark_items_without_an_id_count(spark):
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "four five six"), (3, "clean text here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (None, "four five six"), (7, "seven eight nine")], "item_id long, text string")
+    for most in (500_000, 1):
+        found = {r.doc_id: r for r in decontamination.decontaminate(docs, bench, 3, max_broadcast=most).collect()}
+        assert [(len(found[k].hit_spans), found[k].hit_items) for k in (1, 2, 3)] == [(1, []), (1, []), (0, [])]
+        assert [r.doc_id for r in decontamination.decontaminate(docs, bench, 3, action="drop_documents", max_broadcast=most).collect()] == [3]
