@@ -6,7 +6,7 @@ Each stage is written as Parquet and read again as the documents of the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acceptlake.llm import decontamination, language_id, mixing, ngram_join, sharding
@@ -24,12 +24,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that with the smallest id; of rows that repeat its id one. Rows without an id stay."""
-    of = ngram_join.join_components(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    dropped = of.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__component"))
-    rows = docs.join(dropped, F.col("doc_id") == F.col("__id"), "left").where(F.col("__id").isNull() | (F.col("__id") == F.col("__component")))
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rows.withColumn("__again", again).where((F.col("__again") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    """One row of each component stays, that with the smallest id; rows without an id come last, and the hash of the text decides among equal ids."""
+    rows = staged(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    of = ngram_join.join_components(rows, SHINGLE_WORDS, SIMILARITY_PERCENT, id_col="__key").select("__key", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "__key")
+    first = of.join(rows.select("__key", order.alias("o")), "__key").groupBy("component_id").agg(F.min("o").alias("o"))
+    return rows.join(first.select(F.col("o.__key").alias("__key")), "__key", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

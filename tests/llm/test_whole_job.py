@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from acceptlake.llm import decontamination, secret_forest
 
 
@@ -28,3 +29,12 @@ def test_benchmark_items_without_an_id_count(spark):
         found = {r.doc_id: r for r in decontamination.decontaminate(docs, bench, 3, max_broadcast=most).collect()}
         assert [(len(found[k].hit_spans), found[k].hit_items) for k in (1, 2, 3)] == [(1, []), (1, []), (0, [])]
         assert [r.doc_id for r in decontamination.decontaminate(docs, bench, 3, action="drop_documents", max_broadcast=most).collect()] == [3]
+
+
+def test_pipeline_keeps_one_row_a_component(spark):
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcde")
+    rows = [(3, b), (7, a), (7, b + " end"), (8, c), (8, d), (None, e), (None, e), (None, e + " end"), (None, c)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert {(3, b), (7, a), (8, c), (8, d)} <= set(kept) and len(kept) == 5
+    assert [t for k, t in kept if k is None][0] in (e, e + " end")
