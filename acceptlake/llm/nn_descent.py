@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Neighbours of a node; random orders at the start, rows of their blocks; rounds at most and the share of edges that must still change.
-NEIGHBOURS, ORDERS, BLOCK, ROUNDS, CHANGE = 40, 4, 1024, 6, 0.01
-#: Best nodes that a query keeps, nodes it expands a hop, hops at most, spread nodes it starts from.
-KEPT, EXPANDED, HOPS, ENTRIES = 192, 24, 8, 32
+#: Neighbours of a node; random orders at the start, rows of their blocks; the share of edges that must still change for another round.
+NEIGHBOURS, ORDERS, BLOCK, CHANGE = 40, 4, 1024, 0.01
+#: Best nodes that a query keeps, nodes it expands a hop, spread nodes it starts from.
+KEPT, EXPANDED, ENTRIES = 192, 24, 32
 
 
 def prepared(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -148,22 +148,21 @@ def _compared(around: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node", "near").mapInArrow(scan, _EDGE)
 
 
-def build_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """Edges (u, v, s) to the best neighbours of each node."""
+def build_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Edges (u, v, s) to the best neighbours of each node. Rounds go on until few edges change; they end, as a node's neighbours only get better."""
     count = nodes.count()
     graph = None
     for order in range(ORDERS):
         part = _in_blocks(nodes, count, order, neighbours)
         graph = part if graph is None else graph.unionByName(part)
     graph = staged(_top(graph.dropDuplicates(["u", "v"]), neighbours), "graph")
-    for _ in range(rounds):
+    while True:
         new = _compared(_around(graph, neighbours), nodes, max(4, neighbours // 3)).unionByName(graph)
         new = staged(_top(new.groupBy("u", "v").agg(F.max("s").alias("s")), neighbours), "graph")
         same = new.join(graph.select("u", "v"), ["u", "v"], "left_semi").count()
         total, graph = new.count(), new
         if total - same <= CHANGE * total:
-            break
-    return graph
+            return graph
 
 
 def _inner(x: Column, y: Column) -> Column:
@@ -183,7 +182,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int, neigh
 
     best = Window.partitionBy("q").orderBy(F.desc("s"), "id")
     state = staged(scored(entries.distinct()).withColumn("open", F.lit(True)), "state")
-    for _ in range(HOPS):
+    while True:  # ends, as a node that has left the best kept never comes back
         # the own id has score infinity: it is expanded first and keeps its place
         grown = state.where("open").withColumn("r", F.row_number().over(best)).where(F.col("r") <= EXPANDED).select("q", F.col("id").alias("node"))
         grown = staged(grown, "grown")

@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
+import math
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from acceptlake.llm import decontamination, secret_forest
+from acceptlake.llm import decontamination, nn_descent, secret_forest
 
 
 def test_secrets_assigned_without_blanks(spark):
@@ -38,3 +40,16 @@ def test_pipeline_keeps_one_row_a_component(spark):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert {(3, b), (7, a), (8, c), (8, d)} <= set(kept) and len(kept) == 5
     assert [t for k, t in kept if k is None][0] in (e, e + " end")
+
+
+def test_neighbours_are_searched_until_none_is_open(spark, monkeypatch):
+    for name, value in (("KEPT", 6), ("EXPANDED", 2), ("ENTRIES", 1)):
+        monkeypatch.setattr(nn_descent, name, value)
+    n = 40  # a chain on a half circle: a hop comes a step or two nearer to the query
+    rows = [(i, [math.cos(math.pi * i / n), math.sin(math.pi * i / n)]) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "id long, v array<double>")
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n - 1)], "u long, v long, s float")
+    entry = nodes.orderBy(F.xxhash64("id"), "id").first().id
+    target = entry + 11 if entry + 11 < n else entry - 11
+    query = spark.createDataFrame([(-1, rows[target][1])], "id long, v array<double>")
+    assert nn_descent.search(query, nodes, chain, 1, 1).first().vec_id == target
