@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -26,11 +27,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: Spark's own setting by which a query's shuffle files go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: lineage is cut and lost executors cost nothing that is done."""
+    """Write df as Parquet into the shared folder and read it again: lineage is cut and lost executors cost nothing that is done.
+
+    The written table stands for df from here on, so the shuffle files that made it go at once and not when the driver's JVM happens
+    to collect its garbage. df itself shouldn't be run again.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._acceptlake_path = path
     return out
@@ -43,6 +57,25 @@ def unstage(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(df: DataFrame, *replaced: str) -> Column:
+    """df's columns but the replaced ones in one struct, so that no name of theirs can meet one that an operator uses."""
+    kept = without(df, *replaced).columns
+    return F.struct(*[df[f"`{c}`"] for c in kept]) if kept else F.struct(F.lit(None).alias("none"))
+
+
+def unpacked(df: DataFrame, name: str, like: DataFrame, *replaced: str) -> list[Column]:
+    """The packed columns of df again, in like's order."""
+    return [F.col(name)[c].alias(c) for c in without(like, *replaced).columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no column of that name."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that a result column is about to replace (names compare as Spark's resolver does, without case)."""
     low = {n.lower() for n in names}

@@ -4,7 +4,8 @@ Texts and items are lower-cased in A-Z; words are runs of ASCII letters, digits
 consecutive words of an item (a shorter item is one window of its own length). Every hash hit is verified on the words
 themselves before it counts. Null and empty texts have no words, so they are never hit and a null or empty item has no
 window. An item without an id hits as any other, but has no name in hit_items. Rows are judged one by one: repeated rows and
-rows without an id keep their place. Columns of the documents that share a name with a result column are replaced by it; all
+rows without an id keep their place, and ties don't arise. A very long text is scanned in a slice of its own. An empty table of documents
+gives an empty result, an empty benchmark hits nothing. Columns of the documents that share a name with a result column are replaced by it; all
 others pass through.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, Words, slices, staged, without
+from .common import ALNUM_WORDS, Words, free_name, slices, staged, unstage, without
 
 #: Windows that one broadcast holds at most (about 100 bytes each); more benchmark windows are scanned in further rounds.
 MAX_BROADCAST_WINDOWS = 500_000
@@ -133,6 +134,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: st
         out = _annotated(docs, [tuple(r) for r in windows.toLocalIterator()], text_col)
     else:
         out = _in_rounds(docs, windows, rounds, text_col)
+    unstage(windows)
     if action == "annotate":
         return out
     if action == "drop_documents":
@@ -142,19 +144,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: st
 
 def _in_rounds(docs: DataFrame, windows: DataFrame, rounds: int, text_col: str) -> DataFrame:
     """Each round broadcasts the windows of one hash class and scans all documents; a row's hits are joined by a row number that is fixed first."""
-    numbered = staged(without(docs, *RESULT.names, "__row").withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    row, gathered = free_name(docs, "row"), free_name(docs, "gathered")
+    numbered = staged(without(docs, *RESULT.names).withColumn(row, F.monotonically_increasing_id()), "numbered")
     spans = None
     for k in range(rounds):
         rows = [tuple(r) for r in windows.where(F.pmod(F.xxhash64("words"), F.lit(rounds)) == k).toLocalIterator()]
-        found = staged(_annotated(numbered.select("__row", text_col), rows, text_col).where(F.size("hit_spans") > 0).select("__row", "hit_spans", "hit_items"), "hits")
+        found = staged(_annotated(numbered.select(row, text_col), rows, text_col).where(F.size("hit_spans") > 0).select(row, "hit_spans", "hit_items"), "hits")
         spans = found if spans is None else spans.unionByName(found)
-    merged = spans.groupBy("__row").agg(F.flatten(F.collect_list("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
-    base = _annotated(numbered, [], text_col).drop("hit_spans", "hit_items", "clean_text").join(merged, "__row", "left")
+    merged = spans.groupBy(row).agg(F.flatten(F.collect_list("hit_spans")).alias(gathered), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    base = _annotated(numbered, [], text_col).drop("hit_spans", "hit_items", "clean_text").join(merged, row, "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             column = part.column(part.schema.get_field_index(text_col))
-            w, spans_in = Words(column, ALNUM_WORDS, lower=True), part.column(part.schema.get_field_index("spans")).to_pylist()
+            w, spans_in = Words(column, ALNUM_WORDS, lower=True), part.column(part.schema.get_field_index(gathered)).to_pylist()
             texts, spans_out = column.to_pylist(), []
             for d, found in enumerate(spans_in):
                 joined: list[list[int]] = []
@@ -171,7 +174,7 @@ def _in_rounds(docs: DataFrame, windows: DataFrame, rounds: int, text_col: str)
                         at = int(w.end[w.first[d] + b - 1])
                     texts[d] = b"".join([*out, w.raw[at : w.at[d + 1]].tobytes()]).decode("utf-8", "replace")
                 spans_out.append([{"first_word": a, "n_words": b - a} for a, b in joined])
-            names = [x for x in part.schema.names if x not in ("__row", "spans")]
+            names = [x for x in part.schema.names if x not in (row, gathered)]
             columns = {x: part.column(part.schema.get_field_index(x)) for x in names}
             columns["hit_spans"] = pa.array(spans_out, pa.list_(pa.struct([pa.field("first_word", pa.int32(), False), pa.field("n_words", pa.int32(), False)])))
             columns["clean_text"] = pa.array(texts, pa.string())
@@ -179,7 +182,7 @@ def _in_rounds(docs: DataFrame, windows: DataFrame, rounds: int, text_col: str)
             columns["hit_items"] = pa.array([x or [] for x in columns["hit_items"].to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([columns[x] for x in order], order)
 
-    return base.mapInArrow(clean, T.StructType([*without(docs, *RESULT.names, "__row").schema.fields, *RESULT.fields]))
+    return base.mapInArrow(clean, T.StructType([*without(docs, *RESULT.names).schema.fields, *RESULT.fields]))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ about ROWS_PER_BIN documents are summed first, then only the one bin of each sou
 order, so that a source with a third of all rows does not meet in one task. Only that bin's border goes back to the documents.
 
 Null and empty texts have size 0 and are taken 0 words; documents without a source form a source of their own; rows that
-share id, source and size stand for each other in ties and each counts; a null id hashes like the word "null". An empty table gives
-an empty result. Columns that share a name with a result column are replaced by it.
+share id, source and size stand for each other in ties and each counts; a null id hashes like the word "null". Very long texts count
+as any other, in the JVM. An empty table gives an empty result. Columns that share a name with a result column are replaced by it; all others
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, without
+from .common import free_name, packed, staged, unpacked, unstage, without
 
 ROWS_PER_BIN = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,9 +31,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def default_quality(text: Column, size: Column) -> Column:
+def default_quality(n_bytes: Column, size: Column) -> Column:
     """Quality weight of a text: 2 where a word has 3 to 12 bytes in the mean, as prose has, else 0.5; 1 without words."""
-    mean = F.octet_length(text) / size
+    mean = n_bytes / size
     return F.when(size <= 0, 1.0).when(mean.between(3, 12), 2.0).otherwise(0.5)
 
 
@@ -57,13 +58,20 @@ def source_targets(sizes: DataFrame, cycle: tuple[float, ...], share: float, cap
     return s.withColumn("epochs", epochs.cast("long")).select("source", "source_size", "rows", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, quality: Column | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Documents with size, source_size, target, times (how often the mix takes the document) and taken (its words, repeats counted)."""
-    size = word_count(F.col(text_col))
-    keyed = without(docs, *RESULT, "__key", "__bin", "__s").withColumn("size", size)
-    keyed = keyed.withColumn("__key", -F.log(uniform(F.col(id_col), seed)) / (default_quality(F.col(text_col), F.col("size")) if quality is None else F.when(quality > 0, quality).otherwise(1.0)))
-    keyed = keyed.withColumn("__s", F.col(source_col))
-    small = staged(keyed.select(F.col("__s").alias("source"), F.col(id_col).alias("id"), "size", F.col("__key").alias("key")), "mix")
+def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, quality: Column | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_text: bool = True) -> DataFrame:
+    """Documents with size, source_size, target, times (how often the mix takes the document) and taken (its words, repeats counted).
+
+    quality: a weight of each document from its columns (null or not positive: 1); without it, default_quality. Without with_text the
+    text is left out of the result, and the texts are read once only.
+    """
+    result = (*RESULT, *([] if with_text else [text_col]))
+    keyed = docs.select(packed(docs, *result).alias("doc"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), (F.lit(None).cast("double") if quality is None else F.when(quality > 0, quality).otherwise(1.0)).alias("quality"), F.octet_length(text_col).alias("bytes"))
+    weight = default_quality(F.col("bytes"), F.col("size")) if quality is None else F.col("quality")
+    keyed = keyed.withColumn("key", -F.log(uniform(F.col("id"), seed)) / weight)
+    if with_text:
+        small = staged(keyed.select("source", "id", "size", "key"), "mix")
+    else:
+        small = keyed = staged(keyed.select("doc", "source", "id", "size", "key"), "mix")
     targets = staged(source_targets(small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), cycle, share, cap), "targets")
 
     def binned(key: str) -> Column:
@@ -80,23 +88,25 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.
     border = met.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "id", "size")).alias("border")).withColumnRenamed("source", "b_source")
     cuts = t.join(last.withColumnRenamed("bin", "l_bin"), F.col("t_source").eqNullSafe(F.col("l_source")), "left").join(border, F.col("t_source").eqNullSafe(F.col("b_source")), "left")
     cuts = staged(cuts.select("t_source", "source_size", "rows", "target", "epochs", "rest", "l_bin", "border"), "cuts")
+    unstage(targets, *([small] if with_text else []))
 
-    out = keyed.join(cuts, F.col("__s").eqNullSafe(F.col("t_source"))).withColumn("__bin", binned("__key"))
-    here = F.struct(F.col("__key").alias("key"), F.col(id_col).alias("id"), F.col("size").alias("size"))
-    in_rest = F.coalesce((F.col("rest") > 0) & ((F.col("__bin") < F.col("l_bin")) | ((F.col("__bin") == F.col("l_bin")) & (here <= F.col("border")))), F.lit(False))
+    out = keyed.join(cuts, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("bin", binned("key"))
+    here = F.struct("key", "id", "size")
+    in_rest = F.coalesce((F.col("rest") > 0) & ((F.col("bin") < F.col("l_bin")) | ((F.col("bin") == F.col("l_bin")) & (here <= F.col("border")))), F.lit(False))
     out = out.withColumn("times", F.col("epochs") + in_rest.cast("long")).withColumn("taken", F.col("times") * F.col("size"))
-    return out.select(*[F.col(f"`{c}`") for c in without(docs, *RESULT).columns], *RESULT)
+    return out.select(*unpacked(out, "doc", docs, *result), *RESULT)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs."""
-    taken = mix(docs, **options).where("times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return taken.select(*[F.col(f"`{c}`") for c in without(docs, *RESULT).columns])
+    taken = mix(docs, **options).where("times > 0")
+    copy = free_name(taken, "copy")
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[F.col(f"`{c}`") for c in without(docs, *RESULT).columns])
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, with_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""

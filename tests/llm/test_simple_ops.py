@@ -162,3 +162,23 @@ def test_sharding_cuts_a_large_group(spark):
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("the same text")).otherwise(F.concat(F.lit("own "), F.col("id"))).alias("text"))
     sizes = [r.bytes for r in sharding.shard(hot, 8).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()]
     assert len(sizes) == 8 and max(sizes) < 1.03 * min(sizes)
+
+
+NAMES = "id doc text source size key quality bytes rows rest epochs border bin l_bin l_source t_source b_source target times taken copy cell range lo hi before offset low high weight w in_range in_group in_bin cut_shard shard slot law g_text o_shard o_range row gathered spans hit_spans hit_items clean_text n_words item items words __row __key __text __docs".split()
+
+
+def test_columns_may_have_any_name(spark):
+    fields = [n for n in NAMES if n not in ("text", "source")]
+    rows = [(k, f"one two three four five {k % 3}", "a", *[k] * len(fields)) for k in range(4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *fields])
+    bench = spark.createDataFrame([(1, "two three"), (2, "four five"), (3, "zero one")], "item_id long, text string")
+    for out, results in (
+        (mixing.mix(docs), mixing.RESULT),
+        (sharding.shard(docs, 2), sharding.RESULT),
+        (decontamination.decontaminate(docs, bench, 2), decontamination.RESULT.names),
+        (decontamination.decontaminate(docs, bench, 2, max_broadcast=1), decontamination.RESULT.names),
+    ):
+        assert out.columns == [*[c for c in docs.columns if c not in results], *results]
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert len(got) == 4 and all(got[k][c] == k for k in got for c in fields if c not in results)
+    assert mixing.mixed_documents(docs).columns == [c for c in docs.columns if c not in mixing.RESULT]
