@@ -53,18 +53,25 @@ def components_of(sets, percent):
     return {k: find(k) for k in sets}
 
 
-@pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
-def test_join_brute_force(spark, n, percent):
+def copies_with_changes(n):
     rng = random.Random(n)
     words = ["".join(rng.choices("abcdef", k=rng.randint(1, 5))) for _ in range(300)]
     rows = []
-    for group in range(12):
+    for _ in range(12):
         base = rng.choices(words, k=rng.choice([3, 6, 30, 120, 400]))
         for _ in range(rng.choice([1, 4, 40])):
             text = list(base)
             for _ in range(int(len(text) * rng.choice([0, 0.01, 0.02, 0.04, 0.06]))):
                 text[rng.randrange(len(text))] = rng.choice(words)
             rows.append((len(rows) * 7 % 1009, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("n, percent, block", [(4, 85, 2048), (5, 80, 2048), (4, 85, 5)])
+def test_join_brute_force(spark, monkeypatch, n, percent, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LEAF", min(block, 32))
+    rows = copies_with_changes(n)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(frame, n, percent).collect()}
     sets = sets_of(rows, n)
@@ -72,30 +79,54 @@ def test_join_brute_force(spark, n, percent):
     assert got == {k: (len(sets[k]), want[k]) for k in sets}
 
 
+@pytest.mark.parametrize("block", [2048, 5])
+def test_every_link_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LEAF", min(block, 32))
+    rows = copies_with_changes(4)
+    links, members = ngram_join.join_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets, n_links, pairs = sets_of(rows, 4), Counter(), set()
+    for a in sets:
+        for b in sets:
+            same = len(sets[a] & sets[b])
+            if a != b and sets[a] and 100 * same >= 85 * (len(sets[a]) + len(sets[b]) - same):
+                n_links[a] += 1
+                if sets[a] != sets[b]:
+                    pairs.add(frozenset([sets[a], sets[b]]))
+    got = members.collect()
+    assert {r.doc_id: (r.n_shingles, r.n_links) for r in got} == {k: (len(sets[k]), n_links[k]) for k in sets}
+    of = {r.class_id: sets[r.doc_id] for r in got}
+    assert {frozenset([of[r.left_class], of[r.right_class]]) for r in links.collect()} == pairs
+
+
 def test_join_edges(spark, edges):
     rows = ngram_join.join_components(edges).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == Counter([(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (4, 1, 3), (None, 1, 3), (5, 1, 5), (6, 47, 6), (7, 47, 6)])
     assert ngram_join.join_components(edges.limit(0)).count() == 0
 
 
-def test_leaves_lose_no_pair():
+def test_tree_loses_no_pair():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**58, 200, dtype=np.uint64)
     sets = []
-    for _ in range(150):
+    for _ in range(400):
         s = base.copy()
         s[rng.random(200) < rng.choice([0.02, 0.08, 0.3])] = rng.integers(0, 2**58, dtype=np.uint64)
         sets.append(np.unique(s))
     sets.sort(key=len)
-    tree, found = ngram_join._Leaves(85), set()
-    for i, s in enumerate(sets):
-        found |= {p for p in tree.add(len(s), i, i, ngram_join.point(s))}
-    found |= set(tree.close())
+    size, order = np.array([len(x) for x in sets]), np.arange(len(sets))
+    points = [ngram_join.point(x) for x in sets]
+    root = ngram_join.grown(size, order, order, points)
+    found = set(ngram_join.met(root, root, 85))
+    left, right = (ngram_join.grown(size[k::2], order[k::2], order[k::2], points[k::2]) for k in (0, 1))
+    across = set(ngram_join.met(left, right, 85))
+    assert root.children[0].children and len(found) < len(sets) * (len(sets) - 1) / 2
     for i in range(len(sets)):
         for j in range(i):
             same = len(np.intersect1d(sets[i], sets[j]))
             if 100 * same >= 85 * (len(sets[i]) + len(sets[j]) - same):
                 assert (j, i) in found or (i, j) in found
+                assert i % 2 == j % 2 or (j, i) in across or (i, j) in across
 
 
 def test_substring_dedup(spark, edges):
