@@ -561,6 +561,7 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     least = named.groupBy("component").agg(F.min("least").alias("of_component"))
     named = named.join(least, "component").select(F.col("node"), "of_component")
     final = classes.join(named, F.col("class") == F.col("node"), "left").select(F.col("class").alias("k"), F.coalesce("of_component", "least").alias("component_id"))
+    final = staged(final, "final")  # a join of two plain tables, of which Spark can split a full class
     rows = ids.join(final.hint("merge"), F.col("class") == F.col("k"), "left")
     return rows.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
