@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acceptlake.llm import decontamination, language_id, mixing, ngram_join, sharding
-from acceptlake.llm.common import staged
+from acceptlake.llm.common import free_name, staged, unstage
 
 #: A document whose best language fits worse than this is rejected, as is one without a letter.
 MIN_LANGUAGE_SCORE = 0.3
@@ -25,11 +25,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays, that with the smallest id; rows without an id come last, and the hash of the text decides among equal ids."""
-    rows = staged(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
-    of = ngram_join.join_components(rows, SHINGLE_WORDS, SIMILARITY_PERCENT, id_col="__key").select("__key", "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "__key")
-    first = of.join(rows.select("__key", order.alias("o")), "__key").groupBy("component_id").agg(F.min("o").alias("o"))
-    return rows.join(first.select(F.col("o.__key").alias("__key")), "__key", "left_semi").select(*docs.columns)
+    key = free_name(docs, "row_key")
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    of = ngram_join.join_components(rows, SHINGLE_WORDS, SIMILARITY_PERCENT, id_col=key).select(F.col(key).alias("k"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.col(key).alias("k"))
+    first = of.join(rows.select(F.col(key).alias("row_k"), order.alias("o")), F.col("k") == F.col("row_k")).groupBy("component_id").agg(F.min("o").alias("o"))
+    stay = staged(first.select(F.col("o.k").alias(key)), "stay")
+    return rows.join(stay.hint("merge"), key, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +64,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, name)
-    return docs
-
+        made = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return made
+        made = staged(made, name)
+        if k:
+            unstage(docs)
+        docs = made
 
