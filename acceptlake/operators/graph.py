@@ -73,15 +73,15 @@ def fan_out(edges: DataFrame) -> DataFrame:
 def blast_radius(edges: DataFrame, changed: DataFrame, max_depth: int = 4) -> DataFrame:
     """id, distance, reach of the nodes that depend on a changed one over at most max_depth edges; the changed ones themselves are left out.
 
-    One join for each step, against what earlier steps have reached. Changed ids that no edge knows reach nothing.
+    One join for each step; a node that several steps reach counts with the least. Changed ids that no edge knows reach nothing.
     """
     back = edges.select("source", "target").distinct()
-    seen = changed.select("id").distinct().withColumn("distance", F.lit(0))
-    frontier = seen
+    step = changed.select("id").distinct()
+    seen = step.withColumn("distance", F.lit(0))
     for depth in range(1, max_depth + 1):
-        step = back.join(frontier.select(F.col("id").alias("target")), "target").select(F.col("source").alias("id")).distinct()
-        frontier = step.join(seen, "id", "left_anti").withColumn("distance", F.lit(depth))
-        seen = seen.unionByName(frontier)
+        step = back.join(step.select(F.col("id").alias("target")), "target").select(F.col("source").alias("id")).distinct()
+        seen = seen.unionByName(step.withColumn("distance", F.lit(depth)))
+    seen = seen.groupBy("id").agg(F.min("distance").alias("distance"))
     return seen.where("distance > 0").withColumn("reach", F.when(F.col("distance") == 1, "direct").when(F.col("distance") == 2, "one_hop").otherwise("transitive"))
 
 
@@ -107,16 +107,28 @@ def _changed(a: str, b: str) -> Column:
     return ~F.col(a).eqNullSafe(F.col(b))
 
 
+def _last(df: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...], side: str) -> DataFrame:
+    """keys and a struct `side` of the fields of the last row of each key: by the column position, or by the fields where there is none."""
+    values = F.struct(*fields)
+    return df.groupBy(*keys).agg(F.max_by(values, F.struct(*(["position"] if "position" in df.columns else []), *fields)).alias(side))
+
+
+# Rules of a compared pair of symbols.
+SIGNATURE_CHANGED, BEHAVIOR_CHANGED, EXPORT_REMOVED = "impact.python-signature-changed", "impact.python-behavior-changed", "impact.public-export-removed"
+
+
 def symbol_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Findings of a compared pair of snapshots: symbols (name, signature, behaviour array, exported) by name; the last of a repeated name counts."""
-    p = previous.select("name", F.col("signature").alias("p_signature"), F.array_sort("behaviour").alias("p_behaviour"), F.col("exported").alias("p_exported"), F.lit(True).alias("was"))
-    c = current.select("name", F.col("signature").alias("c_signature"), F.array_sort("behaviour").alias("c_behaviour"), F.col("exported").alias("c_exported"), F.lit(True).alias("is"))
-    rows = p.join(c, "name", "full")
-    both = F.col("was").isNotNull() & F.col("is").isNotNull()
+    """Findings of a compared pair of snapshots: symbols (name, signature, behaviour array, exported, position) by name. Of a repeated
+    name the last one counts; how severe a change is depends on what was exported before."""
+    fields = ("signature", "behaviour", "exported")
+    sides = [_last(df.withColumn("behaviour", F.array_sort("behaviour")), ("name",), fields, s) for df, s in ((previous, "p"), (current, "c"))]
+    rows = sides[0].join(sides[1], "name", "full")
+    both = F.col("p").isNotNull() & F.col("c").isNotNull()
+    finding = lambda rule, severity: F.struct(F.lit(rule).alias("rule_id"), severity.alias("severity"))
     found = F.array(
-        F.when(both & _changed("p_signature", "c_signature"), F.struct(F.lit("api.signature-changed").alias("rule_id"), F.when(F.col("c_exported"), "high").otherwise("medium").alias("severity"))),
-        F.when(both & _changed("p_behaviour", "c_behaviour"), F.struct(F.lit("api.behaviour-changed").alias("rule_id"), F.lit("medium").alias("severity"))),
-        F.when(F.col("is").isNull() & F.col("p_exported"), F.struct(F.lit("api.removed").alias("rule_id"), F.lit("high").alias("severity"))),
+        F.when(both & _changed("p.signature", "c.signature"), finding(SIGNATURE_CHANGED, F.when(F.col("p.exported"), "high").otherwise("medium"))),
+        F.when(both & _changed("p.behaviour", "c.behaviour"), finding(BEHAVIOR_CHANGED, F.lit("medium"))),
+        F.when(F.col("c").isNull() & F.col("p.exported"), finding(EXPORT_REMOVED, F.lit("high"))),
     )
     return rows.select("name", F.inline(F.array_compact(found)))
 
@@ -127,11 +139,11 @@ def high_fan_in(edges: DataFrame, changed: DataFrame, threshold: int = 3) -> Dat
 
 
 def route_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Routes (method, path, request, response, status, depends) compared by method and path: change, breaking, explanation."""
-    fields = ("request", "response", "status", "depends")
-    side = lambda df, s: df.select("method", "path", *[F.col(f).alias(f"{s}_{f}") for f in fields], F.lit(True).alias(s))
-    rows = side(previous, "p").join(side(current, "c"), ["method", "path"], "full")
-    differ = {f: _changed(f"p_{f}", f"c_{f}") for f in fields}
+    """Routes (method, path, request, response, status, depends, position) compared by method and path, of a repeated route the last:
+    change, breaking, explanation."""
+    fields, keys = ("request", "response", "status", "depends"), ("method", "path")
+    rows = _last(previous, keys, fields, "p").join(_last(current, keys, fields, "c"), [*keys], "full")
+    differ = {f: _changed(f"p.{f}", f"c.{f}") for f in fields}
     texts = {"request": "request models changed", "response": "response model changed", "status": "status code changed", "depends": "dependencies changed"}
     what = F.concat_ws("; ", *[F.when(differ[f], texts[f]) for f in fields])
     change = F.when(F.col("c").isNull(), "removed").when(F.col("p").isNull(), "added").when(what != "", "modified")

@@ -105,7 +105,7 @@ def policy_decisions(metrics: DataFrame, rules: DataFrame, evidence: DataFrame |
     made = policy_compare(metrics, rules)
     refs = F.coalesce("evidence", F.array().cast("array<string>"))
     if evidence is not None:
-        made = made.join(F.broadcast(evidence), "metric", "left")
+        made = made.join(evidence, "metric", "left")
         refs = F.concat(refs, F.coalesce("refs", F.array().cast("array<string>")))
     outcome = F.when(F.col("matched"), "pass").otherwise(F.col("outcome"))
     text = F.concat(F.lit("Rule '"), "rule_id", F.when(F.col("matched"), "' satisfied: metric '").otherwise("' violated: metric '"), "metric", F.lit("' expected operator '"), "operator", F.lit("'."))

@@ -172,24 +172,40 @@ def dedupe_findings(findings: DataFrame, order: str) -> DataFrame:
     return out.select("fingerprint", "first", "f.*")
 
 
+def _hidden(kind: T.DataType) -> Column:
+    """What stands for a value under a sensitive name: the marker in every text, one element or entry for any number, else null."""
+    if isinstance(kind, T.StringType):
+        return F.lit(X.REDACTED)
+    if isinstance(kind, T.ArrayType):
+        return F.array(_hidden(kind.elementType))
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        return F.create_map(F.lit(X.REDACTED), _hidden(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_hidden(f.dataType).alias(f.name) for f in kind])
+    return F.lit(None).cast(kind)
+
+
 def redact_nested(df: DataFrame, known: tuple[str, ...] = ()) -> DataFrame:
-    """Every text of df redacted, at any depth; map entries and struct fields with a sensitive name wholly."""
+    """Every text of df redacted, at any depth, map keys as well. What stands under a sensitive column, field or key is hidden whatever its
+    type, nulls too. Of map keys that redaction makes equal the last counts."""
 
-    def visit(c: Column, kind: T.DataType, name: str | None) -> Column:
+    def visit(c: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StringType):
             return X.redact_text(c, known)
+        if isinstance(kind, T.BinaryType):
+            return X.redact_text(F.make_valid_utf8(c.cast("string")), known).cast("binary")
         if isinstance(kind, T.ArrayType):
-            return F.transform(c, lambda x: visit(x, kind.elementType, None))
+            return F.transform(c, lambda x: visit(x, kind.elementType))
         if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
-            hide = lambda k, v: F.when(X.sensitive_key(k), F.lit(X.REDACTED)).otherwise(visit(v, kind.valueType, None)) if isinstance(kind.valueType, T.StringType) else visit(v, kind.valueType, None)
-            return F.transform_values(c, hide)
+            value = lambda e: F.when(X.sensitive_key(e["key"]), _hidden(kind.valueType)).otherwise(visit(e["value"], kind.valueType))
+            clean = F.transform(F.map_entries(c), lambda e: F.struct(X.redact_text(e["key"], known).alias("key"), value(e).alias("value")))
+            last = F.filter(clean, lambda e, i: ~F.exists(F.slice(clean, i + 2, F.size(clean)), lambda later: later["key"] == e["key"]))
+            return F.map_from_entries(last)
         if isinstance(kind, T.StructType):
-            return F.when(c.isNull(), F.lit(None)).otherwise(F.struct(*[field(c[f.name], f).alias(f.name) for f in kind]))
+            return F.when(c.isNotNull(), F.struct(*[field(c[f.name], f) for f in kind]))
         return c
 
     def field(c: Column, f: T.StructField) -> Column:
-        if isinstance(f.dataType, T.StringType):
-            return F.when(X.sensitive_key(F.lit(f.name)) & c.isNotNull(), F.lit(X.REDACTED)).otherwise(visit(c, f.dataType, f.name))
-        return visit(c, f.dataType, f.name)
+        return F.when(X.sensitive_key(F.lit(f.name)), _hidden(f.dataType)).otherwise(visit(c, f.dataType)).alias(f.name)
 
-    return df.select(*[field(F.col(f"`{f.name}`"), f).alias(f.name) for f in df.schema])
+    return df.select(*[field(F.col(f"`{f.name}`"), f) for f in df.schema])

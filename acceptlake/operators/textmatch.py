@@ -1,7 +1,7 @@
 """Requirements matched to evidence by TF-IDF, keyword overlap and explicit references.
 
-requirements: id, title, text. candidates: id, kind, text, path, symbol. Requirements are the small side; their number is checked
-before they are broadcast.
+requirements: id, title, text. candidates: id, kind, text, path, symbol. Requirements are the small side, of a checked number; whether they
+are broadcast is left to Spark, which knows their size.
 """
 
 from __future__ import annotations
@@ -39,24 +39,32 @@ def candidate_text() -> Column:
 def similarities(left: DataFrame, right: DataFrame) -> DataFrame:
     """requirement_id, candidate_id, cosine, overlap of all pairs with a common token. left, right: tfidf rows; left is the small side."""
     norms = lambda df, name: df.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{name}_norm"), F.count("*").alias(f"{name}_size"))
-    small = F.broadcast(left.select(F.col("id").alias("requirement_id"), "token", F.col("w").alias("lw")))
+    small = left.select(F.col("id").alias("requirement_id"), "token", F.col("w").alias("lw"))
     dots = right.select(F.col("id").alias("candidate_id"), "token", F.col("w").alias("rw")).join(small, "token").groupBy("requirement_id", "candidate_id").agg(F.sum(F.col("lw") * F.col("rw")).alias("dot"), F.count("*").alias("common"))
-    out = dots.join(F.broadcast(norms(left, "l")), F.col("requirement_id") == F.col("id")).drop("id").join(norms(right, "r"), F.col("candidate_id") == F.col("id")).drop("id")
+    out = dots.join(norms(left, "l"), F.col("requirement_id") == F.col("id")).drop("id").join(norms(right, "r"), F.col("candidate_id") == F.col("id")).drop("id")
     norm = F.col("l_norm") * F.col("r_norm")
     return out.select("requirement_id", "candidate_id", F.when(norm > 0, F.col("dot") / norm).otherwise(0.0).alias("cosine"), (F.col("common") / F.greatest(F.lit(1), F.least("l_size", "r_size"))).alias("overlap"))
 
 
-def explicit_reference(requirements: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Pairs whose requirement names the candidate: its path, symbol or id, their last part, or the last dotted part if longer than three."""
-    low = F.lower("r_text")
+#: Lengths of the beginnings of names by which names meet the texts that may hold them.
+GRAMS = (8, 4, 2, 1)
+
 
-    def named(c: str) -> Column:
-        v = F.lower(F.nullif(F.col(c), F.lit("")))
-        short = F.substring_index(v, ".", -1)
-        return F.coalesce(low.contains(v) | low.contains(F.substring_index(v, "/", -1)) | ((F.length(short) > 3) & low.contains(short)), F.lit(False))
+def explicit_reference(requirements: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs whose requirement names the candidate: its path, symbol or id, their last part, or the last dotted part if longer than three.
 
-    r = F.broadcast(requirements.select(F.col("id").alias("requirement_id"), F.col("text").alias("r_text")))
-    return candidates.join(r, named("path") | named("symbol") | named("id")).select("requirement_id", F.col("id").alias("candidate_id"))
+    A name may stand anywhere in the text, so each different name meets the texts that hold its beginning (an equi join) and is then looked for.
+    """
+    value = lambda c: F.lower(F.nullif(F.col(c), F.lit("")))
+    short = lambda c: F.when(F.length(F.substring_index(value(c), ".", -1)) > 3, F.substring_index(value(c), ".", -1))
+    names = F.array_distinct(F.array_compact(F.array(*[x for c in ("path", "symbol", "id") for x in (value(c), F.substring_index(value(c), "/", -1), short(c))])))
+    named = candidates.select(F.col("id").alias("candidate_id"), F.explode(names).alias("name"))
+    texts = requirements.where(F.col("text").isNotNull()).select(F.col("id").alias("requirement_id"), F.lower("text").alias("r_text"))
+    all_of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("r_text") - n + 1)), lambda i: F.substring("r_text", i, F.lit(n)))
+    grams = texts.select("requirement_id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[all_of(n) for n in GRAMS]))).alias("gram"))
+    first = F.coalesce(*[F.when(F.length("name") >= n, F.left("name", F.lit(n))) for n in GRAMS], F.lit(""))
+    met = named.select("name").distinct().withColumn("gram", first).join(grams, "gram").join(texts, "requirement_id").where(F.col("r_text").contains(F.col("name")))
+    return named.join(met.select("name", "requirement_id"), "name").select("requirement_id", "candidate_id").distinct()
 
 
 def evidence_candidates(files: DataFrame, symbols: DataFrame, tests: DataFrame, routes: DataFrame, characters: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import policy as P
 from ..operators import security as S
 from .base import SEVERITIES, Registry, duck, table
-from .security_queries import DOC_FILES, SECRETS_SQL
+from .security_queries import DOC_FILES, LINES_SQL, SECRETS_SQL
 
 R = Registry()
 RULES = [
@@ -26,7 +26,7 @@ def secret_findings(spark, d):
     return S.dedupe_findings(rows.select("fingerprint", "doc_id", "source", "rule_id", "severity"), "doc_id")
 
 
-GATE_SQL = f"""files AS (SELECT source, doc_id, {duck(DOC_FILES)} AS path, text FROM documents WHERE text IS NOT NULL), {SECRETS_SQL},
+GATE_SQL = f"""files AS (SELECT source, doc_id, {duck(DOC_FILES)} AS path, text FROM documents WHERE text IS NOT NULL), {LINES_SQL}, {SECRETS_SQL},
 f AS (SELECT DISTINCT source, path, line, sha256(value) AS v, rule_id, severity FROM secrets JOIN files USING (path)),
 runs AS (SELECT DISTINCT source FROM documents),
 c AS (SELECT runs.source, {", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in SEVERITIES)} FROM runs LEFT JOIN f ON f.source = runs.source GROUP BY 1)"""

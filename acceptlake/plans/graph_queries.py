@@ -132,14 +132,17 @@ def _order_symbols(spark, d, current: bool):
     t = t.where("o_orderkey % 10 <> 0") if current else t.where("o_orderkey % 10 <> 1")
     signature = "CASE WHEN o_orderkey % 7 = 0 THEN concat(o_orderpriority, ' new') ELSE o_orderpriority END" if current else "o_orderpriority"
     behaviour = "CASE WHEN o_orderkey % 11 = 0 THEN array(o_orderstatus, 'raise') ELSE array(o_orderstatus) END" if current else "array(o_orderstatus)"
-    return t.selectExpr("concat('order.', o_orderkey) AS name", f"{signature} AS signature", f"{behaviour} AS behaviour", "o_custkey % 2 = 0 AS exported")
+    exported = "o_custkey % 3 = 0" if current else "o_custkey % 2 = 0"
+    symbols = t.selectExpr("concat('order.', o_orderkey) AS name", f"{signature} AS signature", f"{behaviour} AS behaviour", f"{exported} AS exported", "1 AS position")
+    earlier = t.where("o_orderkey % 4 = 0").selectExpr("concat('order.', o_orderkey) AS name", "'zz an earlier one' AS signature", "array('zz') AS behaviour", "o_custkey % 2 <> 0 AS exported", "0 AS position")
+    return symbols.unionByName(earlier)
 
 
 @R.add(
     "symbol_diff",
-    """SELECT 'order.' || o_orderkey AS name, 'api.removed' AS rule_id, 'high' AS severity FROM orders WHERE o_orderkey % 10 = 0 AND o_custkey % 2 = 0
-UNION ALL SELECT 'order.' || o_orderkey, 'api.signature-changed', CASE WHEN o_custkey % 2 = 0 THEN 'high' ELSE 'medium' END FROM orders WHERE o_orderkey % 10 > 1 AND o_orderkey % 7 = 0
-UNION ALL SELECT 'order.' || o_orderkey, 'api.behaviour-changed', 'medium' FROM orders WHERE o_orderkey % 10 > 1 AND o_orderkey % 11 = 0""",
+    """SELECT 'order.' || o_orderkey AS name, 'impact.public-export-removed' AS rule_id, 'high' AS severity FROM orders WHERE o_orderkey % 10 = 0 AND o_custkey % 2 = 0
+UNION ALL SELECT 'order.' || o_orderkey, 'impact.python-signature-changed', CASE WHEN o_custkey % 2 = 0 THEN 'high' ELSE 'medium' END FROM orders WHERE o_orderkey % 10 > 1 AND o_orderkey % 7 = 0
+UNION ALL SELECT 'order.' || o_orderkey, 'impact.python-behavior-changed', 'medium' FROM orders WHERE o_orderkey % 10 > 1 AND o_orderkey % 11 = 0""",
 )
 def symbol_diff(spark, d):
     return P.symbol_diff(_order_symbols(spark, d, False), _order_symbols(spark, d, True))
@@ -155,7 +158,8 @@ def _routes(spark, d, current: bool):
     t = table(spark, d, "customer")
     t = t.where("c_custkey % 10 <> 0") if current else t.where("c_custkey % 10 <> 1")
     new = lambda test, a, b: f"CASE WHEN {test} THEN {b} ELSE {a} END" if current else a
-    return t.selectExpr("'GET' AS method", "concat('/c/', c_custkey) AS path", f"{new('c_custkey % 7 = 0', 'c_mktsegment', 'c_name')} AS request", "c_mktsegment AS response", f"{new('c_custkey % 13 = 0', '200', '201')} AS status", f"{new('c_custkey % 5 = 0', 'c_nationkey', 'c_nationkey + 1')} AS depends")
+    routes = t.selectExpr("'GET' AS method", "concat('/c/', c_custkey) AS path", f"{new('c_custkey % 7 = 0', 'c_mktsegment', 'c_name')} AS request", "c_mktsegment AS response", f"{new('c_custkey % 13 = 0', '200', '201')} AS status", f"{new('c_custkey % 5 = 0', 'c_nationkey', 'c_nationkey + 1')} AS depends", "2 AS position")
+    return routes.unionByName(routes.where("CAST(substring(path, 4) AS INT) % 4 = 0").withColumn("request", F.lit("zz")).withColumn("position", F.lit(1)))
 
 
 @R.add(

@@ -45,12 +45,13 @@ def q(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
+#: Line by line: the j-th time that a value stands in a line belongs to the first rule that finds it there as often.
 SECRETS_SQL = (
     "hits AS ("
-    + " UNION ALL ".join(f"SELECT path, text, {i} AS place, '{r}' AS rule_id, '{s}' AS severity, unnest(regexp_extract_all(text, {q(p)}, 1)) AS value FROM files" for i, (r, s, p) in enumerate(P.SECRET_RULES))
-    + f"), secrets AS (SELECT path, line, value, arg_min(rule_id, place) AS rule_id, arg_min(severity, place) AS severity FROM (SELECT *, CAST(length(split_part(text, value, 1)) - length(replace(split_part(text, value, 1), chr(10), '')) + 1 AS INT) AS line FROM hits WHERE NOT {_PLACEHOLDER}) GROUP BY ALL)"
+    + " UNION ALL ".join(f"SELECT path, line, {i} AS place, '{r}' AS rule_id, '{s}' AS severity, unnest(regexp_extract_all(code, {q(p)}, 1)) AS value FROM lines" for i, (r, s, p) in enumerate(P.SECRET_RULES))
+    + f"), secrets AS (SELECT path, line, value, j, arg_min(rule_id, place) AS rule_id, arg_min(severity, place) AS severity FROM (SELECT *, row_number() OVER (PARTITION BY path, line, place, value) AS j FROM hits WHERE NOT {_PLACEHOLDER}) GROUP BY ALL)"
 )
-DOCS_SQL = f"files AS (SELECT doc_id, {duck(DOC_FILES)} AS path, text FROM documents WHERE text IS NOT NULL)"
+DOCS_SQL = f"files AS (SELECT doc_id, {duck(DOC_FILES)} AS path, text FROM documents WHERE text IS NOT NULL), {LINES_SQL}"
 
 
 @R.add("secret_scan", f"WITH {DOCS_SQL}, {SECRETS_SQL} SELECT path, rule_id, severity, line, {_MASK} AS masked FROM secrets")
@@ -63,11 +64,11 @@ _ENTROPY = "round(coalesce(-list_sum(list_transform(list_distinct(string_split(v
 
 @R.add(
     "high_entropy_scan",
-    f"""WITH {DOCS_SQL}, {SECRETS_SQL}, c AS (SELECT DISTINCT path, text, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{{28,}}')) AS value FROM files)
-SELECT path, {_ENTROPY} AS entropy, {_MASK} AS masked FROM c WHERE NOT {_PLACEHOLDER} AND NOT regexp_matches(value, '^(sha256-|symbol:|https)') AND {_ENTROPY} >= 2.5 AND NOT EXISTS (SELECT 1 FROM secrets s WHERE s.path = c.path AND s.value = c.value)""",
+    f"""WITH {DOCS_SQL}, {SECRETS_SQL}, c AS (SELECT path, line, unnest(regexp_extract_all(code, '[A-Za-z0-9+/=_-]{{18,}}')) AS value FROM lines)
+SELECT path, line, {_ENTROPY} AS entropy, {_MASK} AS masked FROM c WHERE NOT {_PLACEHOLDER} AND NOT regexp_matches(value, '^(sha256-|symbol:|https)') AND {_ENTROPY} >= 3.0 AND NOT EXISTS (SELECT 1 FROM secrets s WHERE s.path = c.path AND s.value = c.value)""",
 )
 def high_entropy_scan(spark, d):
-    return P.high_entropy_scan(docs(spark, d), threshold=2.5).select("path", F.round("entropy", 6).alias("entropy"), X.mask(F.col("value")).alias("masked"))
+    return P.high_entropy_scan(docs(spark, d), threshold=3.0, length=18).select("path", "line", F.round("entropy", 6).alias("entropy"), X.mask(F.col("value")).alias("masked"))
 
 
 @R.add("shannon_entropy", f"SELECT p_partkey, {_ENTROPY.replace('value', 'p_name')} AS entropy FROM part")
@@ -194,13 +195,27 @@ def leak_gate(spark, d):
     return table(spark, d, "documents").select("doc_id", X.leaks(F.col("text")).alias("leaks"))
 
 
-@R.add("redact_nested", "SELECT event_id, CASE WHEN event_type IN ('click') THEN '[REDACTED]' ELSE json_extract_string(props, '$.k') END AS v, 'user ' || user_id AS note FROM events")
+@R.add(
+    "redact_nested",
+    """WITH e AS (SELECT event_id, event_type = 'click' AS hide, json_extract_string(props, '$.k') AS v, user_id, value FROM events)
+SELECT event_id, CASE WHEN hide THEN '[REDACTED]' ELSE v END AS v, CASE WHEN hide THEN '[REDACTED]' ELSE v || ',' || user_id END AS many, CASE WHEN hide THEN '[REDACTED]=[REDACTED]' ELSE 'k=' || v END AS deep,
+ '[REDACTED]' AS listed, CAST(NULL AS DOUBLE) AS numbered, '[REDACTED] of ' || user_id AS keys, 'user ' || user_id AS note FROM e""",
+)
 def redact_nested(spark, d):
-    e = table(spark, d, "events")
-    key = F.when(F.col("event_type") == "click", "api_key").otherwise("k")
-    nested = e.select("event_id", F.struct(F.create_map(key, F.get_json_object("props", "$.k")).alias("values"), F.concat(F.lit("user "), "user_id").alias("note")).alias("x"))
-    out = P.redact_nested(nested)
-    return out.select("event_id", F.element_at(F.map_values("x.values"), 1).alias("v"), F.col("x.note").alias("note"))
+    e = table(spark, d, "events").withColumn("v", F.get_json_object("props", "$.k")).withColumn("key", F.when(F.col("event_type") == "click", "api_key").otherwise("k"))
+    user = F.col("user_id").cast("string")
+    x = F.struct(
+        F.create_map("key", "v").alias("values"),
+        F.create_map("key", F.array("v", user)).alias("lists"),
+        F.create_map("key", F.create_map(F.lit("k"), F.col("v"))).alias("maps"),
+        F.struct(F.array("v", user).alias("auth_token"), F.struct(F.col("value").alias("n")).alias("password")).alias("own"),
+        F.create_map(F.concat(F.lit("ghp_abcdefghijklmnopqrstuvwxyz0123456789 of "), user), F.lit(1)).alias("keyed"),
+        F.concat(F.lit("user "), user).alias("note"),
+    )
+    out = P.redact_nested(e.select("event_id", x.alias("x")))
+    first = lambda c: F.element_at(F.map_values(c), 1)
+    deep = F.concat(F.element_at(F.map_keys(first("x.maps")), 1), F.lit("="), F.element_at(F.map_values(first("x.maps")), 1))
+    return out.select("event_id", first("x.values").alias("v"), F.array_join(first("x.lists"), ",").alias("many"), deep.alias("deep"), F.array_join("x.own.auth_token", ",").alias("listed"), F.col("x.own.password.n").cast("double").alias("numbered"), F.element_at(F.map_keys("x.keyed"), 1).alias("keys"), F.col("x.note").alias("note"))
 
 
 @R.add("sensitive_key", "SELECT p_partkey, k AS name, p_partkey % 8 IN (0, 1, 2, 4, 6) AS sensitive FROM (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'apiKey' WHEN 1 THEN 'client-secret' WHEN 2 THEN 'user.password' WHEN 3 THEN 'tokenizer' WHEN 4 THEN 'dbAuthToken' WHEN 5 THEN 'keyboard' WHEN 6 THEN 'SESSION' ELSE 'p' || p_size END AS k FROM part)")

@@ -25,7 +25,7 @@ def candidates(spark, d):
 
 _TOKENS = "list_filter(regexp_extract_all(lower({}), '[a-z][a-z0-9_/-]+'), lambda t: t NOT IN {})"
 BASE_SQL = f"""req AS (SELECT 'REQ-' || item_id AS id, 'Item ' || item_id AS title, text FROM benchmark),
-cand AS (SELECT {duck(_ID)} AS id, {_KIND} AS kind, substring(text, 1, {P.CANDIDATE_CHARACTERS}) AS text, {duck(DOC_FILES)} AS path, {_SYMBOL} AS symbol FROM documents),
+cand AS (SELECT {duck(_ID)} AS id, {_KIND} AS kind, text, {duck(DOC_FILES)} AS path, {_SYMBOL} AS symbol FROM documents),
 plain AS (SELECT 'r' || id AS id, {_TOKENS.format("text", _STOP)} AS t FROM req UNION ALL SELECT 'c' || id, {_TOKENS.format("text", _STOP)} FROM cand),
 idf AS (SELECT token, ln((1.0 + (SELECT count(*) FROM plain)) / (1 + count(*))) + 1 AS idf FROM (SELECT DISTINCT id, unnest(t) AS token FROM plain) GROUP BY token),
 full_ AS (SELECT 'r' AS side, id, {_TOKENS.format("text", _STOP)} AS t FROM req UNION ALL SELECT 'c', id, {_TOKENS.format("concat_ws(' ', nullif(text, ''), path, nullif(symbol, ''))", _STOP)} FROM cand),
@@ -49,7 +49,7 @@ def _counts(spark, d):
     return P.tokenize(candidates(spark, d))
 
 
-@R.add("tokenize", f"SELECT {duck(_ID)} AS id, CAST(len(t) AS INT) AS total, token, count(*) AS n FROM (SELECT doc_id, t, unnest(t) AS token FROM (SELECT doc_id, {_TOKENS.format(f'substring(text, 1, {P.CANDIDATE_CHARACTERS})', _STOP)} AS t FROM documents)) GROUP BY doc_id, len(t), token")
+@R.add("tokenize", f"SELECT {duck(_ID)} AS id, CAST(len(t) AS INT) AS total, token, count(*) AS n FROM (SELECT doc_id, t, unnest(t) AS token FROM (SELECT doc_id, {_TOKENS.format('text', _STOP)} AS t FROM documents)) GROUP BY doc_id, len(t), token")
 def tokenize(spark, d):
     return _counts(spark, d)
 
@@ -93,7 +93,7 @@ def explicit_reference(spark, d):
 @R.add(
     "evidence_candidates",
     f"""WITH f AS (SELECT doc_id, {duck(DOC_FILES)} AS path, text, split_part(text, ' ', 1) AS symbol FROM documents)
-SELECT 'file:' || path AS id, 'file' AS kind, length(substring(text, 1, 20000)) AS n, path, NULL AS symbol FROM f
+SELECT 'file:' || path AS id, 'file' AS kind, length(text) AS n, path, NULL AS symbol FROM f
 UNION ALL SELECT 'symbol:' || path || ':' || symbol, 'symbol', length(symbol), path, symbol FROM f WHERE doc_id % 2 = 0
 UNION ALL SELECT 'test:' || path || ':' || symbol, 'test', length(symbol), path, symbol FROM f WHERE doc_id % 3 = 0
 UNION ALL SELECT 'route:' || path || ':' || symbol, 'route', length(symbol), path, symbol FROM f WHERE doc_id % 5 = 0""",

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acceptlake.functions import text as X
+from acceptlake.operators import graph as G
 from acceptlake.operators import patches as PA
 from acceptlake.operators import policy as P
 from acceptlake.operators import security as S
@@ -84,6 +85,19 @@ def test_redaction(spark):
     assert token not in rows[0].t and rows[5].t == "plain text"
     nested = S.redact_nested(spark.createDataFrame([({"apiKey": "x", "n": "ok"}, ("tok", "me"))], "m map<string,string>, s struct<auth_token:string,name:string>")).first()
     assert nested.m == {"apiKey": "[REDACTED]", "n": "ok"} and tuple(nested.s) == ("[REDACTED]", "me")
+    kind = "m map<string,array<string>>, mm map<string,map<string,string>>, token struct<a:string,n:int>, api_key array<string>, keys map<string,string>, note string"
+    row = S.redact_nested(spark.createDataFrame([({"password": ["hunter2"], "n": ["ok"]}, {"token": {"a": "b"}}, ("x", 1), ["y"], {f"k {token}": "1", "k": "2"}, None)], kind)).first()
+    assert row.m == {"password": ["[REDACTED]"], "n": ["ok"]} and row.mm == {"token": {"[REDACTED]": "[REDACTED]"}}
+    assert tuple(row.token) == ("[REDACTED]", None) and row.api_key == ["[REDACTED]"] and row.note is None
+    assert set(row["keys"].values()) == {"1", "2"} and not any(token in k for k in row["keys"])
+
+
+def test_last_of_a_repeated_name_counts(spark):
+    kind = "name string, signature string, behaviour array<string>, exported boolean, position int"
+    before = spark.createDataFrame([("f", "(a)", [], True, 1), ("f", "(b)", [], False, 2), ("g", "()", [], True, 1)], kind)
+    after = spark.createDataFrame([("f", "(b)", [], True, 2), ("f", "(c)", [], True, 1), ("g", "(x)", [], False, 1)], kind)
+    assert [tuple(r) for r in G.symbol_diff(before, after).collect()] == [("g", "impact.python-signature-changed", "high")]
+    assert G.symbol_diff(before, before).count() == 0
 
 
 def test_secret_scan_masks_and_skips(spark):
