@@ -2,19 +2,26 @@
 
 Every run of `window` words is an edge of the De Bruijn graph whose nodes are the runs one word shorter. Edges are dealt out by
 minimizer: of the sub-runs of `anchor` words in an edge, the one with the least hash decides where the edge goes, so equal edges
-of any documents meet. Neighbouring edges with the same minimizer travel as one nonbranching path of a document (about one row
-for every four and a half edges), with a 32-bit print for each edge beside the 64-bit hash of its minimizer. Where they meet, a document's
-edges are matched, at the same offset from the minimizer, with those of smaller doc_ids; each match keeps the source
-coordinates (document and word) of the smallest. A Spark join on the documents brings the pieces of a document together, which
-are compacted there into the longest spans whose source coordinates run on in step.
+of any documents meet, and neighbouring edges with the same minimizer travel together (about one row for every four and a half edges,
+with a 48-bit print for each edge beside the 64-bit hash of its minimizer). Where they meet, an edge is named by the smallest document that
+it starts in: its source coordinate (document and word). Edges that no smaller document has are no repeats and end there.
 
-Copies of a path inside one slice of a task are settled there and pass the exchange under scattered keys, so a passage that a third of
+The repeated edges are then compacted. Consecutive edges of a document whose source coordinates run on in step are one path (`spans`,
+by Spark windows). In source coordinates, a node at which some span begins or ends is one where documents part or meet, and the
+stretches between such nodes are the unbranched paths of the repeated graph (`unitigs`, with how many documents' spans run through them).
+
+Each span is verified: a Spark join brings the spans to the texts of both ends, and the words at the document's and at the source's coordinates
+must have the same 128-bit digest. Documents with a span that fails (its print stood for other words) are matched again by
+another hash until none fails, so no prints decide what is removed.
+
+Copies of a path inside one task are settled there and pass the exchange under scattered keys, so a passage that a third of
 all documents share doesn't fill one task; what does meet is streamed in sorted order with one entry for each different edge.
 
 An edge is removed if it also starts in a document with a smaller doc_id. Null or empty texts, and texts shorter than a
-window, keep all their words. Rows without an id are neither sources nor cut. Rows that repeat an id aren't sources for
-each other: repeated rows stay alike, and rows that share an id but not the text are told apart by a 16-bit print of the text.
-Columns that share a name with a result column are replaced by it.
+window, keep all their words; an empty table gives an empty result; a very long text is handled in a slice of its own. Rows without an id
+are neither sources nor cut. Rows that repeat an id aren't sources for each other: repeated rows stay alike, and rows that share an id but not
+the text are told apart by a 16-bit print of the text. Of equal sources any of the smaller documents may be named.
+Columns that share a name with a result column are replaced by it; all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_WORDS, Words, mix, slices, staged, without
+from .common import SPACE_WORDS, Words, free_name, mix, slices, span_hashes, staged, unstage, without
 
 WINDOW, ANCHOR = 13, 6
-#: Pieces (about 50 bytes each) that a broadcast join brings to the documents; more go by a shuffle.
-MAX_BROADCAST_PIECES = 1_000_000
+#: Bits of an edge's print in the first round; later rounds take all 64 of another hash.
+PRINT_BITS = 48
+#: Rounds after which something else than chance must be wrong.
+MAX_ROUNDS = 20
+#: Repeated paths that a task remembers to settle their copies.
+REMEMBERED = 1 << 20
 _U = np.uint64
 _SETTLED = 15  # in the offset's place: the row is no path but a span that is settled already
 _SPAN = T.StructType([T.StructField("first_word", T.IntegerType(), False), T.StructField("n_words", T.IntegerType(), False), T.StructField("source_id", T.LongType(), False), T.StructField("source_word", T.IntegerType(), False)])
@@ -49,20 +61,46 @@ def _print16(w: Words, docs: np.ndarray) -> np.ndarray:
     return (w.whole(docs) >> _U(48)).astype(np.int64)
 
 
-def paths(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
-    """Paths of edges: a (hash of the minimizer), d (document), at (text print, first word, offset of the minimizer), f (edge prints)."""
+def _tags(w: Words, n: int) -> np.ndarray:
+    """Print of each text; 0 without words."""
+    out = np.zeros(n, np.int64)
+    there = np.flatnonzero(w.count > 0)
+    out[there] = _print16(w, there)
+    return out
+
+
+def _print_bytes(h: np.ndarray, round_: int) -> np.ndarray:
+    """Prints of edges, a row of bytes each."""
+    p = h if round_ else (h >> _U(16)) & _U((1 << PRINT_BITS) - 1)
+    return p.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if round_ else 6]
+
+
+def _prints(data: np.ndarray, round_: int) -> np.ndarray:
+    n = 8 if round_ else 6
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = data.reshape(-1, n)
+    return out.reshape(-1).view("<u8")
+
+
+def paths(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int, round_: int = 0) -> DataFrame:
+    """Runs of edges: a (hash of the minimizer), d (document), at (text print, first word, offset of the minimizer), f (edge prints)."""
     if not 1 <= window - anchor + 1 <= 14:
         raise ValueError("the minimizer's offset must be 0 to 13")
 
+    def binary(rows: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(rows.tobytes())])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # runs, their smallest document in this task and its word
         for part in slices(batches, "text"):
             w = Words(part.column(1), SPACE_WORDS, lower=False)
-            i, h = w.runs(window)
+            hashes = span_hashes(w.data ^ np.uint8(round_ & 255), w.start, w.end) if round_ else w.hash
+            i, h = w.runs(window, hashes)
             if not len(i):
                 continue
             ids = part.column(0).to_numpy()
             sub = np.zeros(len(w.hash), np.uint64)
-            k, kh = w.runs(anchor)
+            k, kh = w.runs(anchor, hashes)
             sub[k] = kh
             least, place = sub[i], i.copy()
             for t in range(1, window - anchor + 1):
@@ -74,50 +112,56 @@ def paths(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int)
             stop = np.append(first[1:], len(i))
             doc = w.doc[i[first]]
             d, word = ids[doc], i[first] - w.first[doc]
-            printed = np.zeros(part.num_rows, np.int64)
-            there = np.flatnonzero(w.count > 0)
-            printed[there] = _print16(w, there)
-            at = (printed[doc] << 44) | (word << 4) | (place[first] - i[first])
-            # a path is known by its first and last edge; all but the smallest document's are settled here
+            at = (_tags(w, part.num_rows)[doc] << 44) | (word << 4) | (place[first] - i[first])
+            # a run is known by its first and last edge; all but the smallest document's are settled here
             key = mix(h[first] ^ mix(h[stop - 1] + (stop - first).astype(np.uint64)))
             order = np.lexsort((d, key))
             head = np.ones(len(order), bool)
             head[1:] = key[order][1:] != key[order][:-1]
             lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-            source = np.empty(len(order), np.int64)
-            source[order] = lead
-            done = d > d[source]
+            src, src_word = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            src[order], src_word[order] = d[lead], word[lead]
+            several = np.append(head[1:], True) < head  # heads that have copies here
+            heads = order[several]
+            # the smallest so far of each run that has copies in a slice (known and these, sorted by run and document)
+            keys, ds, words = (np.concatenate([x, y[heads]]) for x, y in zip(known, (key, d, word), strict=True))
+            by = np.lexsort((ds, keys))
+            by = by[np.append(True, keys[by][1:] != keys[by][:-1])[: len(by)]]
+            known = tuple(x[by] for x in (keys, ds, words))
+            if len(heads):
+                spot = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+                hit = (known[0][spot] == key) & (known[1][spot] < src)
+                src[hit], src_word[hit] = known[1][spot[hit]], known[2][spot[hit]]
+            if len(known[0]) > REMEMBERED:
+                known = tuple(x[:0] for x in known)
+            done = d > src
             live = ~done
-            prints = (h >> _U(32)).astype("<u4")
             take = np.repeat(live, stop - first)
-            places = np.zeros(live.sum() + 1, np.int32)
-            np.cumsum((stop - first)[live] * 4, out=places[1:])
-            f = pa.Array.from_buffers(pa.binary(), int(live.sum()), [None, pa.py_buffer(places), pa.py_buffer(prints[take].tobytes())])
+            f = binary(_print_bytes(h[take], round_), np.cumsum((stop - first)[live] * (8 if round_ else 6)))
             yield pa.RecordBatch.from_arrays([pa.array(least[first][live].view(np.int64)), pa.array(d[live]), pa.array(at[live]), f], ["a", "d", "at", "f"])
             if done.any():
                 row = np.zeros(int(done.sum()), np.dtype([("n", "<i4"), ("word", "<i4"), ("id", "<i8")]))
-                row["n"], row["word"], row["id"] = (stop - first)[done], word[source[done]], d[source[done]]
-                f = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, 16 * len(row) + 1, 16, dtype=np.int32)), pa.py_buffer(row.tobytes())])
+                row["n"], row["word"], row["id"] = (stop - first)[done], src_word[done], src[done]
                 scattered = mix(d[done].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + at[done].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(scattered.view(np.int64)), pa.array(d[done]), pa.array(at[done] | _SETTLED), f], ["a", "d", "at", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(scattered.view(np.int64)), pa.array(d[done]), pa.array(at[done] | _SETTLED), binary(row, np.arange(16, 16 * len(row) + 1, 16))], ["a", "d", "at", "f"])
 
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(scan, "a long, d long, at long, f binary")
 
 
 class _Meeting:
-    """Matches edges in a stream of paths sorted by minimizer and document; keeps the smallest source of each edge of the last minimizer."""
+    """Matches edges in a stream of runs sorted by minimizer and document; keeps the smallest source of each edge of the last minimizer."""
 
     def __init__(self) -> None:
         self.a, self.key, self.d, self.word = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def spans(self, a: np.ndarray, d: np.ndarray, at: np.ndarray, n: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, ...]:
+    def pieces(self, a: np.ndarray, d: np.ndarray, at: np.ndarray, n: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, ...]:
         """Matched pieces: row, first word, edges, source document, source word."""
         row = np.repeat(np.arange(len(a)), n)
         j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         offset = (at & 15)[row] - j + 16
         word = ((at >> 4) & ((1 << 40) - 1))[row] + j
-        key = mix(a.view(np.uint64)[row] ^ mix((offset.astype(np.uint64) << _U(32)) | prints.astype(np.uint64)))
+        key = mix(a.view(np.uint64)[row] ^ mix(prints + offset.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
         own = len(self.key) if self.a == a[0] else 0
         keys, ds, words = np.concatenate([self.key[:own], key]), np.concatenate([self.d[:own], d[row]]), np.concatenate([self.word[:own], word])
         order = np.argsort(keys, kind="stable")
@@ -139,7 +183,7 @@ class _Meeting:
         return row[hit[first]], word[hit[first]], np.diff(np.append(first, len(hit))), src[first], src_word[first]
 
 
-def matched(rows: DataFrame) -> DataFrame:
+def matched(rows: DataFrame, round_: int = 0) -> DataFrame:
     """Pieces of documents that also start in a smaller document: d, tag (text print), word, edges, source, source_word."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,64 +207,152 @@ def matched(rows: DataFrame) -> DataFrame:
                 yield out(d[done], at[done], (at[done] >> 4) & ((1 << 40) - 1), row["n"], row["id"], row["word"])
             live = ~done
             if live.any():
-                n = (np.diff(places)[live]) // 4
-                piece = meeting.spans(a[live], d[live], at[live], n, np.frombuffer(data[~inside].tobytes(), "<u4"))
+                n = np.diff(places)[live] // (8 if round_ else 6)
+                piece = meeting.pieces(a[live], d[live], at[live], n, _prints(data[~inside], round_))
                 yield out(d[live][piece[0]], at[live][piece[0]], *piece[1:])
 
     met = rows.repartition("a").sortWithinPartitions("a", "d", "at")
     return met.mapInArrow(scan, "d long, tag int, word int, edges int, source long, source_word int")
 
 
+def compacted(pieces: DataFrame) -> DataFrame:
+    """Pieces of one document and source that run on in step, joined: d, tag, word, edges, source, source_word."""
+    lane = ["d", "tag", "source", "step"]
+    end = F.col("word") + F.col("edges")
+    order = Window.partitionBy(*lane).orderBy("word", "edges")
+    rows = pieces.withColumn("step", F.col("source_word") - F.col("word"))
+    rows = rows.withColumn("reached", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("word") <= F.col("reached"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy(*lane, "run").agg(F.min("word").alias("word"), F.max(end).alias("end"), F.min("source_word").alias("source_word"))
+    return runs.select("d", "tag", "word", (F.col("end") - F.col("word")).alias("edges"), "source", "source_word")
+
+
+def unitigs(spans: DataFrame) -> DataFrame:
+    """The unbranched paths of the repeated graph in source coordinates: source, source_word, edges, copies (spans that run through).
+
+    Where some span begins or ends, the node before the edge branches: some documents come or leave there. Counts are added up for each node
+    before they meet, so a source that many share brings a row for each of its branching nodes.
+    """
+    ends = spans.select("source", F.col("source_word").alias("at"), F.lit(1).alias("change")).unionByName(spans.select("source", (F.col("source_word") + F.col("edges")).alias("at"), F.lit(-1).alias("change")))
+    nodes = ends.groupBy("source", "at").agg(F.sum("change").alias("change"))
+    order = Window.partitionBy("source").orderBy("at")
+    through = F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = nodes.select("source", "at", through.alias("copies"), F.lead("at").over(order).alias("next")).where("copies > 0")
+    return rows.select("source", F.col("at").alias("source_word"), (F.col("next") - F.col("at")).alias("edges"), "copies")
+
+
+def _joined(w: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The (kept) words of a slice, each with one space behind it, and where each begins, with the end."""
+    start, end = (w.start, w.end) if keep is None else (w.start[keep], w.end[keep])
+    size = end - start
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(at[-1], 0x20, np.uint8)
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(at[:-1], size) + inside] = w.raw[np.repeat(start, size) + inside]
+    return out, at
+
+
+def _digests(docs: DataFrame, spans: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """id, tag, word, edges, digest of the words at both ends of the spans, in every text of that id that is long enough."""
+    wanted = spans.select(F.col("d").alias("w_id"), "word", "edges").unionByName(spans.select(F.col("source").alias("w_id"), F.col("source_word").alias("word"), "edges")).distinct()
+    wanted = staged(wanted.groupBy("w_id").agg(F.collect_list(F.struct("word", "edges")).alias("wanted")), "wanted")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), F.col("id") == F.col("w_id")).select("id", "text", "wanted")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            w = Words(part.column(1), SPACE_WORDS, lower=False)
+            flat, at = _joined(w)
+            data, tags = flat.tobytes(), _tags(w, part.num_rows)
+            lists = part.column(2)
+            edge = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            values = lists.flatten()
+            word, edges = (values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            row = np.repeat(np.arange(part.num_rows), np.diff(edge))
+            a = w.first[row] + word
+            b = a + edges + window - 1
+            ok = b <= w.first[row + 1]
+            row, word, edges, a, b = (x[ok] for x in (row, word, edges, a, b))
+            digest = [hashlib.blake2b(data[x:y], digest_size=16).digest() for x, y in zip(at[a].tolist(), (at[b] - 1).tolist(), strict=True)]
+            ids = part.column(0).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(tags[row], pa.int32()), pa.array(word, pa.int32()), pa.array(edges, pa.int32()), pa.array(digest, pa.binary())], ["id", "tag", "word", "edges", "digest"])
+
+    out = staged(rows.mapInArrow(scan, "id long, tag int, word int, edges int, digest binary").distinct(), "digests")
+    unstage(wanted)
+    return out
+
+
+def _unverified(spans: DataFrame, digests: DataFrame) -> DataFrame:
+    """d of the spans whose words differ from those at the source."""
+    own = digests.select(F.col("id").alias("d"), "tag", "word", "edges", F.col("digest").alias("own"))
+    theirs = digests.select(F.col("id").alias("source"), F.col("word").alias("source_word"), "edges", F.col("digest").alias("own"), F.lit(1).alias("same")).distinct()
+    checked = spans.join(own.hint("merge"), ["d", "tag", "word", "edges"], "left").join(theirs.hint("merge"), ["source", "source_word", "edges", "own"], "left")
+    return checked.groupBy(*spans.columns).agg(F.max("same").alias("same")).where(F.col("same").isNull()).select("d").distinct()
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verified spans: d, tag, word, edges (windows), source, source_word."""
+
+    def round_of(k: int) -> DataFrame:
+        pieces = staged(matched(paths(docs, id_col, text_col, window, anchor, k), k), "pieces")
+        spans = staged(compacted(pieces), "spans")
+        unstage(pieces)
+        return spans
+
+    spans, k = round_of(0), 0
+    open_ = spans
+    while True:
+        digests = _digests(docs, open_, window, id_col, text_col)
+        failed = staged(_unverified(open_, digests), "failed")
+        unstage(digests)
+        if failed.isEmpty():
+            unstage(failed)
+            return spans
+        k += 1
+        if k > MAX_ROUNDS:
+            raise RuntimeError("spans fail whatever the hash")
+        again = round_of(k)
+        open_ = staged(again.join(failed, "d", "left_semi"), "again")
+        better = staged(spans.join(failed, "d", "left_anti").unionByName(open_), "spans")
+        unstage(again, spans, failed)
+        spans = better
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_words, n_removed, removed_spans (with source coordinates), kept_text and its digest."""
-    kept = without(docs, *RESULT.names, "__pieces", "__d")
-    pieces = staged(matched(paths(docs, id_col, text_col, window, anchor)), "pieces")
-    few = pieces.count() <= MAX_BROADCAST_PIECES
-    pieces = pieces.groupBy(F.col("d").alias("__d")).agg(F.collect_list(F.struct("word", "tag", "edges", "source", "source_word")).alias("__pieces"))
-    joined = kept.join(F.broadcast(pieces) if few else pieces, kept[f"`{id_col}`"].cast("long") == pieces["__d"], "left").drop("__d")
+    kept = without(docs, *RESULT.names)
+    name, key = free_name(docs, "spans"), free_name(docs, "span_d")
+    spans = repeated_spans(docs, window, anchor, id_col, text_col)
+    lists = staged(spans.groupBy(F.col("d").alias(key)).agg(F.array_sort(F.collect_list(F.struct("word", "tag", "edges", "source", "source_word"))).alias(name)), "lists")
+    unstage(spans)
+    joined = kept.join(lists.hint("merge"), kept[f"`{id_col}`"].cast("long") == lists[key], "left").drop(key)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            names = [n for n in part.schema.names if n != "__pieces"]
-            w = Words(part.column(part.schema.get_field_index(text_col)), SPACE_WORDS, lower=False)
-            found = part.column(part.schema.get_field_index("__pieces"))
+            names = [n for n in part.schema.names if n != name]
+            texts = part.column(part.schema.get_field_index(text_col))
+            w = Words(texts, SPACE_WORDS, lower=False)
+            found = part.column(part.schema.get_field_index(name))
             gone = np.zeros(len(w.hash) + 1, np.int64)
-            spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
-            for r in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                if not w.count[r]:
-                    continue
-                tag, base = int(_print16(w, np.array([r]))[0]), int(w.first[r])
-                for p in sorted((p for p in found[r].as_py() if p["tag"] == tag), key=lambda p: p["word"]):
-                    a, n = p["word"], p["edges"] + window - 1
-                    gone[base + a] += 1
-                    gone[base + a + n] -= 1
-                    last = spans[r][-1] if spans[r] else None
-                    if last and last["source_id"] == p["source"] and a <= last["first_word"] + last["n_words"] and a - last["first_word"] == p["source_word"] - last["source_word"]:
-                        last["n_words"] = max(last["n_words"], a + n - last["first_word"])
-                    else:
-                        spans[r].append({"first_word": a, "n_words": n, "source_id": p["source"], "source_word": p["source_word"]})
+            word, tag, edges, source, source_word = (x.to_numpy() for x in found.flatten().flatten())
+            row = np.repeat(np.arange(part.num_rows), pc.fill_null(found.value_lengths(), 0).to_numpy())
+            ok = tag == _tags(w, part.num_rows)[row]
+            row, word, n, source, source_word = row[ok], word[ok], edges[ok] + window - 1, source[ok], source_word[ok]
+            np.add.at(gone, w.first[row] + word, 1)
+            np.add.at(gone, w.first[row] + word + n, -1)
+            cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32)
+            spans = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(x) for x in (word, n.astype(np.int32), source, source_word)], ["first_word", "n_words", "source_id", "source_word"]))
             gone = np.cumsum(gone)[:-1] > 0
-            keep = ~gone
-            shown = np.zeros(len(w.raw) + 1, np.int64)
-            np.add.at(shown, w.start[keep], 1)
-            np.add.at(shown, w.end[keep], -1)
-            letters = np.cumsum(shown)[:-1] > 0
-            gaps = w.end[keep]
-            gaps = gaps[gaps < w.at[w.doc[keep] + 1]]
-            parted = letters.copy()
-            parted[gaps] = True
-            text = np.where(letters, w.raw, np.uint8(0x20))
-            cut = np.concatenate([[0], np.cumsum(parted)])[w.at]
-            flat = text[parted].tobytes()
-            out = [flat[cut[r] : cut[r + 1]].rstrip(b" ") for r in range(part.num_rows)]
+            flat, at = _joined(w, ~gone)
+            data = flat.tobytes()
+            cut = at[np.concatenate([[0], np.cumsum(~gone)])[w.first]]
+            out = [data[a : b - 1] if b > a else b"" for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             removed = np.bincount(w.doc[gone], minlength=part.num_rows)
-            nulls = part.column(part.schema.get_field_index(text_col)).is_null().to_pylist()
             columns = [
                 pa.array(w.count.astype(np.int64)),
                 pa.array(removed.astype(np.int64)),
-                pa.array(spans, pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("source_id", pa.int64()), ("source_word", pa.int32())]))),
+                spans,
                 pa.array([hashlib.sha256(t).hexdigest() for t in out]),
-                pa.array([None if null else t.decode("utf-8", "replace") for t, null in zip(out, nulls, strict=True)], pa.string()),
+                pa.array([None if null else t.decode("utf-8", "replace") for t, null in zip(out, texts.is_null().to_pylist(), strict=True)], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in names], *columns], [*names, *RESULT.names])
 

@@ -139,7 +139,9 @@ def test_substring_dedup(spark, edges):
     assert substring_dedup.remove_repeats(edges.limit(0)).count() == 0
 
 
-def test_substring_dedup_random(spark):
+@pytest.mark.parametrize("bits", [48, 2])
+def test_substring_dedup_random(spark, monkeypatch, bits):
+    monkeypatch.setattr(substring_dedup, "PRINT_BITS", bits)  # with few bits prints collide, and verification must tell
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(6)]
     passages = [rng.choices(vocabulary, k=rng.randint(13, 60)) for _ in range(6)]
@@ -166,6 +168,24 @@ def test_substring_dedup_random(spark):
         assert got[i] == (len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_unitigs_are_cut_where_documents_part(spark):
+    base, other = [f"w{i}" for i in range(60)], [f"x{i}" for i in range(40)]
+    texts = [base, base[:40] + other[:5], other[10:20] + base[20:], base[20:40]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    spans = substring_dedup.repeated_spans(docs)
+    assert {(r.d, r.word, r.edges, r.source, r.source_word) for r in spans.collect()} == {(1, 0, 28, 0, 0), (2, 10, 28, 0, 20), (3, 0, 8, 0, 20)}
+    assert {tuple(r) for r in substring_dedup.unitigs(spans).collect()} == {(0, 0, 20, 1), (0, 20, 8, 3), (0, 28, 20, 1)}
+
+
+def test_substring_dedup_names_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    names = [n for n in ("d", "tag", "word", "edges", "source", "source_word", "span_d", "w_id", "id", "wanted", "digest", "n_words", "kept_text")]
+    rows = [(1, text, *[7] * len(names)), (1, text, *[7] * len(names)), (2, text + " end", *[7] * len(names)), (2, "other " + text, *[7] * len(names)), (None, text, *[7] * len(names))]
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, ["doc_id", "text", *names])).collect()
+    assert sorted((str(r.doc_id), r.n_removed, r.kept_text if r.n_removed else "") for r in out) == [("1", 0, ""), ("1", 0, ""), ("2", 30, "end"), ("2", 30, "other"), ("None", 0, "")]
+    assert all(r[n] == 7 for r in out for n in names if n not in substring_dedup.RESULT.names)
+
+
 def test_neighbours_recall_and_edges(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = nn_descent.op8_nn_descent(spark, "/root/testdata/sf0.01").collect()
