@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -48,7 +50,8 @@ def test_neighbours_are_searched_until_none_is_open(spark, monkeypatch):
     n = 40  # a chain on a half circle: a hop comes a step or two nearer to the query
     rows = [(i, [math.cos(math.pi * i / n), math.sin(math.pi * i / n)]) for i in range(n)]
     nodes = spark.createDataFrame(rows, "id long, v array<double>")
-    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n - 1)], "u long, v long, s float")
+    chain = nn_descent._Edges(np.arange(n - 1), np.zeros(n - 1, np.int32), np.arange(1, n), np.ones(n - 1, np.float32), np.ones(n - 1, bool)).lists()
+    chain = spark.createDataFrame(pa.Table.from_batches([chain]))
     entry = nodes.orderBy(F.xxhash64("id"), "id").first().id
     target = entry + 11 if entry + 11 < n else entry - 11
     query = spark.createDataFrame([(-1, rows[target][1])], "id long, v array<double>")
