@@ -7,7 +7,8 @@ containment has Jaccard similarity of about 0.2 or more to it, and shares one of
 Only windows that hold one of the words without which no template can reach the containment are made; this loses nothing.
 
 Null, empty and one-word texts match nothing; rows that share an id but not the text are told apart by the text's hash, and repeated
-rows count once; ties go to the first window. A template without a shingle is refused. Other columns aren't looked at.
+rows count once; ties go to the first window. A very long text is a row of many windows, each with a key of its own. An empty table gives an
+empty result; a template without a shingle is refused. Only the id and the text are looked at, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -83,16 +84,13 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     at = F.filter(F.transform("w", lambda x, i: F.when(x.isin(*wanted), i)), lambda i: i.isNotNull())
     rows = rows.where(F.size("w") > 1).select("id", "own", "w", at.alias("at"))
 
-    def cut(step: int) -> DataFrame:
-        """Shingles of the windows of 2 * step words, one every step words, that hold a needed word."""
-        both = F.flatten(F.transform("at", lambda p: F.array(F.floor(p / step), F.floor(p / step) - 1)))
-        part = rows.select("id", "own", "w", F.lit(step).alias("step"), F.explode(F.array_distinct(F.filter(both, lambda k: k >= 0))).alias("k"))
-        part = part.withColumn("w", F.slice("w", (F.col("k") * step + 1).cast("int"), 2 * step)).where(F.size("w") > 1)
-        return part.select("id", "own", "step", "k", F.explode(shingles(F.col("w"))).alias("h")).withColumn("h", F.xxhash64("h"))
-
-    windows = None
-    for step in sorted(set(steps.values())):
-        windows = cut(step) if windows is None else windows.unionByName(cut(step))
+    # shingles of the windows of 2 * step words, one every step words, that hold a needed word; all steps from one reading of the texts
+    step = F.col("step")
+    part = rows.select("id", "own", "w", "at", F.explode(F.array(*[F.lit(x) for x in sorted(set(steps.values()))])).alias("step"))
+    both = F.flatten(F.transform("at", lambda p: F.array(F.floor(p / step), F.floor(p / step) - 1)))
+    part = part.select("id", "own", "w", "step", F.explode(F.array_distinct(F.filter(both, lambda k: k >= 0))).alias("k"))
+    part = part.withColumn("w", F.slice("w", (F.col("k") * step + 1).cast("int"), 2 * step)).where(F.size("w") > 1)
+    windows = part.select("id", "own", "step", "k", F.explode(shingles(F.col("w"))).alias("h")).withColumn("h", F.xxhash64("h"))
     windows = windows.groupBy("id", "own", "step", "k").agg(F.collect_set("h").alias("set"), *_minima(F.col("h")))
     bands = windows.select("id", "own", "step", "k", "set", _bands().alias("b")).select("id", "own", "step", "k", "set", "b.*")
     met = bands.join(F.broadcast(t_bands), (F.col("band") == F.col("t_band")) & (F.col("least") == F.col("t_least")) & (F.col("step") == F.col("t_step")))
