@@ -3,12 +3,12 @@
 Texts are lower-cased; everything that is no letter separates words. The n-grams have one to three characters, a word's borders
 included. A language's profile is its PROFILE most frequent n-grams, learned from labelled documents: at most about
 TRAIN_DOCS of each language, drawn by a digest of the id; the bound is a parameter, the counts that set the rates cover all rows.
-A document's n-grams are counted over its whole text and ranked among the n-grams that any profile holds (one that no profile
-holds is equally out of place for every language, so it cannot change the choice).
+A document's n-grams are counted over its whole text and ranked, ties going to those that a profile holds and then to the first by code
+point. An n-gram that no profile holds keeps its place, and as it is equally out of place for every language, the score leaves it out.
 
 Null, empty and letterless texts are `und` with score 0. Ties between languages go to the first by code point. Without any
-labelled text all is `und`. A text whose letters no profile knows gets the first language at score 0. Repeated rows each get a
-row; columns that share a name with a result column are replaced by it.
+labelled text all is `und`. A text whose letters no profile knows gets the first language at score 0. An empty table gives an empty
+result; a very long text is handled in a slice of its own. Repeated rows each get a row; columns that share a name with a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -135,18 +135,36 @@ class _Ranker:
         i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[i] == key, self.order[i], -1)
 
+    @staticmethod
+    def _before(counts: np.ndarray, key: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """For each text and n-gram of the profiles, how many other n-grams (key, of: their texts) the text holds more often."""
+        order = np.lexsort((key, of))
+        key, of = key[order], of[order]
+        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))) if len(key) else np.zeros(0, np.int64)
+        often = np.diff(np.append(start, len(key)))
+        rows = np.arange(len(counts))
+        place = np.sort((of[start] << 32) | ((1 << 32) - 1 - often))
+        i, j = np.nonzero(counts)
+        out = np.zeros_like(counts)
+        out[i, j] = np.searchsorted(place, (i << 32) | ((1 << 32) - 1 - counts[i, j])) - np.searchsorted(place, rows << 32)[i]
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         points, doc, has = _letters(texts)
         code = np.where(points < _PLANES, self.code[np.minimum(points, _PLANES - 1)], 0)
         n = len(texts)
         counts = np.zeros(n * self.n, np.int64)
-        for key, of in _grams(code, doc, self.space, self.base):
+        strange, strange_of = [], []  # n-grams that no profile holds, by their own characters
+        for (key, of), (wide, _) in zip(_grams(code, doc, self.space, self.base), _grams(points, doc, _SPACE, _WIDE), strict=True):
             gram = self.find(key)
             ok = gram >= 0
             counts += np.bincount(of[ok] * self.n + gram[ok], minlength=n * self.n)
+            strange.append(wide[~ok])
+            strange_of.append(of[~ok])
         counts = counts.reshape(n, self.n)
         ranks = np.empty_like(counts)
         np.put_along_axis(ranks, np.argsort(-counts, axis=1, kind="stable"), np.arange(self.n)[None, :], axis=1)
+        ranks += self._before(counts, np.concatenate(strange), np.concatenate(strange_of))
         in_doc = (counts > 0) & (ranks < self.size)
         far = np.stack([(np.where(p >= 0, np.minimum(np.abs(ranks - p), self.size), self.size) * in_doc).sum(1) for p in self.place], 1)
         best = far.argmin(1)

@@ -83,6 +83,25 @@ def test_language_accuracy_and_edges(spark, edges):
     assert language_id.identify(edges.limit(0), F.lit(True)).count() == 0
 
 
+def test_language_distance_brute_force(spark):
+    docs = spark.createDataFrame([(1, "the cat and the hat", "en"), (2, "der hund und die katze und", "de"), (3, "zz the zz und zz zz xx", None), (4, "Ünd ßt aa aa", None), (5, "katze", None)], "doc_id long, text string, lang string")
+    grams = lambda t: [w[i : i + n] for w in (f" {x} " for x in re.findall(r"[^\W\d_]+", t.lower())) for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n].strip() and not (n > 1 and w[i : i + n] == " ")]
+    size, order = 12, lambda g: sum((ord(c) + 1) * (1 << 21) ** (len(g) - 1 - k) for k, c in enumerate(g))
+
+    def ranked(t, first=()):
+        c = Counter(grams(t))
+        return sorted(c, key=lambda g: (-c[g], g not in first, order(g)))
+
+    profile = {r.lang: {g: k for k, g in enumerate(ranked(r.text)[:size])} for r in docs.where("lang IS NOT NULL").collect()}
+    known = {g for p in profile.values() for g in p}
+    out = {r.doc_id: r for r in language_id.identify(docs, F.lit(True), size=size).collect()}
+    for r in docs.collect():
+        ranks = {g: k for k, g in enumerate(ranked(r.text, known)) if g in known and k < size}
+        far = {lang: sum(min(abs(k - p[g]), size) if g in p else size for g, k in ranks.items()) for lang, p in profile.items()}
+        lang = min(sorted(far), key=far.get)
+        assert (out[r.doc_id].lang_pred, round(out[r.doc_id].score, 9)) == (lang, round(1 - far[lang] / (size * len(ranks)) if ranks else 0, 9))
+
+
 def _library_ids(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
