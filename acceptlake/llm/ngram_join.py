@@ -433,7 +433,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     count = rows.groupBy("tree", "comp").count()
     large = count.groupBy("tree").agg(F.sum("count").alias("all"), F.max("count").alias("most"), F.max_by("comp", F.struct("count", "comp")).alias("main"))
     large = large.where(F.col("all") > BLOCK).select("tree", "main", F.ceil(F.col("most") / BLOCK).alias("bd"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("bm"))
-    joined = rows.join(large, "tree", "left")
+    joined = rows.join(staged(large, "large"), "tree", "left")  # of two plain tables, of which Spark can split a large tree
 
     def to(i: Column, j: Column, side: Column) -> Column:
         return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))

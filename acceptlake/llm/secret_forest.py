@@ -9,9 +9,11 @@ about MAX_TRAIN of them, drawn by a digest of the value. The dictionary holds th
 Without labelled findings of the query's own, weak labels stand in: findings that a credential word introduces and that are mixed
 hexadecimal or base64 are secrets, purely numeric and all-letter runs are not, the rest is unlabelled and judged by the forest.
 
-Null and empty texts have no candidates. Repeated rows give their findings again. With labels of only one kind, or none, there
+Null and empty texts have no candidates; an empty table gives an empty result. A very long text is split in the JVM like any other. Repeated
+rows give their findings again, rows without an id theirs with a null id (labels don't reach those). Ties: two findings of one word with equal
+values are equal rows. With labels of only one kind, or none, there
 is no forest and each candidate's probability is the share of secrets among the labels (none: 1, nothing is removed).
-Other columns aren't looked at.
+Only the id, the text and what `path` names are looked at, so other columns may have any name.
 """
 
 from __future__ import annotations

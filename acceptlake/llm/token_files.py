@@ -9,6 +9,8 @@ leaves the same files. The files' own sizes, a row each, give the global starts
 Encoding: byte-level pre-tokens never cross from a non-space into a following space or line break, nor from a letter into an
 ASCII mark, so a text is cut there, and each different piece is encoded once by the tokenizers library and kept in a bounded cache;
 texts with other runs of white space, or with a special token, are encoded whole. Null and empty texts give the end id alone. Repeated rows are encoded each; null ids come first.
+A very long text is a slice of its own; an empty table gives no files and an empty result. Only the id and the text are looked at, so other
+columns may have any name.
 """
 
 from __future__ import annotations
