@@ -2,6 +2,11 @@
 
 language ID -> n-gram Jaccard join -> benchmark decontamination -> mixing sources to target weights -> sharding.
 Each stage is written as Parquet and read again as the documents of the next.
+
+Null and empty texts go at the first stage, as they have no letter; given to a later stage, they are near duplicates of nothing, hit nothing,
+are taken as often as their source is read whole, and have a place in a shard. Rows without an id or a source are judged like any other. Of
+repeated rows the second stage keeps one; the first and the third judge each row alone. Very long texts are handled whole. Ties are named at
+each stage. An empty table passes as an empty table, and columns may have any name but those that sharding adds.
 """
 
 from __future__ import annotations
