@@ -186,6 +186,21 @@ def test_substring_dedup_names_and_repeated_ids(spark):
     assert all(r[n] == 7 for r in out for n in names if n not in substring_dedup.RESULT.names)
 
 
+def test_neighbours_recall_by_descent(spark, monkeypatch):
+    """Blocks so small that a node meets a few hundredths of the others in them: the rounds must find the rest."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 32)
+    monkeypatch.setattr(nn_descent, "ORDERS", 2)
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    ids, x = (np.array(v) for v in zip(*((r.vec_id, r.embedding) for r in e.collect()), strict=True))
+    nodes = nn_descent.prepared(e, "vec_id", "embedding")
+    graph = {r.u: set(np.frombuffer(r.v, np.int64).tolist()) for r in nn_descent.build_graph(nodes, 30).collect()}
+    scores = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(scores, -np.inf)
+    best = ids[np.argpartition(-scores, 20, axis=1)[:, :20]]
+    assert len(ids) >= 2000 and set(map(len, graph.values())) == {30}
+    assert np.mean([len(graph[i] & set(b)) / 20 for i, b in zip(ids.tolist(), best.tolist(), strict=True)]) >= 0.9
+
+
 def test_neighbours_recall_and_edges(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = nn_descent.op8_nn_descent(spark, "/root/testdata/sf0.01").collect()
