@@ -30,6 +30,7 @@ RUNNER_FORMS = (
     (r"gh[pousr]_[A-Za-z0-9]{20,}", "[REDACTED]"),
     (r"AKIA[0-9A-Z]{16}", "[REDACTED]"),
 )
+# Words that mark a placeholder, and words that no token is made of.
 PLACEHOLDER_WORDS = ("changeme", "dummy", "example", "fake", "not-a-real", "placeholder", "replace-me", "replace_me", "sample", "test-token", "your-token", "your_token")
 STOP_WORDS = ("and", "for", "from", "into", "must", "should", "that", "the", "this", "with")
 

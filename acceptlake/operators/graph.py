@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# How sure an edge of each type is.
 CONFIDENCE = {"defines": 1.0, "inherits": 0.8, "imports": 1.0, "calls": 0.9}
 
 

@@ -156,6 +156,7 @@ def irreversible_migration(files: DataFrame) -> DataFrame:
     return files.where(none).select("path", F.lit("database.irreversible-migration").alias("rule_id"))
 
 
+# Forms of metric names and rule ids, and the comparison operators.
 METRIC, RULE_ID = r"^[A-Za-z][A-Za-z0-9_-]*(?:\.[A-Za-z][A-Za-z0-9_-]*)*$", r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 OPERATORS = ("eq", "neq", "gt", "gte", "lt", "lte", "in", "not_in", "exists")
 

@@ -127,6 +127,7 @@ def policy_findings(decisions: DataFrame) -> DataFrame:
     return bad.select("run_id", F.concat(F.lit("policy."), "rule_id").alias("rule_id"), severity.alias("severity"), F.concat(F.lit("Policy rule "), "outcome").alias("title"), fingerprint.alias("fingerprint"))
 
 
+# Metrics that are counts.
 COUNTS = ("changed_files", "additions", "deletions", "high_complexity_symbols", "high_fan_in_symbols", "breaking_api_changes", "database_migrations", "dependency_changes", "critical_findings", "high_findings", "medium_findings", "low_findings", "secrets_detected", "failed_validations", "config_drifts", "ci_files_changed")
 RATIOS = ("test_evidence_score", "requirement_coverage")
 
