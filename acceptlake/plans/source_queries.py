@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import snapshots as P
 from ..streaming.progress import shared_folder
 from .base import EXECUTIONS_SQL, FINDINGS_SQL, Registry, duck, executions, findings, table
-from .patch_queries import patches
 from .security_queries import DOC_FILES
 
 R = Registry()
 _PATH = f"concat({DOC_FILES}, CASE doc_id % 5 WHEN 0 THEN '.json' WHEN 1 THEN '.md' WHEN 2 THEN '/node_modules/x.js' ELSE '' END)"
 
 
-@R.add("scan_snapshot", f"SELECT 's' || doc_id % 3 AS snapshot, {duck(_PATH)} AS path, md5(text) AS text FROM documents WHERE doc_id % 5 <> 2 AND doc_id % 7 <> 0")
+#: Every 25 documents are one file; a file of every fifth has a NUL in front.
+_FILE = "CAST(floor(doc_id / 25) AS BIGINT)"
+_FILE_LIMIT = 60_000
+_BODY = "concat(CASE WHEN doc_id % 125 = 0 THEN chr(0) ELSE '' END, coalesce(text, ''))"
+
+
+def written(df: DataFrame, root: str) -> None:
+    """rows (k, doc_id, body) as one text file a k."""
+    df.repartition("k").sortWithinPartitions("k", "doc_id").select("k", "body").write.partitionBy("k").text(root)
+
+
+@R.add(
+    "scan_snapshot",
+    f"""WITH f AS (SELECT {_FILE} AS k, string_agg({_BODY} || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY 1)
+SELECT 's' AS snapshot, 'src/k=' || k AS path, md5(text) AS text FROM f WHERE k % 3 < 2 AND strlen(text) <= {_FILE_LIMIT} AND NOT contains(encode(text)[1:8192]::BLOB::VARCHAR, '\\x00')""",
+)
 def scan_snapshot(spark, d):
-    content = "CASE WHEN doc_id % 7 = 0 THEN encode(concat(chr(0), text), 'UTF-8') ELSE encode(text, 'UTF-8') END"
-    rows = table(spark, d, "documents").selectExpr("concat('s', doc_id % 3) AS snapshot", f"{_PATH} AS path", f"{content} AS content")
-    return P.snapshot_files(rows).withColumn("text", F.md5("text"))
+    """All documents, written as files below src and node_modules and read again."""
+    root = shared_folder(spark, "out")
+    rows = table(spark, d, "documents").selectExpr(f"{_FILE} AS k", "doc_id", f"{_BODY} AS body")
+    written(rows.where("k % 3 < 2"), f"{root}/src")
+    written(rows.where("k % 3 = 2"), f"{root}/node_modules")
+    files = P.scan_snapshot(spark, root, "s", _FILE_LIMIT, 10**9)
+    return files.select("snapshot", F.regexp_replace("path", "/[^/]*$", "").alias("path"), F.md5("text").alias("text"))
 
 
 @R.add("snapshot_stats", "SELECT source AS snapshot, count(*) AS file_count, CAST(sum(strlen(text)) AS BIGINT) AS repository_bytes, count(*) FILTER (WHERE doc_id % 9 = 0) AS binary_count, concat_ws(',', CASE WHEN count(*) > 45 THEN 'file_count_exceeded' END, CASE WHEN max(strlen(text)) > 15000 THEN 'file_too_large' END, CASE WHEN sum(strlen(text)) > 120000 THEN 'repository_too_large' END) AS violations FROM documents GROUP BY 1")
@@ -27,13 +46,18 @@ def snapshot_stats(spark, d):
     return P.snapshot_stats(rows, 45, 15_000, 120_000).withColumn("violations", F.array_join("violations", ","))
 
 
-@R.add("read_patches", "SELECT count(*) AS patches FROM documents WHERE text IS NOT NULL")
+@R.add(
+    "read_patches",
+    f"""WITH f AS (SELECT {_FILE} AS k, string_agg({_BODY} || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY 1)
+SELECT k, CASE WHEN strlen(text) > {_FILE_LIMIT} THEN 'too_large' WHEN contains(text, chr(0)) THEN 'nul_byte' END AS reason, CASE WHEN strlen(text) <= {_FILE_LIMIT} AND NOT contains(text, chr(0)) THEN md5(text) END AS digest FROM f""",
+)
 def read_patches(spark, d):
-    """Patches of all documents, written as files of many patches each and read again."""
+    """All documents, written as files of many each and read again as patches."""
     root = shared_folder(spark, "out")
-    patches(spark, d).select(F.to_json(F.struct("patch_id", "text")).alias("value")).write.text(root)
-    back = spark.read.text(root).select(F.from_json("value", "patch_id long, text string").alias("p")).select("p.*")
-    return back.where(~F.col("text").contains("\0") & (F.octet_length("text") <= P.MAX_PATCH_BYTES)).agg(F.count("*").alias("patches"))
+    written(table(spark, d, "documents").selectExpr(f"{_FILE} AS k", "doc_id", f"{_BODY} AS body"), root)
+    good, rejected = P.read_patches(spark, root, _FILE_LIMIT, "*.txt")
+    k = F.regexp_extract("patch_id", "/k=([0-9]+)/", 1).cast("long").alias("k")
+    return good.select(k, F.lit(None).cast("string").alias("reason"), F.md5("text").alias("digest")).unionByName(rejected.select(k, "reason", F.lit(None).cast("string").alias("digest")))
 
 
 @R.add("diffless_as_added", f"SELECT doc_id % 40 AS run_id, NULL AS old_path, {duck(DOC_FILES)} AS new_path, 'added' AS change_type FROM documents WHERE doc_id % 40 NOT IN (SELECT doc_id % 40 FROM documents WHERE doc_id % 8 = 0)")
@@ -117,6 +141,32 @@ def manifest_verify(spark, d):
     return P.manifest_verify(side(t.where("doc_id % 10 <> 1"), "text"), side(t.where("doc_id % 10 <> 0"), "changed"))
 
 
+#: Ten documents are one bundle: f0 its checksum index, f1 its manifest. Each rule below breaks some of the files.
+_BUNDLE = ("CAST(floor(doc_id / 10) AS BIGINT)", "concat('f', CAST(doc_id % 10 AS STRING))")
+
+
+@R.add(
+    "bundle_verify",
+    f"""WITH t AS (SELECT {_BUNDLE[0]} AS bundle, {duck(_BUNDLE[1])} AS name, doc_id, doc_id % 10 AS f, doc_id % 7 = 0 AS gone, doc_id % 13 = 0 AS odd, doc_id % 11 = 0 AS moved, doc_id % 17 = 0 AS unsummed, doc_id % 19 = 0 AS unlisted, doc_id % 23 = 0 AS twice, doc_id % 29 = 0 AS untyped FROM documents)
+SELECT bundle, CASE WHEN odd THEN 'odd-' || name ELSE name END AS name, 'unexpected_file' AS code FROM t WHERE odd AND NOT gone
+UNION ALL SELECT bundle, name, 'missing_file' FROM t WHERE gone OR odd
+UNION ALL SELECT bundle, name, 'checksum_mismatch' FROM t WHERE f > 0 AND moved AND NOT unsummed AND NOT gone AND NOT odd
+UNION ALL SELECT bundle, name, 'manifest_artifact_mismatch' FROM t WHERE f > 1 AND (moved OR untyped) AND NOT unlisted AND NOT gone AND NOT odd
+UNION ALL SELECT bundle, name, 'duplicate_manifest_artifact' FROM t WHERE f > 1 AND twice AND NOT unlisted
+UNION ALL SELECT bundle, name, 'invalid_manifest_artifact' FROM t WHERE f < 2 AND twice AND NOT unlisted
+UNION ALL SELECT bundle, name, 'invalid_manifest_artifact' FROM t WHERE f < 2 AND twice AND NOT unlisted
+UNION ALL SELECT DISTINCT bundle, 'f0', 'checksum_entries_missing' FROM t WHERE f > 0 AND unsummed
+UNION ALL SELECT DISTINCT bundle, 'f0', 'checksum_entries_unexpected' FROM t WHERE f = 0 AND twice AND NOT unsummed
+UNION ALL SELECT DISTINCT bundle, 'f1', 'manifest_artifacts_incomplete' FROM t WHERE f > 1 AND unlisted""",
+)
+def bundle_verify(spark, d):
+    t = table(spark, d, "documents").selectExpr(f"{_BUNDLE[0]} AS bundle", f"{_BUNDLE[1]} AS name", "doc_id", "coalesce(text, '') AS text", "concat(coalesce(text, ''), CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE '' END) AS found")
+    observed = t.where("doc_id % 7 <> 0").selectExpr("bundle", "CASE WHEN doc_id % 13 = 0 THEN concat('odd-', name) ELSE name END AS name", "sha2(found, 256) AS sha256", "CAST(octet_length(found) AS BIGINT) AS size")
+    sums = t.where("doc_id % 17 <> 0 AND (doc_id % 10 > 0 OR doc_id % 23 = 0)").selectExpr("bundle", "name", "sha2(text, 256) AS digest")
+    entries = t.where("doc_id % 19 <> 0 AND (doc_id % 10 > 1 OR doc_id % 23 = 0)").selectExpr("bundle", "name", "sha2(text, 256) AS sha256", "CAST(octet_length(text) AS BIGINT) AS size", "CASE WHEN doc_id % 29 > 0 THEN 'text/plain' END AS content_type", "explode(sequence(0, CASE WHEN doc_id % 23 = 0 THEN 1 ELSE 0 END)) AS position")
+    return P.bundle_verify(t, observed, entries, sums, "f0", "f1")
+
+
 @R.add(
     "evidence_schema_check",
     """SELECT event_id AS name, CASE event_id % 5 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'invalid_root' WHEN 2 THEN 'schema_version_mismatch' ELSE 'missing_root' END AS code FROM events WHERE event_id % 5 < 4""",

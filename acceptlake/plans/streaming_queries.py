@@ -32,18 +32,23 @@ def event_stream(spark, d):
 EVENTS_SQL = f"e AS (SELECT user_id AS run_id, event_id, {duck(_STAGE)} AS stage, {_STATUS} AS status, ts, value FROM events)"
 
 
-@R.add(
-    "stage_event_pairing",
-    f"""WITH {EVENTS_SQL}, p AS (SELECT *, last_value(CASE WHEN status = 'running' THEN ts END IGNORE NULLS) OVER (PARTITION BY run_id, stage ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM e)
-SELECT run_id, stage, event_id, status, (epoch_us(ts) - epoch_us(s)) // 1000 AS duration_ms FROM p WHERE status IN ('completed', 'failed')""",
-)
+PAIRING_SQL = f"""WITH {EVENTS_SQL}, p AS (SELECT *, last_value(CASE WHEN status = 'running' THEN ts END IGNORE NULLS) OVER (PARTITION BY run_id, stage ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM e)
+SELECT run_id, stage, event_id, status, (epoch_us(ts) - epoch_us(s)) // 1000 AS duration_ms FROM p WHERE status IN ('completed', 'failed')"""
+
+
+@R.add("stage_event_pairing", PAIRING_SQL)
 def stage_event_pairing(spark, d):
     return P.stage_event_pairing(events(spark, d))
 
 
+@R.add("stream_stage_pairing", PAIRING_SQL)
+def stream_stage_pairing(spark, d):
+    return P.into_table(P.stage_event_stream(event_stream(spark, d)))
+
+
 @R.add("stream_run_progress", f"WITH {EVENTS_SQL} SELECT run_id, arg_max(stage, [epoch_us(ts), event_id]) AS stage, arg_max(status, [epoch_us(ts), event_id]) AS status, count(*) AS events FROM e GROUP BY run_id")
 def stream_run_progress(spark, d):
-    return P.into_table(P.run_progress(event_stream(spark, d)), "complete")
+    return P.into_table(P.run_progress(event_stream(spark, d)), ["run_id"])
 
 
 _SEVERITY = "CASE CAST(floor(value) AS INT) % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END"
@@ -51,19 +56,19 @@ _SEVERITY = "CASE CAST(floor(value) AS INT) % 5 WHEN 0 THEN 'critical' WHEN 1 TH
 
 @R.add("stream_finding_counts", f"WITH {EVENTS_SQL} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, {_SEVERITY} AS severity, count(*) AS n FROM e GROUP BY ALL")
 def stream_finding_counts(spark, d):
-    out = P.into_table(P.finding_counts(event_stream(spark, d).withColumn("severity", F.expr(_SEVERITY))), "complete")
+    out = P.into_table(P.finding_counts(event_stream(spark, d).withColumn("severity", F.expr(_SEVERITY))), ["start", "severity"])
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "severity", "n")
 
 
-@R.add("stream_finding_dedupe")
+@R.add("stream_finding_dedupe", f"WITH {EVENTS_SQL} SELECT DISTINCT sha256(concat_ws(':', run_id, stage, status)) AS fingerprint FROM e")
 def stream_finding_dedupe(spark, d):
     rows = event_stream(spark, d).withColumn("fingerprint", F.sha2(F.concat_ws(":", "run_id", "stage", "status"), 256))
-    return P.into_table(P.dedupe_within(rows).select("fingerprint", "event_id"), "append")
+    return P.into_table(P.dedupe_within(rows).select("fingerprint"))
 
 
 @R.add("stream_secret_scan", f"""SELECT {duck(DOC_FILES)} AS path, regexp_matches(text, {q(X.URI_CREDENTIAL)}) OR {" OR ".join(f"regexp_matches(text, {q(p)})" for p in X.TOKEN_FORMS)} OR len(list_filter(regexp_extract_all(text, {q(X.ASSIGNMENT)}, 2), lambda v: NOT contains(v, '[REDACTED]'))) > 0 AS leaks FROM documents""")
 def stream_secret_scan(spark, d):
-    return P.into_table(P.scan_texts(stream(spark, d, "documents").selectExpr(f"{DOC_FILES} AS path", "text")).select("path", "leaks"), "append")
+    return P.into_table(P.scan_texts(stream(spark, d, "documents").selectExpr(f"{DOC_FILES} AS path", "text")).select("path", "leaks"))
 
 
 @R.add("stream_policy_gate", "SELECT event_id AS run_id, CASE WHEN value >= 400 THEN 'fail' WHEN event_type = 'error' THEN 'warn' ELSE 'pass' END AS verdict FROM events")

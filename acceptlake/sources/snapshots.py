@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import text as X
 
 MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES, MAX_PATCH_BYTES = 20_000, 2_000_000, 100 << 20, 10 << 20
 # Path parts that are no source.
-IGNORED = (".git", ".hg", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".svn", ".venv", "__pycache__", "build", "dist", "node_modules", "venv")
+IGNORED = (".git", ".hg", ".svn", ".venv", "build", "dist", "node_modules")
 
 
 def is_binary(content: Column) -> Column:
@@ -17,10 +19,20 @@ def is_binary(content: Column) -> Column:
     return F.instr(F.decode(F.substring(content, 1, 8192), "ISO-8859-1"), "\0") > 0
 
 
-def scan_snapshot(spark: SparkSession, root: str, snapshot: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """files(snapshot, path, text) of a folder tree: ignored parts, large and binary files are left out; bad UTF-8 is replaced."""
+def below(root: str, path: str = "path") -> Column:
+    """A path's part below the folder root, whatever scheme either is written with."""
+    base = urlparse(root).path.rstrip("/") + "/"
+    return F.substring(F.col(path), F.instr(F.col(path), base) + len(base), F.length(path))
+
+
+def scan_snapshot(spark: SparkSession, root: str, snapshot: str, max_file_bytes: int = MAX_FILE_BYTES, max_files: int = MAX_FILES) -> DataFrame:
+    """files(snapshot, path, text) of a folder tree: ignored parts, large and binary files are left out; bad UTF-8 is replaced.
+    More than max_files text files are an error."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_file_bytes)
-    return snapshot_files(rows.select(F.lit(snapshot).alias("snapshot"), F.regexp_replace("path", f"^.*?{root.rstrip('/')}/", "").alias("path"), "content"))
+    files = snapshot_files(rows.select(F.lit(snapshot).alias("snapshot"), below(root).alias("path"), "content"))
+    if files.select("path").limit(max_files + 1).count() > max_files:
+        raise ValueError(f"{root} holds more than {max_files} source files")
+    return files
 
 
 def snapshot_files(rows: DataFrame) -> DataFrame:
@@ -36,13 +48,14 @@ def snapshot_stats(files: DataFrame, max_files: int = MAX_FILES, max_file: int =
     return out.withColumn("violations", F.array_compact(limits)).drop("largest")
 
 
-def read_patches(spark: SparkSession, root: str, max_bytes: int = MAX_PATCH_BYTES) -> tuple[DataFrame, DataFrame]:
-    """patches(patch_id, text) of the .diff and .patch files under root, and the rejected ones with a reason."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{diff,patch}").load(root)
+def read_patches(spark: SparkSession, root: str, max_bytes: int = MAX_PATCH_BYTES, pattern: str = "*.{diff,patch}") -> tuple[DataFrame, DataFrame]:
+    """patches(patch_id, text) of the files under root that match, and the rejected ones with a reason; files above max_bytes are not read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    large = rows.where(F.col("length") > max_bytes).select(F.col("path").alias("patch_id"), F.lit("too_large").alias("reason"))
+    rows = rows.where(F.col("length") <= max_bytes)
     nul = F.instr(F.decode("content", "ISO-8859-1"), "\0") > 0
-    reason = F.when(F.col("length") > max_bytes, "too_large").when(nul, "nul_byte")
-    rows = rows.select(F.col("path").alias("patch_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), reason.alias("reason"))
-    return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL").select("patch_id", "reason")
+    patches = rows.where(~nul).select(F.col("path").alias("patch_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return patches, large.unionByName(rows.where(nul).select(F.col("path").alias("patch_id"), F.lit("nul_byte").alias("reason")))
 
 
 def diffless_as_added(files: DataFrame, diff_files: DataFrame) -> DataFrame:
@@ -117,8 +130,9 @@ def checksum_index_parse(indexes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def manifest_verify(manifest: DataFrame, observed: DataFrame) -> DataFrame:
-    """Issues of artifacts that a manifest (name, sha256, size) and a folder (name, sha256, size) don't agree on: name, code."""
-    m = manifest.groupBy("name").agg(F.first("sha256").alias("m_sha"), F.first("size").alias("m_size"), F.count("*").alias("n"))
+    """Issues of artifacts that a manifest (name, sha256, size) and a folder (name, sha256, size) don't agree on: name, code.
+    Of a name's repeated entries the one with the least digest and size counts."""
+    m = manifest.groupBy("name").agg(F.min(F.struct("sha256", "size")).alias("m"), F.count("*").alias("n")).select("name", "n", F.col("m.sha256").alias("m_sha"), F.col("m.size").alias("m_size"))
     o = observed.select("name", F.col("sha256").alias("o_sha"), F.col("size").alias("o_size"))
     rows = m.join(o, "name", "full")
     both = F.col("m_sha").isNotNull() & F.col("o_sha").isNotNull()
@@ -126,6 +140,40 @@ def manifest_verify(manifest: DataFrame, observed: DataFrame) -> DataFrame:
     return rows.select("name", F.explode(F.array_compact(codes)).alias("code"))
 
 
+def bundle_verify(required: DataFrame, observed: DataFrame, manifest: DataFrame, checksums: DataFrame, index: str = "checksums.sha256", listing: str = "manifest.json") -> DataFrame:
+    """Issues (bundle, name, code) of many bundles at once.
+
+    required(bundle, name): the files a bundle must have, the checksum index and the manifest among them; observed(bundle, name, sha256,
+    size): those that it has; manifest(bundle, position, name, sha256, size, content_type): its manifest's entries, of which the first of a
+    name counts; checksums(bundle, name, digest): its checksum index. The index lists all required files but itself, the manifest all but
+    those two. A bundle is valid if it has no row here. The sides meet in one grouping by bundle and name.
+    """
+    key = ["bundle", "name"]
+    nothing = {"need": "boolean", "o": "struct<sha256:string,size:bigint>", "m": "struct<position:bigint,sha256:string,size:bigint,content_type:string>", "digest": "string"}
+
+    def side(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.select(*key, *[(value if c == name else F.lit(None)).cast(t).alias(c) for c, t in nothing.items()])
+
+    sides = side(required, "need", F.lit(True)), side(observed, "o", F.struct("sha256", "size")), side(manifest, "m", F.struct("position", "sha256", "size", "content_type")), side(checksums, "digest", F.col("digest"))
+    rows = sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3]).groupBy(*key).agg(F.coalesce(F.max("need"), F.lit(False)).alias("need"), F.min("o").alias("o"), F.min("m").alias("m"), F.count("m").cast("int").alias("n"), F.min("digest").alias("digest"))
+    need, here = F.col("need"), F.col("o").isNotNull()
+    summed, listed = need & (F.col("name") != index), need & ~F.col("name").isin(index, listing)
+    agrees = F.col("m.sha256").eqNullSafe(F.col("o.sha256")) & F.col("m.size").eqNullSafe(F.col("o.size")) & F.col("m.content_type").isNotNull()
+    one = F.array(
+        F.when(need & ~here, "missing_file"),
+        F.when(here & ~need, "unexpected_file"),
+        F.when(summed & here & (F.col("digest") != F.col("o.sha256")), "checksum_mismatch"),
+        F.when(listed & here & (F.col("n") > 0) & ~agrees, "manifest_artifact_mismatch"),
+    )
+    again = F.when(listed, F.array_repeat(F.lit("duplicate_manifest_artifact"), F.col("n") - 1)).otherwise(F.array_repeat(F.lit("invalid_manifest_artifact"), F.col("n")))
+    files = rows.select(*key, F.explode(F.concat(F.array_compact(one), again)).alias("code"))
+    some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    sets = rows.groupBy("bundle").agg(some(summed & F.col("digest").isNull()).alias("lacks"), some(~summed & F.col("digest").isNotNull()).alias("extra"), some(listed & (F.col("n") == 0)).alias("short"))
+    issue = lambda test, name, code: F.when(F.col(test), F.struct(F.lit(name).alias("name"), F.lit(code).alias("code")))
+    whole = F.array(issue("lacks", index, "checksum_entries_missing"), issue("extra", index, "checksum_entries_unexpected"), issue("short", listing, "manifest_artifacts_incomplete"))
+    return files.unionByName(sets.select("bundle", F.explode(F.array_compact(whole)).alias("i")).select("bundle", "i.*"))
+
+
 def evidence_schema_check(artifacts: DataFrame, version: str = "1.0") -> DataFrame:
     """Issues of JSON artifacts (name, text, root): invalid JSON, root no object, other schema version, missing root key."""
     v = F.try_parse_json("text")

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as X
 from ..operators import policy as P
@@ -32,11 +35,15 @@ def drained(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None
     query.awaitTermination()
 
 
-def into_table(stream: DataFrame, mode: str) -> DataFrame:
-    """The stream's result as a table: batches are appended, or (complete) the last one stays. A batch that is written again replaces itself."""
+def into_table(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The stream's result as a table: each batch's rows are appended, or, with keys, the last row written of each key counts (update mode).
+    A batch that is written again replaces itself."""
     spark, root = stream.sparkSession, shared_folder(stream.sparkSession, "sink")
-    drained(stream, mode, lambda df, n: df.write.mode("overwrite").parquet(f"{root}/last" if mode == "complete" else f"{root}/batch={n}"))
-    return spark.read.schema(stream.schema).parquet(f"{root}/last") if mode == "complete" else spark.read.schema(stream.schema).parquet(f"{root}/batch=*").select(stream.columns)
+    drained(stream, "update" if keys else "append", lambda df, n: df.write.mode("overwrite").parquet(f"{root}/batch={n}"))
+    rows = spark.read.option("basePath", root).schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{root}/batch=*")
+    if keys:
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("last")).select("last.*")
+    return rows.select(stream.columns)
 
 
 def stage_event_pairing(events: DataFrame) -> DataFrame:
@@ -47,8 +54,39 @@ def stage_event_pairing(events: DataFrame) -> DataFrame:
     return rows.where(F.col("status").isin("completed", "failed")).select("run_id", "stage", "event_id", "status", F.floor((us("ts") - us("started_at")) / 1000).alias("duration_ms"))
 
 
+def stage_event_stream(events: DataFrame, late: str = "1 hour", keep: str = "1 day") -> DataFrame:
+    """stage_event_pairing on a stream: the state of a run and stage is its latest start, which goes when the watermark has passed it by `keep`.
+
+    A batch's events of one run and stage are taken in the order of ts and event_id; a finish event is paired when it comes, so a start
+    that comes in a later batch than its finish is not seen. Events later than the watermark are dropped.
+    """
+    ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def pair(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start = state.get[0] if state.exists else None
+        rows = pd.concat(parts).sort_values(["us", "event_id"])
+        starts = rows["us"].where(rows["status"] == "running").astype("Int64").ffill()
+        before = starts.shift(1)
+        if start is not None:
+            starts, before = starts.fillna(start), before.fillna(start)
+        if not pd.isna(starts.iloc[-1]):
+            latest = int(starts.iloc[-1])
+            state.update((latest,))
+            state.setTimeoutTimestamp(max(latest // 1000, state.getCurrentWatermarkMs()) + ms)
+        done = rows["status"].isin(["completed", "failed"])
+        out = rows[done][["event_id", "status"]].assign(run_id=key[0], stage=key[1], duration_ms=((rows["us"] - before) // 1000)[done])
+        yield out[["run_id", "stage", "event_id", "status", "duration_ms"]]
+
+    run = events.schema["run_id"].dataType.simpleString()
+    rows = events.withWatermark("ts", late).select("run_id", "stage", "event_id", "status", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("run_id", "stage").applyInPandasWithState(pair, f"run_id {run}, stage string, event_id long, status string, duration_ms long", "started long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_progress(events: DataFrame) -> DataFrame:
-    """Latest stage and status of each run, and how many events it has had; for batches and for streams in complete mode."""
+    """Latest stage and status of each run, and how many events it has had; for batches and for streams in update mode."""
     last = F.max_by(F.struct("stage", "status"), F.struct("ts", "event_id"))
     return events.groupBy("run_id").agg(last.alias("last"), F.count("*").alias("events")).select("run_id", "last.stage", "last.status", "events")
 
