@@ -2,7 +2,7 @@
 
 Candidates are runs of 16 or more of [A-Za-z0-9+/_-] (with up to two trailing =) that hold a digit, or that a credential word or
 an assignment introduces, and what a credential word is assigned (NAME=value, "name": "value", name = value), at any length and of
-any marks up to a quote or a blank. The forest sees a candidate's length, its character transitions and classes, its entropy, how far
+any marks up to a quote or a blank (the scheme words bearer and basic are no values). The forest sees a candidate's length, its character transitions and classes, its entropy, how far
 dictionary words cover it, its path, and the neighbouring words. It is trained on labelled findings (id, value, is_secret): at most
 about MAX_TRAIN of them, drawn by a digest of the value. The dictionary holds the DICTIONARY most frequent lower-case words of three to twelve letters in all texts.
 
@@ -32,7 +32,7 @@ RUN = r"""(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{16,}(?:={1,2}(?!=*["']?[A-Za-z0
 #: Words that introduce credentials, and path parts of samples.
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api_?key|apikey|auth|credential|bearer|private|access)"
 #: What a credential word is assigned, in the last word of a text: group 1 is the name with the sign and an opening quote, group 2 the value.
-ASSIGNED = CREDENTIAL.replace("(token", "((?:token").removesuffix(")") + r""")[A-Za-z0-9_.\-]*["'\])]{0,2}\s*(?::=|=>|[=:])\s*["']?(?:(?:bearer|basic)\s+)?)((?<=")[^"\s]+|(?<=')[^'\s]+|(?<!["'])[^\s"'=>](?:[^\s"']*[^\s"',;)}\]])?)(?=\S*$)"""
+ASSIGNED = CREDENTIAL.replace("(token", "((?:token").removesuffix(")") + r""")[A-Za-z0-9_.\-]*["'\])]{0,2}\s*(?::=|=>|[=:])\s*["']?(?:(?:bearer|basic)\s+)?)(?!(?:bearer|basic)$)((?<=")[^"\s]+|(?<=')[^'\s]+|(?<!["'])[^\s"'=>](?:[^\s"']*[^\s"',;)}\]])?)(?=\S*$)"""
 SAMPLE_PATH = r"(?i)(test|example|sample|mock|fixture|doc)"
 FEATURES = ["length", "transitions", "case_changes", "digits", "uppers", "distinct", "entropy", "covered", "introduced", "assigned", "quoted", "follows", "sample_path", "depth"]
 
