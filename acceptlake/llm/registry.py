@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES and SQL, in the order of the operators' numbers.
-MODULES = ("ngram_join", "decontamination", "mixing", "language_id", "secret_forest", "token_files", "license_scan", "nn_descent", "substring_dedup", "sharding", "negative_mining", "simhash")
+MODULES = ("ngram_join", "decontamination", "mixing", "language_id", "secret_forest", "token_files", "license_scan", "nn_descent", "substring_dedup", "sharding", "negative_mining", "lexical_search", "simhash")
 
 
 def _modules():
