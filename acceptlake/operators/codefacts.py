@@ -1,119 +1,152 @@
-"""Code facts from lines, indentation and intervals: declarations, imports, calls, complexity, exports, behaviour, warnings, routes.
+"""Code facts as DataFrame operations: declarations, imports, calls, complexity, exports, behaviour, warnings, routes, dangerous calls.
 
-There is no parser: signatures that span lines, and strings or comments that look like code, are read as they stand.
-files: path, text.
+facts: of functions.pysource.code_facts, where each fact carries the scope and the declarations around it, so nothing joins lines with intervals.
+Names are qualified by the module that the path stands for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .security import by_line, dedupe_findings
-
-DECLARATION = r"^(\s*)(async\s+)?(def|class)\s+(\w+)\s*(\([^:]*\))?"
-BRANCH = r"\b(?:if|elif|for|while|except|assert|match|and|or)\b"
-KEYWORDS = ("and", "assert", "async", "await", "class", "def", "elif", "for", "if", "in", "lambda", "not", "or", "print", "return", "while", "with", "yield")
-
-
-def _lines(files: DataFrame) -> DataFrame:
-    return by_line(files).withColumn("indent", F.length(F.regexp_extract("code", r"^(\s*)", 1)))
-
-
-def code_declarations(files: DataFrame) -> DataFrame:
-    """Functions, methods and classes: qualified_name, owner, kind, start and end line, signature, bases, decorators. A body ends before the next line that is not indented deeper."""
-    rows = _lines(files).where(F.trim("code") != "")
-    decl = rows.where(F.col("code").rlike(DECLARATION)).select("path", "line", "indent", F.regexp_extract("code", DECLARATION, 4).alias("name"), F.regexp_extract("code", DECLARATION, 3).alias("word"), (F.regexp_extract("code", DECLARATION, 2) != "").alias("is_async"), F.regexp_extract("code", DECLARATION, 5).alias("args"), F.trim("code").alias("signature"))
-    last = rows.groupBy("path").agg(F.max("line").alias("last"))
-    later = rows.select(F.col("path").alias("l_path"), F.col("line").alias("l_line"), F.col("indent").alias("l_indent"))
-    ends = decl.join(later, (F.col("path") == F.col("l_path")) & (F.col("l_line") > F.col("line")) & (F.col("l_indent") <= F.col("indent"))).groupBy("path", "line").agg((F.min("l_line") - 1).alias("stop"))
-    decl = decl.join(ends, ["path", "line"], "left").join(last, "path").withColumn("end_line", F.coalesce("stop", "last")).drop("stop", "last")
-    outer = decl.select(F.col("path").alias("o_path"), F.col("line").alias("o_line"), F.col("end_line").alias("o_end"), F.col("name").alias("o_name"), F.col("word").alias("o_word"))
-    around = decl.join(outer, (F.col("path") == F.col("o_path")) & (F.col("o_line") < F.col("line")) & (F.col("o_end") >= F.col("line"))).groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("o_line", "o_name", "o_word"))).alias("o"))
-    decl = decl.join(around, ["path", "line"], "left")
-    owner = F.array_join(F.transform(F.coalesce("o", F.array().cast("array<struct<o_line:int,o_name:string,o_word:string>>")), lambda x: x["o_name"]), ".")
-    kind = F.when(F.col("word") == "class", "class").when(F.element_at("o", -1)["o_word"] == "class", "method").otherwise("function")
-    after = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    marks = rows.withColumn("target", F.first(F.when(F.col("code").rlike(DECLARATION), F.col("line")), ignorenulls=True).over(after)).where(F.col("code").rlike(r"^\s*@")).groupBy("path", F.col("target").alias("line")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", F.regexp_extract("code", r"^\s*@(.*)$", 1).alias("d")))), lambda x: x["d"]).alias("decorators"))
-    out = decl.join(marks, ["path", "line"], "left")
-    name = F.concat_ws(".", F.nullif(owner, F.lit("")), F.col("name"))
-    bases = F.when(F.col("word") == "class", F.filter(F.transform(F.split(F.regexp_replace("args", r"^\(|\)$", ""), ","), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
-    return out.select("path", name.alias("qualified_name"), F.nullif(owner, F.lit("")).alias("owner"), kind.alias("kind"), F.col("line").alias("start_line"), "end_line", "is_async", "signature", bases.alias("bases"), F.coalesce("decorators", F.array().cast("array<string>")).alias("decorators"))
-
-
-def code_imports(files: DataFrame) -> DataFrame:
-    """module, name, alias, line, wildcard, dynamic of import lines and dynamic imports."""
-    rows = by_line(files)
-    plain = rows.select("path", "line", F.explode(F.split(F.regexp_extract("code", r"^\s*import\s+(.+)$", 1), ",")).alias("x")).where("trim(x) <> ''")
-    plain = plain.select("path", "line", F.regexp_extract("x", r"^\s*([\w.]+)", 1).alias("module"), F.lit(None).cast("string").alias("name"), F.nullif(F.regexp_extract("x", r"\sas\s+(\w+)", 1), F.lit("")).alias("alias"), F.lit(False).alias("dynamic"))
-    form = r"^\s*from\s+([\w.]+)\s+import\s+\(?([^)]+)"
-    some = rows.where(F.col("code").rlike(form)).select("path", "line", F.regexp_extract("code", form, 1).alias("module"), F.explode(F.split(F.regexp_extract("code", form, 2), ",")).alias("x"))
-    some = some.select("path", "line", "module", F.regexp_extract("x", r"^\s*([\w*]+)", 1).alias("name"), F.nullif(F.regexp_extract("x", r"\sas\s+(\w+)", 1), F.lit("")).alias("alias"), F.lit(False).alias("dynamic"))
-    call = rows.select("path", "line", F.explode(F.regexp_extract_all("code", F.lit(r"""(?:importlib\.import_module|__import__)\(\s*["']?([\w.]*)"""), F.lit(1))).alias("module")).select("path", "line", "module", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("alias"), F.lit(True).alias("dynamic"))
-    return plain.unionByName(some).unionByName(call).withColumn("wildcard", F.coalesce(F.col("name") == "*", F.lit(False)))
-
-
-def _innermost(rows: DataFrame, declarations: DataFrame) -> DataFrame:
-    """rows (path, line) with scope: the qualified name of the innermost function or class around, null outside."""
-    d = declarations.select(F.col("path").alias("d_path"), "start_line", "end_line", "qualified_name", "kind")
-    inside = (F.col("path") == F.col("d_path")) & F.col("line").between(F.col("start_line"), F.col("end_line"))
-    best = rows.select("path", "line").distinct().join(d, inside).groupBy("path", "line").agg(F.max_by(F.struct("qualified_name", "kind", "start_line"), "start_line").alias("s"))
-    return rows.join(best, ["path", "line"], "left").withColumn("scope", F.col("s.qualified_name")).withColumn("scope_kind", F.col("s.kind")).withColumn("scope_start", F.col("s.start_line")).drop("s")
-
-
-def code_calls(files: DataFrame, declarations: DataFrame) -> DataFrame:
-    """caller (null at module level), target, line."""
-    rows = by_line(files).where(~F.col("code").rlike(r"^\s*(?:async\s+)?(?:def|class)\s"))
-    calls = rows.select("path", "line", F.explode(F.regexp_extract_all("code", F.lit(r"([A-Za-z_][\w.]*)\s*\("), F.lit(1))).alias("target")).where(~F.col("target").isin(*KEYWORDS))
-    return _innermost(calls, declarations).select("path", F.col("scope").alias("caller"), "target", "line")
-
-
-def code_complexity(files: DataFrame, declarations: DataFrame) -> DataFrame:
-    """1 + branching words on the lines of each function, nested bodies included."""
-    rows = by_line(files).withColumn("n", F.regexp_count("code", F.lit(BRANCH))).where("n > 0").select(F.col("path").alias("l_path"), "line", "n")
-    fun = declarations.where("kind <> 'class'")
-    met = fun.join(rows, (F.col("path") == F.col("l_path")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
-    return met.groupBy("path", "qualified_name").agg((F.lit(1) + F.coalesce(F.sum("n"), F.lit(0))).cast("long").alias("complexity"))
-
-
-def code_exports(files: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Whether a symbol is exported: no leading underscore; where a literal __all__ exists it decides for symbols without an owner."""
-    listed = files.select("path", F.regexp_extract("text", r"(?m)^__all__\s*=\s*[\[(]([^\])]*)[\])]", 1).alias("a"), F.col("text").rlike(r"(?m)^__all__\s*=\s*[\[(]").alias("has"))
-    names = listed.select("path", "has", F.regexp_extract_all("a", F.lit(r"""["'](\w+)["']"""), F.lit(1)).alias("names"))
-    last = F.substring_index("qualified_name", ".", -1)
-    rows = declarations.select("path", "qualified_name", "owner").join(names, "path", "left")
-    return rows.select("path", "qualified_name", F.when(F.col("owner").isNull() & F.col("has"), F.array_contains("names", last)).otherwise(~last.startswith("_")).alias("exported"))
-
-
-def code_behaviour(files: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Return shapes and raised names of each function, those of nested functions excluded."""
-    value = F.trim(F.regexp_extract("code", r"^\s*return\b(.*)$", 1))
-    shape = F.when((value == "") | (value == "None"), "none").when(value.rlike(r"^-?\d+$"), "constant:int").when(value.rlike(r"^-?\d+\.\d+$"), "constant:float").when(value.rlike("""^["'][^"']*["']$"""), "constant:str").when(value.isin("True", "False"), "constant:bool")
-    shape = shape.when(value.rlike(r"^\{"), "mapping").when(value.rlike(r"^[\[(]"), "sequence").when(value.rlike(r"^\w+$"), F.concat(F.lit("name:"), value)).when(value.rlike(r"^[\w.]+\(.*\)$"), F.concat(F.lit("call:"), F.regexp_extract(value, r"^([\w.]+)", 1))).otherwise("expression")
-    rows = by_line(files).withColumn("shape", F.when(F.col("code").rlike(r"^\s*return\b"), shape)).withColumn("raised", F.when(F.col("code").rlike(r"^\s*raise\b"), F.coalesce(F.nullif(F.regexp_extract("code", r"^\s*raise\s+([\w.]+)", 1), F.lit("")), F.lit("dynamic_exception"))))
-    rows = _innermost(rows.where("shape IS NOT NULL OR raised IS NOT NULL").select("path", "line", "shape", "raised"), declarations)
-    return rows.where("scope IS NOT NULL").groupBy("path", F.col("scope").alias("qualified_name")).agg(F.sort_array(F.collect_set("shape")).alias("return_shapes"), F.sort_array(F.collect_set("raised")).alias("raises"))
-
-
-def code_warnings(files: DataFrame) -> DataFrame:
-    """Wildcard and dynamic imports, and texts whose brackets don't pair up."""
-    i = code_imports(files)
-    wild = i.where("wildcard").select("path", "line", F.lit("python.wildcard-import").alias("rule_id"), F.lit("low").alias("severity"))
-    dynamic = i.where("dynamic").select("path", "line", F.lit("python.dynamic-import").alias("rule_id"), F.lit("medium").alias("severity"))
-    odd = files.where(F.regexp_count("text", F.lit(r"[(\[{]")) != F.regexp_count("text", F.lit(r"[)\]}]"))).select("path", F.lit(1).alias("line"), F.lit("python.syntax").alias("rule_id"), F.lit("medium").alias("severity"))
-    return wild.unionByName(dynamic).unionByName(odd)
-
-
-def web_routes(files: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Routes of decorators: method, router prefix and path, handler, response model, status."""
-    form = r'^(\w+)\.(get|post|put|patch|delete|head|options)\(\s*"([^"]*)"'
-    d = declarations.select("path", F.col("qualified_name").alias("handler"), F.explode("decorators").alias("d")).where(F.col("d").rlike(form))
-    d = d.select("path", "handler", F.regexp_extract("d", form, 1).alias("router"), F.upper(F.regexp_extract("d", form, 2)).alias("method"), F.regexp_extract("d", form, 3).alias("own"), F.nullif(F.regexp_extract("d", r"response_model\s*=\s*([\w.\[\]]+)", 1), F.lit("")).alias("response_model"), F.regexp_extract("d", r"status_code\s*=\s*(\d+)", 1).try_cast("int").alias("status"))
-    routers = by_line(files).where(F.col("code").rlike(r"^\s*\w+\s*=\s*\w*Router\(")).select("path", F.regexp_extract("code", r"^\s*(\w+)\s*=", 1).alias("router"), F.regexp_extract("code", r'prefix\s*=\s*"([^"]*)"', 1).alias("prefix")).dropDuplicates(["path", "router"])
-    out = d.join(routers, ["path", "router"], "left")
-    return out.select("path", "method", F.concat(F.coalesce("prefix", F.lit("")), "own").alias("route"), "handler", "response_model", F.coalesce("status", F.lit(200)).alias("status"))
+from .security import dedupe_findings
+
+# Dangerous calls by what they call: rule and severity.
+DANGEROUS = {
+    "eval": ("python.eval", "high"),
+    "exec": ("python.exec", "high"),
+    "pickle.loads": ("python.pickle-loads", "high"),
+    "os.system": ("python.os-system", "high"),
+    "tempfile.mktemp": ("python.insecure-tempfile", "high"),
+    "hashlib.md5": ("python.weak-hash", "medium"),
+    "hashlib.sha1": ("python.weak-hash", "medium"),
+}
+# Calls that may start a shell, and the methods of a router.
+SHELL_CALLS = ("subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_call", "subprocess.check_output")
+ROUTE_METHODS = ("get", "post", "put", "patch", "delete", "options", "head", "trace")
+# Annotations that are no model of a request.
+PLAIN_TYPES = ("Request", "Response", "str", "int", "float", "bool", "bytes")
+
+
+def _of(facts: DataFrame, *kinds: str) -> DataFrame:
+    return facts.where(F.col("fact").isin(*kinds))
+
+
+def _qualified() -> Column:
+    return F.concat_ws(".", F.nullif("scope", F.lit("")), "name")
+
+
+def _keyword(name: str, form: str | None = None) -> Column:
+    """The arguments passed by this keyword, or the parts of such a list or dict."""
+    return F.filter("args", lambda a: (a["name"] == name) & ((a["form"] == form) if form else ~a["form"].isin("element", "entry")))
+
+
+def code_declarations(facts: DataFrame) -> DataFrame:
+    """Functions, methods and classes: number (in the file), qualified_name, owner (the class of a method; the class around a class), kind, lines, signature, bases, decorators."""
+    marks = _of(facts, "decorator").where("name <> ''").groupBy("path", "number").agg(F.transform(F.array_sort(F.collect_list(F.struct("weight", "name"))), lambda x: x["name"]).alias("decorators"))
+    rows = _of(facts, "declaration").join(marks, ["path", "number"], "left")
+    kind = F.when(F.col("form") == "class", "class").when(F.col("alias").isNotNull(), "method").otherwise("function")
+    none = F.array().cast("array<string>")
+    bases = F.when(F.col("form") == "class", F.filter(F.transform("args", lambda a: a["name"]), lambda x: x != "")).otherwise(none)
+    return rows.select("path", "number", _qualified().alias("qualified_name"), F.col("alias").alias("owner"), kind.alias("kind"), F.col("line").alias("start_line"), "end_line", F.col("form").startswith("async").alias("is_async"), F.col("value").alias("signature"), bases.alias("bases"), F.coalesce("decorators", none).alias("decorators"))
+
+
+def code_imports(facts: DataFrame) -> DataFrame:
+    """module (with its leading dots), name, alias, line, wildcard, dynamic of imports and dynamic imports."""
+    return _of(facts, "import").select("path", "line", F.col("name").alias("module"), F.col("value").alias("name"), "alias", (F.col("form") == "dynamic").alias("dynamic"), F.coalesce(F.col("value") == "*", F.lit(False)).alias("wildcard"))
+
+
+def code_calls(facts: DataFrame) -> DataFrame:
+    """caller (the scope; the module outside of declarations), target, line."""
+    return _of(facts, "call").where("name <> ''").select("path", F.col("scope").alias("caller"), F.col("name").alias("target"), "line")
+
+
+def _names(facts: DataFrame) -> DataFrame:
+    return _of(facts, "declaration").select("path", "number", "form", _qualified().alias("qualified_name"))
+
+
+def code_complexity(facts: DataFrame) -> DataFrame:
+    """1 + branches and further operands of and / or inside each declaration, nested bodies included."""
+    inside = _of(facts, "branch").select("path", F.explode("within").alias("number"), "weight").groupBy("path", "number").agg(F.sum("weight").alias("n"))
+    return _names(facts).join(inside, ["path", "number"], "left").select("path", "number", "qualified_name", (F.lit(1) + F.coalesce("n", F.lit(0))).cast("long").alias("complexity"))
+
+
+def code_exports(facts: DataFrame) -> DataFrame:
+    """Whether a symbol is exported: no leading underscore; where the module sets a literal __all__, its last decides for symbols without an owner."""
+    listed = _of(facts, "export").groupBy("path").agg(F.max_by(F.transform("args", lambda a: a["literal"]), "line").alias("names"))
+    rows = _of(facts, "declaration").select("path", "number", _qualified().alias("qualified_name"), "name", F.col("alias").alias("owner")).join(listed, "path", "left")
+    chosen = F.exists("names", lambda x: x.eqNullSafe(F.col("name")))
+    return rows.select("path", "number", "qualified_name", F.when(F.col("owner").isNull() & F.col("names").isNotNull(), chosen).otherwise(~F.col("name").startswith("_")).alias("exported"))
+
+
+def code_behaviour(facts: DataFrame) -> DataFrame:
+    """Return shapes and raised names of each function, those of nested functions and classes excluded."""
+    own = _of(facts, "return", "raise").where("size(within) > 0").select("path", F.element_at("within", -1).alias("number"), "fact", "name")
+    own = own.groupBy("path", "number").agg(*[F.sort_array(F.collect_set(F.when(F.col("fact") == f, F.col("name")))).alias(n) for f, n in (("return", "return_shapes"), ("raise", "raises"))])
+    none = F.array().cast("array<string>")
+    rows = _names(facts).where("form <> 'class'").join(own, ["path", "number"], "left")
+    return rows.select("path", "number", "qualified_name", F.coalesce("return_shapes", none).alias("return_shapes"), F.coalesce("raises", none).alias("raises"))
+
+
+def code_warnings(facts: DataFrame) -> DataFrame:
+    """Wildcard and dynamic imports, and texts that can't be parsed (line: where that showed, if known)."""
+    rule = F.when((F.col("fact") == "import") & (F.col("value") == "*"), "python.wildcard-import").when((F.col("fact") == "import") & (F.col("form") == "dynamic"), "python.dynamic-import").when(F.col("fact") == "error", "python.syntax-error")
+    rows = facts.select("path", F.when(F.col("fact") == "error", F.col("weight")).otherwise(F.col("line")).alias("line"), rule.alias("rule_id"), F.lit("medium").alias("severity"))
+    return rows.where("rule_id IS NOT NULL")
+
+
+def danger_calls(facts: DataFrame) -> DataFrame:
+    """Calls that run code, start a shell, read unsafe data, skip a check or build SQL from texts, wherever their arguments stand; each rule once a line."""
+    target, first = F.coalesce("value", F.lit("")), F.get(F.filter("args", lambda a: a["name"].isNull()), F.lit(0))
+    has = lambda name, text: F.exists(_keyword(name), lambda a: a["text"] == text)
+    safe = F.exists(_keyword("Loader"), lambda a: a["text"].endswith("SafeLoader"))
+    unverified = F.exists(_keyword("options", "entry"), lambda a: (a["first"] == "'verify_signature'") & (a["text"] == "False"))
+    sql = F.lower(first["text"]).rlike("select |insert |update |delete ") & (first["form"].isin("BinOp", "JoinedStr") | F.lower(first["text"]).contains(".format("))
+    rules = [
+        *[(target == call, rule, severity) for call, (rule, severity) in DANGEROUS.items()],
+        (target.isin(*SHELL_CALLS) & has("shell", "True"), "python.subprocess-shell", "critical"),
+        (target.isin("yaml.load", "yaml.unsafe_load") & ~safe, "python.unsafe-yaml-load", "high"),
+        (has("verify", "False"), "python.tls-verification-disabled", "high"),
+        (target.endswith("jwt.decode") & ((F.size(_keyword("algorithms")) == 0) | unverified), "python.jwt-validation-incomplete", "high"),
+        (F.lower(target).rlike("(execute|executemany)$") & sql, "python.sql-string-concatenation", "high"),
+    ]
+    hits = [F.when(test, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"))) for test, rule, severity in rules]
+    return _of(facts, "call").select("path", "line", F.inline(F.array_compact(F.array(*hits)))).select("path", "rule_id", "severity", "line").distinct()
+
+
+def web_routes(facts: DataFrame) -> DataFrame:
+    """Routes of decorators: method, router prefix and path, handler, request models, response model, status (null: not given), dependencies, line.
+
+    A parameter whose default is a call of Depends is a dependency; any other with an annotation that is no plain type is a request model.
+    """
+    own = _of(facts, "decorator").where((F.col("form") == "call") & F.col("value").contains(".")).select("path", "number", "weight", "args", F.regexp_extract("value", r"^(.*)\.[^.]*$", 1).alias("router"), F.substring_index("value", ".", -1).alias("method"))
+    own = own.where(F.lower("method").isin(*ROUTE_METHODS))
+    first = F.get(F.filter("args", lambda a: a["name"].isNull()), F.lit(0))
+    own = own.withColumn("own", F.when(F.size(F.filter("args", lambda a: a["name"].isNull())) == 0, "").otherwise(first["literal"])).where("own IS NOT NULL")
+    prefix = F.coalesce(F.get(_keyword("prefix"), F.lit(0))["literal"], F.lit(""))
+    last = Window.partitionBy("path", "router").orderBy(F.desc("weight"), F.desc("line"))
+    routers = _of(facts, "assigned call").where(F.col("value").endswith("APIRouter")).select("path", F.col("name").alias("router"), prefix.alias("prefix"), "weight", "line").withColumn("k", F.row_number().over(last)).where("k = 1")
+    handlers = _of(facts, "declaration").where("form <> 'class'").select("path", "number", F.col("name").alias("handler"), F.col("args").alias("parameters"), "line")
+    rows = own.join(handlers, ["path", "number"]).join(routers.select("path", "router", "prefix"), ["path", "router"], "left")
+    parts = F.filter(F.split(F.concat_ws("/", F.coalesce("prefix", F.lit("")), "own"), "/"), lambda x: x != "")
+    depends = lambda p: (p["form"] == "Call") & p["callee"].endswith("Depends")
+    named = lambda a, other: F.coalesce(a["first"], other)
+    models = F.transform(F.filter("parameters", lambda p: ~F.coalesce(depends(p), F.lit(False)) & ~p["annotation"].isin(*PLAIN_TYPES)), lambda p: p["annotation"])
+    by_default = F.transform(F.filter("parameters", depends), lambda p: named(p, F.lit("Depends")))
+    declared = F.transform(F.filter(_keyword("dependencies", "element"), lambda a: a["callee"].isNotNull()), lambda a: named(a, a["callee"]))
+    status = F.get(F.filter(_keyword("status_code"), lambda a: a["text"].rlike(r"^[+-]?\d+$")), F.lit(0))["text"].try_cast("int")
+    return rows.select(
+        "path", F.upper("method").alias("method"), F.concat(F.lit("/"), F.array_join(parts, "/")).alias("route"), "handler", F.array_distinct(models).alias("request_models"),
+        F.get(_keyword("response_model"), F.lit(0))["text"].alias("response_model"), status.alias("status"), F.array_distinct(F.concat(by_default, declared)).alias("dependencies"), "line",
+    )
+
+
+#: Findings of analyzers written in Python.
+FINDINGS = "fingerprint string, seq long, path string, analyzer string, rule_id string, severity string, line int, message string"
 
 
 def run_analyzers(files: DataFrame, analyzers: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -124,6 +157,34 @@ def run_analyzers(files: DataFrame, analyzers: list[Callable[[DataFrame], DataFr
     return dedupe_findings(out, "seq")
 
 
+def python_analyzer(name: str, body: Callable[[str, str], Iterable[dict]], severity: str = "medium") -> Callable[[DataFrame], DataFrame]:
+    """An analyzer for run_analyzers with a Python body: body(path, text) gives findings as dicts of rule_id and, if need be, severity, line and message.
+
+    files: seq, path, text. Each file is analysed alone where it lies: one whose analysis fails, or gives what is no finding, has a finding
+    "analyzer.failed" in place of its own, and the others keep theirs. A file without text isn't analysed.
+    """
+    names = [c.split()[0] for c in FINDINGS.split(", ")]
+
+    def of(seq: int, path: str, text: str) -> list[tuple]:
+        def finding(rule_id: str, severity: str = severity, line: int | None = None, message: str | None = None) -> tuple:
+            digest = hashlib.sha256(f"{name}:{rule_id}:{path}:{line}:{message}".encode("utf-8", "replace")).hexdigest()
+            return digest, seq, path, name, str(rule_id), str(severity), None if line is None else int(line), None if message is None else str(message)
+
+        try:
+            return [finding(**f) for f in body(path, text)]
+        except Exception as e:  # whatever a user's function raises
+            return [finding("analyzer.failed", "high", None, f"{type(e).__name__}: {e}")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int32(), pa.string()]
+        for batch in batches:
+            for seq, path, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if text is not None and (rows := of(seq, path, text)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return lambda files: files.select(F.col("seq").cast("long"), "path", "text").mapInArrow(scan, FINDINGS)
+
+
 def rescored(scores: DataFrame, scorer: Column) -> DataFrame:
     """Requirement scores with a scorer of the user's own in place of the built-in one; the same cut follows."""
     return scores.withColumn("score", scorer.cast("double")).where("score > 0")

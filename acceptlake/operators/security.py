@@ -22,20 +22,6 @@ SECRET_RULES = (
     ("secret.assigned-credential", "high", r"""(?i)(?:api[_-]?key|secret|token|password|passwd|client[_-]?secret)\s*[:=]\s*['"]([^'"\s]{8,})['"]"""),
     ("secret.dotenv-value", "high", r"""(?im)^(?:[A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|API_KEY)[A-Z0-9_]*)\s*=\s*['"]?([^\s#'"]{12,})"""),
 )
-# Calls that a line may not hold: id, severity, pattern, pattern that excuses it.
-CALL_RULES = (
-    ("python.eval", "high", r"(?<![\w.])eval\s*\(", None),
-    ("python.exec", "high", r"(?<![\w.])exec\s*\(", None),
-    ("python.pickle-loads", "high", r"\bpickle\.loads\s*\(", None),
-    ("python.os-system", "high", r"\bos\.system\s*\(", None),
-    ("python.insecure-tempfile", "high", r"\btempfile\.mktemp\s*\(", None),
-    ("python.weak-hash", "medium", r"\bhashlib\.(?:md5|sha1)\s*\(", None),
-    ("python.subprocess-shell", "high", r"\bsubprocess\.\w+\s*\(.*\bshell\s*=\s*True", None),
-    ("python.unsafe-yaml", "high", r"\byaml\.load\s*\(", r"SafeLoader"),
-    ("python.tls-verification-disabled", "high", r"\bverify\s*=\s*False", None),
-    ("python.jwt-algorithms", "high", r"\bjwt\.decode\s*\(", r"algorithms\s*="),
-    ("python.sql-string", "high", r"""\.execute\s*\(\s*(?:f["']|["'][^"']*["']\s*[%+])""", None),
-)
 RULE_SCHEMA = "rule_id string, severity string, pattern string, value_group int, excuse string"
 
 
@@ -103,16 +89,12 @@ def by_line(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(X.lines(F.col("text"))).alias("p", "code")).select("path", (F.col("p") + 1).alias("line"), "code")
 
 
-def line_rules(files: DataFrame, rules: tuple = CALL_RULES) -> DataFrame:
+def line_rules(files: DataFrame, rules: tuple) -> DataFrame:
     """Findings of rules that look at one line: path, rule_id, severity, line."""
     hits = [F.when(F.col("code").rlike(p) & (F.lit(True) if e is None else ~F.col("code").rlike(e)), F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"))) for r, s, p, e in rules]
     return by_line(files).select("path", "line", F.inline(F.array_compact(F.array(*hits)))).select("path", "rule_id", "severity", "line")
 
 
-def danger_calls(files: DataFrame) -> DataFrame:
-    return line_rules(files)
-
-
 def _first(files: DataFrame, rule: str, severity: str, pattern: str, test: Column | None = None) -> DataFrame:
     """The first place of a pattern in each text."""
     value = F.regexp_extract("text", pattern, 0)

@@ -87,13 +87,7 @@ def mask_value(spark, d):
 
 
 def _rule_lines(rules) -> str:
-    plain = lambda p: p.replace(r"(?<![\w.])", r"(?:^|[^\w.])")
-    return " UNION ALL ".join(f"SELECT path, '{r}' AS rule_id, '{s}' AS severity, line FROM lines WHERE regexp_matches(code, {q(plain(p))})" + (f" AND NOT regexp_matches(code, {q(e)})" if e else "") for r, s, p, e in rules)
-
-
-@R.add("danger_calls", f"WITH {files_sql(CODE, 'app')}, {LINES_SQL} {_rule_lines(P.CALL_RULES)}")
-def danger_calls(spark, d):
-    return P.danger_calls(derived(spark, d, CODE, "app"))
+    return " UNION ALL ".join(f"SELECT path, '{r}' AS rule_id, '{s}' AS severity, line FROM lines WHERE regexp_matches(code, {q(p)})" + (f" AND NOT regexp_matches(code, {q(e)})" if e else "") for r, s, p, e in rules)
 
 
 def _first_sql(rule, severity, pattern, test="true"):
