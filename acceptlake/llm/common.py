@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 #: Spark's own setting by which a query's shuffle files go when it has ended.
+_CONF = threading.RLock()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,17 +42,34 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    with _CONF:  # the setting is the session's; writes of several threads take turns at it
+        before = spark.conf.get(_CLEANUP, "false")
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._acceptlake_path = path
+    for made in _TRACKED:
+        made.append(out)
     return out
 
 
+_TRACKED: list[list[DataFrame]] = []
+
+
+@contextmanager
+def tracked() -> Iterator[list[DataFrame]]:
+    """The tables that are staged meanwhile, for those to be deleted that no later plan reads."""
+    made: list[DataFrame] = []
+    _TRACKED.append(made)
+    try:
+        yield made
+    finally:
+        _TRACKED.remove(made)
+
+
 def unstage(*frames: DataFrame) -> None:
     """Delete the files of staged tables that no later plan reads."""
     for df in frames:
@@ -68,6 +88,16 @@ def unpacked(df: DataFrame, name: str, like: DataFrame, *replaced: str) -> list[
     return [F.col(name)[c].alias(c) for c in without(like, *replaced).columns]
 
 
+def carried(docs: DataFrame, *replaced: str, **columns: Column) -> DataFrame:
+    """docs' columns but the replaced ones packed as `doc`, beside these columns."""
+    return docs.select(packed(docs, *replaced).alias("doc"), *[c.alias(n) for n, c in columns.items()])
+
+
+def restored(like: DataFrame, *replaced: str, **given: Column) -> list[Column]:
+    """like's columns but the replaced ones, in its order: the given ones, and the others out of `doc`."""
+    return [given[c].alias(c) if c in given else F.col("doc")[c].alias(c) for c in without(like, *replaced).columns]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, lengthened until df has no column of that name."""
     have = {c.lower() for c in df.columns}

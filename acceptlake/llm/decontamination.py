@@ -5,8 +5,8 @@ consecutive words of an item (a shorter item is one window of its own length). E
 themselves before it counts. Null and empty texts have no words, so they are never hit and a null or empty item has no
 window. An item without an id hits as any other, but has no name in hit_items. Rows are judged one by one: repeated rows and
 rows without an id keep their place, and ties don't arise. A very long text is scanned in a slice of its own. An empty table of documents
-gives an empty result, an empty benchmark hits nothing. Columns of the documents that share a name with a result column are replaced by it; all
-others pass through.
+gives an empty result, an empty benchmark hits nothing. Where result columns are added, columns of the documents that
+share a name with one are replaced by it; all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, Words, free_name, slices, staged, unstage, without
+from .common import ALNUM_WORDS, Words, carried, restored, slices, staged, unstage
 
-#: Windows that one broadcast holds at most (about 100 bytes each); more benchmark windows are scanned in further rounds.
-MAX_BROADCAST_WINDOWS = 500_000
+#: Windows that one broadcast holds at most; more benchmark windows are scanned in further rounds. Bytes of a usual window's words and items: a
+#: longer one counts as several.
+MAX_BROADCAST_WINDOWS, WINDOW_BYTES = 500_000, 256
 
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType(), False),
@@ -75,16 +76,16 @@ class _Windows:
                         yield k, size, items
 
 
-def _annotated(docs: DataFrame, rows: list, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
-    kept = without(docs, *RESULT.names)
+def _annotated(texts: DataFrame, rows: list) -> DataFrame:
+    """texts (any columns, the last one `text`) with the columns of RESULT."""
+    shared = texts.sparkSession.sparkContext.broadcast(rows)
     made: list[_Windows] = []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             made.append(_Windows(shared.value))
-        for part in slices(batches, text_col):
-            column = part.column(part.schema.get_field_index(text_col))
+        for part in slices(batches, "text"):
+            column = part.columns[-1]
             w = Words(column, ALNUM_WORDS, lower=True)
             spans: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
@@ -92,97 +93,90 @@ def _annotated(docs: DataFrame, rows: list, text_col: str) -> DataFrame:
                 d = int(w.doc[k])
                 spans.setdefault(d, []).append((k, k + size))
                 items.setdefault(d, set()).update(names)
-            clean = {}
-            for d, found in spans.items():
-                joined: list[list[int]] = []
-                for a, b in sorted(found):
-                    if joined and a <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], b)
-                    else:
-                        joined.append([a, b])
-                at, out = int(w.at[d]), []
-                for a, b in joined:
-                    out.append(w.raw[at : w.start[a]].tobytes())
-                    at = int(w.end[b - 1])
-                clean[d] = b"".join([*out, w.raw[at : w.at[d + 1]].tobytes()]).decode("utf-8", "replace")
-                spans[d] = [{"first_word": a - int(w.first[d]), "n_words": b - a} for a, b in joined]
+            joined = {d: _joined(found) for d, found in spans.items()}
             n = part.num_rows
-            texts = column
-            if clean:
-                texts = pa.array([clean.get(d, t) for d, t in enumerate(column.to_pylist())], pa.string())
-            arrays = [
-                pa.array(w.count.astype(np.int64)),
-                pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([pa.field("first_word", pa.int32(), False), pa.field("n_words", pa.int32(), False)]))),
-                pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                texts,
-            ]
-            yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, *RESULT.names])
-
-    return kept.mapInArrow(scan, T.StructType([*kept.schema.fields, *RESULT.fields]))
+            found = [sorted(items.get(d, ())) for d in range(n)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *_columns(w, column, joined, found)], [*part.schema.names, *RESULT.names])
+
+    return texts.mapInArrow(scan, T.StructType([*texts.schema.fields, *RESULT.fields]))
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words that touch or overlap, made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _columns(w: Words, column: pa.Array, spans: dict[int, list[tuple[int, int]]], items: list[list[str]]) -> list[pa.Array]:
+    """The columns of RESULT; spans: first word (of the slice) and the word behind the last, by text."""
+    clean = {}
+    for d, found in spans.items():
+        at, out = int(w.at[d]), []
+        for a, b in found:
+            out.append(w.raw[at : w.start[a]].tobytes())
+            at = int(w.end[b - 1])
+        clean[d] = b"".join([*out, w.raw[at : w.at[d + 1]].tobytes()]).decode("utf-8", "replace")
+    shown = [[{"first_word": a - int(w.first[d]), "n_words": b - a} for a, b in spans.get(d, ())] for d in range(len(column))]
+    texts = pa.array([clean.get(d, t) for d, t in enumerate(column.to_pylist())], pa.string()) if clean else column
+    kind = pa.list_(pa.struct([pa.field("first_word", pa.int32(), False), pa.field("n_words", pa.int32(), False)]))
+    return [pa.array(w.count.astype(np.int64)), pa.array(shown, kind), pa.array(items, pa.list_(pa.string())), texts]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: str = "annotate", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """Find benchmark windows in documents.
 
     action "annotate" adds n_words, hit_spans, hit_items and clean_text (the text without hit words); "remove_spans" puts
-    clean_text in the text's place; "drop_documents" keeps the documents without a hit. The last two return docs' columns.
-    The windows are counted before they are broadcast; beyond max_broadcast they go in several rounds over the documents.
+    clean_text in the text's place; "drop_documents" keeps the documents without a hit. The last two return docs' columns, all as they were.
+    The windows are measured before they are broadcast: each counts its words' bytes and the items that it names. Beyond max_broadcast windows of
+    usual size they go in several rounds over the documents.
     """
+    replaced = RESULT.names if action == "annotate" else ()
+    texts = carried(docs, text_col, *replaced, text=F.col(f"`{text_col}`"))
     windows = staged(benchmark_windows(benchmark, n, item_col, item_text_col), "windows")
-    rounds = max(1, -(-windows.count() // max_broadcast))
+    rounds = max(1, -(-(windows.agg(F.sum(_usual())).first()[0] or 0) // max_broadcast))
     if rounds == 1:
-        out = _annotated(docs, [tuple(r) for r in windows.toLocalIterator()], text_col)
+        out = _annotated(texts, [tuple(r) for r in windows.toLocalIterator()])
     else:
-        out = _in_rounds(docs, windows, rounds, text_col)
+        out = _in_rounds(texts, windows, rounds)
     unstage(windows)
-    if action == "annotate":
-        return out
     if action == "drop_documents":
-        return out.where(F.size("hit_spans") == 0).select(*[F.col(f"`{c}`") for c in without(docs, *RESULT.names).columns])
-    return out.select(*[F.col("clean_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in without(docs, *RESULT.names).columns])
+        out = out.where(F.size("hit_spans") == 0)
+    text = F.col("clean_text" if action == "remove_spans" else "text")
+    return out.select(*restored(docs, *replaced, **{text_col: text}), *replaced)
+
+
+def _usual() -> Column:
+    """How many windows of usual size a window is: WINDOW_BYTES of words and items."""
+    size = F.octet_length("words") + F.aggregate("items", F.lit(0), lambda t, x: t + F.octet_length(x) + 60)
+    return F.greatest(F.lit(1), F.ceil(size / WINDOW_BYTES)).cast("long")
 
 
-def _in_rounds(docs: DataFrame, windows: DataFrame, rounds: int, text_col: str) -> DataFrame:
+def _in_rounds(texts: DataFrame, windows: DataFrame, rounds: int) -> DataFrame:
     """Each round broadcasts the windows of one hash class and scans all documents; a row's hits are joined by a row number that is fixed first."""
-    row, gathered = free_name(docs, "row"), free_name(docs, "gathered")
-    numbered = staged(without(docs, *RESULT.names).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = staged(texts.select("doc", F.monotonically_increasing_id().alias("row"), "text"), "numbered")
     spans = None
     for k in range(rounds):
-        rows = [tuple(r) for r in windows.where(F.pmod(F.xxhash64("words"), F.lit(rounds)) == k).toLocalIterator()]
-        found = staged(_annotated(numbered.select(row, text_col), rows, text_col).where(F.size("hit_spans") > 0).select(row, "hit_spans", "hit_items"), "hits")
+        # a window that many items share is dealt out by its items
+        parts = windows.withColumn("item", F.explode_outer("items")).where(F.pmod(F.xxhash64("words", "item"), F.lit(rounds)) == k)
+        rows = [tuple(r) for r in parts.groupBy("size", "words").agg(F.collect_list("item").alias("items")).toLocalIterator()]
+        found = staged(_annotated(numbered.select("row", "text"), rows).where(F.size("hit_spans") > 0).select("row", "hit_spans", "hit_items"), "hits")
         spans = found if spans is None else spans.unionByName(found)
-    merged = spans.groupBy(row).agg(F.flatten(F.collect_list("hit_spans")).alias(gathered), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
-    base = _annotated(numbered, [], text_col).drop("hit_spans", "hit_items", "clean_text").join(merged, row, "left")
+    merged = spans.groupBy("row").agg(F.flatten(F.collect_list("hit_spans")).alias("gathered"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("gathered_items"))
+    base = numbered.join(merged, "row", "left").select("doc", "gathered", "gathered_items", "text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            column = part.column(part.schema.get_field_index(text_col))
-            w, spans_in = Words(column, ALNUM_WORDS, lower=True), part.column(part.schema.get_field_index(gathered)).to_pylist()
-            texts, spans_out = column.to_pylist(), []
-            for d, found in enumerate(spans_in):
-                joined: list[list[int]] = []
-                for s in sorted(found or [], key=lambda s: s["first_word"]):
-                    a, b = s["first_word"], s["first_word"] + s["n_words"]
-                    if joined and a <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], b)
-                    else:
-                        joined.append([a, b])
-                if joined:
-                    at, out = int(w.at[d]), []
-                    for a, b in joined:
-                        out.append(w.raw[at : w.start[w.first[d] + a]].tobytes())
-                        at = int(w.end[w.first[d] + b - 1])
-                    texts[d] = b"".join([*out, w.raw[at : w.at[d + 1]].tobytes()]).decode("utf-8", "replace")
-                spans_out.append([{"first_word": a, "n_words": b - a} for a, b in joined])
-            names = [x for x in part.schema.names if x not in (row, gathered)]
-            columns = {x: part.column(part.schema.get_field_index(x)) for x in names}
-            columns["hit_spans"] = pa.array(spans_out, pa.list_(pa.struct([pa.field("first_word", pa.int32(), False), pa.field("n_words", pa.int32(), False)])))
-            columns["clean_text"] = pa.array(texts, pa.string())
-            order = [*[x for x in names if x not in RESULT.names], *RESULT.names]
-            columns["hit_items"] = pa.array([x or [] for x in columns["hit_items"].to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([columns[x] for x in order], order)
-
-    return base.mapInArrow(clean, T.StructType([*without(docs, *RESULT.names).schema.fields, *RESULT.fields]))
+        for part in slices(batches, "text"):
+            doc, gathered, items, column = part.columns
+            w = Words(column, ALNUM_WORDS, lower=True)
+            spans = {d: _joined([(int(w.first[d]) + s["first_word"], int(w.first[d]) + s["first_word"] + s["n_words"]) for s in found]) for d, found in enumerate(gathered.to_pylist()) if found}
+            yield pa.RecordBatch.from_arrays([doc, column, *_columns(w, column, spans, [x or [] for x in items.to_pylist()])], ["doc", "text", *RESULT.names])
+
+    return base.mapInArrow(clean, T.StructType([base.schema["doc"], base.schema["text"], *RESULT.fields]))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

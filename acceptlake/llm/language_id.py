@@ -8,7 +8,8 @@ point. An n-gram that no profile holds keeps its place, and as it is equally out
 
 Null, empty and letterless texts are `und` with score 0. Ties between languages go to the first by code point. Without any
 labelled text all is `und`. A text whose letters no profile knows gets the first language at score 0. An empty table gives an empty
-result; a very long text is handled in a slice of its own. Repeated rows each get a row; columns that share a name with a result column are replaced by it.
+result; a very long text is handled in a slice of its own. Repeated rows each get a row; columns that share a name with a result column are replaced by it, and all
+others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, staged, without
+from .common import carried, restored, slices, staged, unstage
 
 TRAIN_DOCS, PROFILE = 3_000, 400
 #: Languages beyond this number are refused: the profiles are broadcast, PROFILE n-grams each.
@@ -98,7 +99,9 @@ def profiles(docs: DataFrame, labelled: Column, lang_col: str, text_col: str, id
 
     grams = drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return [(r.lang, r.gram, r.place) for r in grams.withColumn("place", place).where(F.col("place") <= size).orderBy("lang", "place").collect()]
+    found = [(r.lang, r.gram, r.place) for r in grams.withColumn("place", place).where(F.col("place") <= size).orderBy("lang", "place").collect()]
+    unstage(counts)
+    return found
 
 
 class _Ranker:
@@ -177,21 +180,23 @@ def identify(docs: DataFrame, labelled: Column, lang_col: str = "lang", text_col
     """docs with lang_pred and score; learned from the rows for which `labelled` holds and that have a language."""
     rows = profiles(docs, labelled, lang_col, text_col, id_col, train_docs, size)
     shared = docs.sparkSession.sparkContext.broadcast(rows)
-    kept = without(docs, *[f.name for f in RESULT])
+    names = [f.name for f in RESULT]
+    texts = carried(docs, text_col, *names, text=F.col(f"`{text_col}`"))
     made: list[_Ranker] = []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made and shared.value:
             made.append(_Ranker(shared.value, size))
         most = max(1, (4 << 20) // max(1, made[0].n)) if made else 1 << 20
-        for big in slices(batches, text_col):
+        for big in slices(batches, "text"):
             for a in range(0, big.num_rows, most):
                 part = big.slice(a, most)
-                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-                langs, score = made[0].predict(texts) if made else (["und"] * len(texts), np.zeros(len(texts)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, *[f.name for f in RESULT]])
+                strings = part.columns[-1].to_pylist()
+                langs, score = made[0].predict(strings) if made else (["und"] * len(strings), np.zeros(len(strings)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, *names])
 
-    return kept.mapInArrow(scan, T.StructType([*kept.schema.fields, *RESULT]))
+    out = texts.mapInArrow(scan, T.StructType([*texts.schema.fields, *RESULT]))
+    return out.select(*restored(docs, *names, **{text_col: F.col("text")}), *names)
 
 
 def remainder(doc_id: Column) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, packed, staged, unpacked, unstage, without
+from .common import carried, packed, restored, staged, unpacked, unstage
 
 ROWS_PER_BIN = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -97,11 +97,13 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.
     return out.select(*unpacked(out, "doc", docs, *result), *RESULT)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of docs."""
-    taken = mix(docs, **options).where("times > 0")
-    copy = free_name(taken, "copy")
-    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[F.col(f"`{c}`") for c in without(docs, *RESULT).columns])
+def mixed_documents(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with the columns of docs, all as they were."""
+    named = {n: F.col(f"`{c}`") for n, c in (("id", id_col), ("text", text_col), ("source", source_col))}
+    slim = carried(docs, text_col, **named, quality=F.lit(None) if quality is None else quality)
+    taken = mix(slim, quality=None if quality is None else F.col("quality"), id_col="id", text_col="text", source_col="source", **options).where("times > 0")
+    copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return copies.select(*restored(docs, **{text_col: F.col("text")}))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, SPACE_WORDS, Words, mix, slices, staged, unstage
+from .common import SLICE_BYTES, SPACE_WORDS, Words, mix, slices, staged, tracked, unstage
 
 #: Points of a leaf, children of an inner node, points of a block.
 LEAF, FAN, BLOCK = 32, 8, 2048
@@ -555,13 +555,15 @@ def _links(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, ev
 def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: its id, n_shingles (size of its set) and component_id, the smallest id that links of a Jaccard
     similarity of percent / 100 or more reach from it, its own included."""
-    ids, links = _links(docs, n, percent, id_col, text_col, every=False)
-    classes = ids.where("size > 0").groupBy("class").agg(F.min("id").alias("least"))
-    named = components(links).join(classes.hint("merge"), F.col("node") == F.col("class"))
-    least = named.groupBy("component").agg(F.min("least").alias("of_component"))
-    named = named.join(least, "component").select(F.col("node"), "of_component")
-    final = classes.join(named, F.col("class") == F.col("node"), "left").select(F.col("class").alias("k"), F.coalesce("of_component", "least").alias("component_id"))
-    final = staged(final, "final")  # a join of two plain tables, of which Spark can split a full class
+    with tracked() as made:
+        ids, links = _links(docs, n, percent, id_col, text_col, every=False)
+        classes = ids.where("size > 0").groupBy("class").agg(F.min("id").alias("least"))
+        named = components(links).join(classes.hint("merge"), F.col("node") == F.col("class"))
+        least = named.groupBy("component").agg(F.min("least").alias("of_component"))
+        named = named.join(least, "component").select(F.col("node"), "of_component")
+        final = classes.join(named, F.col("class") == F.col("node"), "left").select(F.col("class").alias("k"), F.coalesce("of_component", "least").alias("component_id"))
+        final = staged(final, "final")  # a join of two plain tables, of which Spark can split a full class
+    unstage(*[t for t in made if t is not ids and t is not final])
     rows = ids.join(final.hint("merge"), F.col("class") == F.col("k"), "left")
     return rows.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 

@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unstage
 
 MAX_TRAIN, DICTIONARY, TREES, DEPTH = 20_000, 500, 24, 6
 #: A = that more of the text follows assigns and is no part of the run before it.
@@ -32,7 +32,7 @@ RUN = r"""(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{16,}(?:={1,2}(?!=*["']?[A-Za-z0
 #: Words that introduce credentials, and path parts of samples.
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api_?key|apikey|auth|credential|bearer|private|access)"
 #: What a credential word is assigned, in the last word of a text: group 1 is the name with the sign and an opening quote, group 2 the value.
-ASSIGNED = CREDENTIAL.replace("(token", "((?:token").removesuffix(")") + r""")[A-Za-z0-9_.\-]*["'\])]{0,2}\s*(?::=|=>|[=:])\s*["']?(?:(?:bearer|basic)\s+)?)(?!(?:bearer|basic)$)((?<=")[^"\s]+|(?<=')[^'\s]+|(?<!["'])[^\s"'=>](?:[^\s"']*[^\s"',;)}\]])?)(?=\S*$)"""
+ASSIGNED = r"""(?i)((?:token|secret|passw|pwd|api_?key|apikey|auth|credential|bearer|private|access)[A-Za-z0-9_.\-]*["'\])]{0,2}\s*(?::=|=>|[=:])\s*["']?(?:(?:bearer|basic)\s+)?)(?!(?:bearer|basic)$)((?<=")[^"\s]+|(?<=')[^'\s]+|(?<!["'])[^\s"'=>](?:[^\s"']*[^\s"',;)}\]])?)(?=\S*$)"""
 SAMPLE_PATH = r"(?i)(test|example|sample|mock|fixture|doc)"
 FEATURES = ["length", "transitions", "case_changes", "digits", "uppers", "distinct", "entropy", "covered", "introduced", "assigned", "quoted", "follows", "sample_path", "depth"]
 
@@ -102,7 +102,7 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, learn_from:
     path = F.lit(None).cast("string") if path is None else path
     rows = staged(features(candidates(docs, id_col, text_col, path), dictionary(docs, text_col, DICTIONARY)), "candidates")
     labels = weak_labels(rows if learn_from is None else rows.where(learn_from)) if labelled is None else labelled.select("id", "value", F.col("is_secret").cast("double").alias("is_secret"))
-    labels = labels.where(F.col("is_secret").isNotNull()).dropDuplicates(["id", "value"])
+    labels = labels.where(F.col("is_secret").isNotNull()).groupBy("id", "value").agg(F.max("is_secret").alias("is_secret"))  # of two labels the graver
     train = staged(rows.join(labels, ["id", "value"]).select("id", "value", "word", "is_secret", *FEATURES), "labelled")
     n = {r.is_secret: r["count"] for r in train.groupBy("is_secret").count().collect()}
     if len(n) < 2:
@@ -114,6 +114,7 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, learn_from:
     into = VectorAssembler(inputCols=FEATURES, outputCol="x")
     forest = RandomForestClassifier(featuresCol="x", labelCol="is_secret", numTrees=TREES, maxDepth=DEPTH, seed=7)
     model = forest.fit(into.transform(drawn.coalesce(1)))
+    unstage(train, drawn)
     judged = model.transform(into.transform(rows.select("id", "word", "value", *FEATURES)))
     probability = F.element_at(vector_to_array("probability"), -1)
     return judged.select(F.col("id").alias(id_col), "word", "value", F.round(probability, 6).alias("probability"), (F.round(probability, 6) >= threshold).alias("is_secret"))

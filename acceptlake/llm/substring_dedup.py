@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_WORDS, Words, free_name, mix, slices, span_hashes, staged, unstage, without
+from .common import SPACE_WORDS, Words, carried, mix, restored, slices, span_hashes, staged, unstage
 
 WINDOW, ANCHOR = 13, 6
 #: Bits of an edge's print in the first round; later rounds take all 64 of another hash.
@@ -319,19 +319,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_words, n_removed, removed_spans (with source coordinates), kept_text and its digest."""
-    kept = without(docs, *RESULT.names)
-    name, key = free_name(docs, "spans"), free_name(docs, "span_d")
+    texts = carried(docs, text_col, *RESULT.names, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`"))
     spans = repeated_spans(docs, window, anchor, id_col, text_col)
-    lists = staged(spans.groupBy(F.col("d").alias(key)).agg(F.array_sort(F.collect_list(F.struct("word", "tag", "edges", "source", "source_word"))).alias(name)), "lists")
+    lists = staged(spans.groupBy(F.col("d").alias("span_d")).agg(F.array_sort(F.collect_list(F.struct("word", "tag", "edges", "source", "source_word"))).alias("spans")), "lists")
     unstage(spans)
-    joined = kept.join(lists.hint("merge"), kept[f"`{id_col}`"].cast("long") == lists[key], "left").drop(key)
+    joined = texts.join(lists.hint("merge"), F.col("id") == F.col("span_d"), "left").select("doc", "spans", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
-            names = [n for n in part.schema.names if n != name]
-            texts = part.column(part.schema.get_field_index(text_col))
+        for part in slices(batches, "text"):
+            doc, found, texts = part.columns
             w = Words(texts, SPACE_WORDS, lower=False)
-            found = part.column(part.schema.get_field_index(name))
             gone = np.zeros(len(w.hash) + 1, np.int64)
             word, tag, edges, source, source_word = (x.to_numpy() for x in found.flatten().flatten())
             row = np.repeat(np.arange(part.num_rows), pc.fill_null(found.value_lengths(), 0).to_numpy())
@@ -354,9 +351,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 pa.array([hashlib.sha256(t).hexdigest() for t in out]),
                 pa.array([None if null else t.decode("utf-8", "replace") for t, null in zip(out, texts.is_null().to_pylist(), strict=True)], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in names], *columns], [*names, *RESULT.names])
+            yield pa.RecordBatch.from_arrays([doc, texts, *columns], ["doc", "text", *RESULT.names])
 
-    return joined.mapInArrow(scan, T.StructType([*kept.schema.fields, *RESULT.fields]))
+    out = joined.mapInArrow(scan, T.StructType([joined.schema["doc"], joined.schema["text"], *RESULT.fields]))
+    return out.select(*restored(docs, *RESULT.names, **{text_col: F.col("text")}), *RESULT.names)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

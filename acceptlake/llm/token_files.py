@@ -8,13 +8,16 @@ leaves the same files. The files' own sizes, a row each, give the global starts
 
 Encoding: byte-level pre-tokens never cross from a non-space into a following space or line break, nor from a letter into an
 ASCII mark, so a text is cut there, and each different piece is encoded once by the tokenizers library and kept in a bounded cache;
-texts with other runs of white space, or with a special token, are encoded whole. Null and empty texts give the end id alone. Repeated rows are encoded each; null ids come first.
+texts with other runs of white space, or with a special token, are encoded whole, and so are all texts where the tokenizer isn't byte-level BPE. Null
+and empty texts give the end id alone. Repeated rows are encoded each; null ids come first. Documents that share an id are in the order of a hash of the
+text and then of the text, so the results don't depend on how the rows lay; ids that a third of all rows share are parted by that hash.
 A very long text is a slice of its own; an empty table gives no files and an empty result. Only the id and the text are looked at, so other
 columns may have any name.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, slices, span_hashes, staged, text_bytes
+from .common import scratch_dir, slices, span_hashes, staged, text_bytes, unstage
 
 SEQUENCE, BATCH, FILE_BYTES = 2048, 256, 32 << 20
 #: Different pieces whose ids a Python worker keeps (about 30 bytes each).
@@ -55,6 +58,9 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library, self.dtype = Tokenizer.from_file(path), dtype
+        made = json.loads(self.library.to_str())
+        before = made["pre_tokenizer"] or {}
+        self.cuts = made["model"]["type"] == "BPE" and made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
@@ -115,6 +121,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and the number of ids of each text."""
+        if not self.cuts:
+            parts = self.whole([t or "" for t in texts.to_pylist()])
+            return np.concatenate([x for p in parts for x in (p, np.array([end_id], self.dtype))]), np.array([len(p) + 1 for p in parts], np.int64)
         raw, at = text_bytes(texts)
         data = raw.tobytes()
         begins = (raw == 32) | (raw == 10)
@@ -151,6 +160,12 @@ class Encoder:
         return out, sizes + 1
 
 
+def _at(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of a URI, with the folder's path there; Spark's names for one kind of store mean the same here."""
+    kind, _, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if kind in ("s3a", "s3n") else folder)
+
+
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
@@ -162,7 +177,7 @@ class _Writer:
     """A pair of files of one partition."""
 
     def __init__(self, folder: str, part: int, dtype: np.dtype, length: int):
-        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.store, self.root = _at(folder)
         self.name, self.attempt = f"part-{part:06d}", uuid.uuid4().hex
         self.dtype, self.length, self.schema = dtype, length, _schema(dtype, length)
         self.sinks = [self.store.open_output_stream(f"{self.root}/{self.name}.{self.attempt}{end}") for end in (".arrow", ".docs.arrow")]
@@ -213,9 +228,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     from tokenizers import Tokenizer
 
     dtype = np.dtype("<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = _at(folder)
     store.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,19 +239,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         out, part = None, TaskContext.get().partitionId()
         for rows in slices(batches, "text"):
             out = out or _Writer(folder, part, dtype, length)
-            out.add(rows.column(0), *encoder.encode(rows.column(1), end_id))
+            out.add(rows.column(0), *encoder.encode(rows.column(2), end_id))
         if out:
             names = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array(names[:1]), pa.array(names[1:]), pa.array([out.docs], pa.int64()), pa.array([out.tokens], pa.int64())], ["part", "ids_file", "docs_file", "n_docs", "n_tokens"])
 
-    files = rows.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id").sortWithinPartitions("doc_id").mapInArrow(write, "part int, ids_file string, docs_file string, n_docs long, n_tokens long")
+    in_order = rows.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    files = staged(in_order.mapInArrow(write, "part int, ids_file string, docs_file string, n_docs long, n_tokens long"), "files")
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return staged(staged(files, "files").withColumn("start", before), "index")
+    index = staged(files.withColumn("start", before), "index")
+    unstage(files)
+    return index
 
 
 def read_sequences(folder: str, ids_file: str) -> Iterator[pa.RecordBatch]:
     """The batches of a file, memory-mapped where the folder is local: ids and mask are views on the file."""
-    store, _ = fs.FileSystem.from_uri(folder)
+    store, _ = _at(folder)
     local = isinstance(store, fs.LocalFileSystem)
     with pa.memory_map(ids_file) if local else store.open_input_file(ids_file) as source:
         reader = pa.ipc.open_file(source)
@@ -247,7 +266,7 @@ def read_documents(index: DataFrame, folder: str) -> DataFrame:
     """Every document of the files: doc_id, start over all files, n_tokens, ids (bytes of little-endian unsigned 32-bit ids)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = _at(folder)
         for rows in batches:
             for row in rows.to_pylist():
                 flat = [b.column(0).flatten().to_numpy() for b in read_sequences(folder, row["ids_file"])]

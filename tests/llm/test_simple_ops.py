@@ -153,7 +153,7 @@ def test_mixing(spark, edges):
     out = mixing.mix(edges).collect()
     assert len(out) == len(EDGES) and all(r.taken <= 2 * r.size for r in out)
     assert mixing.mix(edges.limit(0)).count() == 0
-    assert mixing.mixed_documents(edges).columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "score", "__key"]
+    assert mixing.mixed_documents(edges).columns == edges.columns  # a document in the mix keeps its own size
 
 
 @pytest.mark.parametrize("law", ["bytes", "rows"])
