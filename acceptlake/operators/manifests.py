@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .names import contained
 from .security import by_line
 
 
@@ -202,7 +203,7 @@ def _stem(path: Column) -> Column:
 def test_source_match(facts: DataFrame, sources: DataFrame, symbols: DataFrame) -> DataFrame:
     """(source, test) pairs: same basename, an import of the source's module or below it, or a changed symbol of it in test or fixture names.
 
-    facts: of test_facts; sources: path; symbols: symbol (changed, qualified). Name and module are equi joins; the third goes over the words of names.
+    facts: of test_facts; sources: path; symbols: symbol (changed, qualified). Name and module are equi joins; for the third all symbols are looked for at once.
     """
     s = sources.select(F.col("path").alias("source")).distinct()
     module = F.regexp_replace(F.regexp_replace("source", r"\.[^./]*$", ""), "/", ".")
@@ -213,8 +214,8 @@ def test_source_match(facts: DataFrame, sources: DataFrame, symbols: DataFrame)
     imports = facts.select(F.col("path").alias("test"), F.explode("modules").alias("m")).select("test", F.explode(prefixes).alias("module"))
     below = F.transform(F.sequence(F.lit(1), F.size(F.split("symbol", r"\."))), lambda i: F.array_join(F.slice(F.split("symbol", r"\."), 1, i), "."))
     own = symbols.select("symbol", F.explode(below).alias("module")).join(modules, "module").select("source", F.lower(F.substring_index("symbol", ".", -1)).alias("short")).where(F.length("short") > 3).distinct()
-    words = facts.select(F.col("path").alias("test"), F.lower(F.concat_ws(" ", "tests", "fixtures")).alias("searchable"))
-    named = words.join(F.broadcast(own), F.col("searchable").contains(F.col("short"))).select("source", "test")
+    words = facts.select(F.col("path").alias("text_id"), F.lower(F.concat_ws(" ", "tests", "fixtures")).alias("text"))
+    named = own.join(contained(own.select(F.col("short").alias("name")), words), F.col("short") == F.col("name")).select("source", F.col("text_id").alias("test"))
     return name.join(t_name, "name").select("source", "test").unionByName(modules.join(imports, "module").select("source", "test")).unionByName(named).distinct()
 
 
@@ -236,5 +237,7 @@ def test_evidence_score(sources: DataFrame, matches: DataFrame, coverage: float
 def test_suggestions(uncovered: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each source without a test: name and path of one to write, and its target, the first changed symbol that holds the stem."""
     rows = uncovered.select("path", _stem(F.col("path")).alias("stem"))
-    met = rows.join(F.broadcast(symbols.select("symbol")), F.col("symbol").contains(F.col("stem")), "left").groupBy("path", "stem").agg(F.min("symbol").alias("symbol"))
+    held = contained(rows.select(F.col("stem").alias("name")), symbols.select(F.col("symbol").alias("text_id"), F.col("symbol").alias("text")).distinct())
+    first = held.groupBy("name").agg(F.min("text_id").alias("symbol"))
+    met = rows.join(first, F.col("stem") == F.col("name"), "left")
     return met.select("path", F.concat(F.lit("test_"), "stem", F.lit("_changed_behavior")).alias("name"), F.coalesce("symbol", "path").alias("target"), F.concat(F.lit("tests/test_"), "stem", F.lit(".py")).alias("recommended_path"))

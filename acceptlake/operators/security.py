@@ -5,7 +5,9 @@ files: path, text (and mode). Findings: path, rule_id, severity, line and what a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,48 +42,68 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _spans(pattern: str) -> Column:
-    """Every match of a pattern in text, in order: start and stop (characters from 0 on), line and value of group 1."""
+# What every match of a rule holds, in lower case (any of the texts); rules that aren't named here are matched with every text.
+HINTS = {
+    "secret.aws-access-key": ("akia",),
+    "secret.github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    "secret.jwt": ("eyj",),
+    "secret.private-key": ("-----begin ",),
+    "secret.bearer-token": ("bearer",),
+    "secret.database-url": ("://",),
+    "secret.assigned-credential": ("api", "secret", "token", "passw"),
+    "secret.dotenv-value": ("secret", "token", "password", "api_key"),
+}
+
+
+def _matches(place: int, pattern: str, hints: tuple[str, ...]) -> Column:
+    """Every match of a pattern in text, in order: place (of the rule), k, size and breaks (characters and line breaks of the match and the gap before it),
+    value (group 1), behind and breaks_behind (of the match behind the value, and of the value)."""
     wholes, values = (F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (0, 1))
+    rows = F.arrays_zip(wholes.alias("m"), values.alias("v"), F.split("text", pattern, -1).alias("g"))  # the gap after the last match has none
     breaks = lambda c: F.regexp_count(c, F.lit("\n"))
-    # each match with the gap before it; the gap after the last has none
-    matches = F.zip_with(F.zip_with(F.split("text", pattern, -1), wholes, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), values, lambda x, v: F.struct(x["g"].alias("g"), x["m"].alias("m"), v.alias("v"), (F.length(x["g"]) + F.length(x["m"])).alias("n"), (breaks(x["g"]) + breaks(x["m"])).alias("lines")))
 
-    def span(x: Column, before: Column) -> Column:
-        behind = F.call_function("substring_index", x["m"], x["v"], F.lit(-1))
-        at = F.aggregate(before, F.struct(F.lit(0).alias("n"), F.lit(1).alias("lines")), lambda t, y: F.struct((t["n"] + y["n"]).alias("n"), (t["lines"] + y["lines"]).alias("lines")))
-        stop = at["n"] + x["n"] - F.length(behind)
-        return F.struct((stop - F.length(x["v"])).alias("start"), stop.alias("stop"), (at["lines"] + x["lines"] - breaks(behind) - breaks(x["v"])).alias("line"), x["v"].alias("value"))
+    def row(x: Column, k: Column) -> Column:
+        m, v, g = x["m"], x["v"], x["g"]
+        behind = F.call_function("substring_index", m, v, F.lit(-1))
+        fields = {"place": F.lit(place), "k": k, "size": F.length(g) + F.length(m), "breaks": breaks(g) + breaks(m), "value": v, "behind": F.length(behind), "breaks_behind": breaks(behind) + breaks(v)}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
 
-    found = _let(matches, lambda all_: F.transform(F.filter(all_, lambda x: x["m"].isNotNull()), lambda x, k: span(x, F.slice(all_, F.lit(1), k))))
-    return F.when(F.col("text").rlike(pattern), F.filter(found, lambda x: x["value"] != "")).otherwise(F.array().cast("array<struct<start:int,stop:int,line:int,value:string>>"))
+    low = F.lower("text")
+    near = F.lit(True) if not hints else reduce(lambda x, y: x | y, [F.contains(low, F.lit(h)) for h in hints])
+    found = F.transform(F.filter(rows, lambda x: x["m"].isNotNull()), row)
+    return F.when(near & F.col("text").rlike(pattern), found).otherwise(F.array().cast("array<struct<place:int,k:int,size:int,breaks:int,value:string,behind:int,breaks_behind:int>>"))
 
 
-def _secret_spans(rules: tuple) -> Column:
-    """The spans of all rules without placeholders, each once: with the first rule that finds it."""
+def spans_of(files: DataFrame, patterns: list[tuple[str, tuple[str, ...]]], key: str) -> DataFrame:
+    """Spans of patterns (with their hints) in text, each once, for the first pattern that finds it: key, place (of the pattern), start, stop (characters),
+    line, value. Placeholders are passed over. Offsets are running sums over a text's matches, so many matches cost no more each."""
+    rows = files.select(key, F.monotonically_increasing_id().alias("row"), F.concat(*[_matches(i, p, h) for i, (p, h) in enumerate(patterns)]).alias("f"))
+    rows = rows.where(F.size("f") > 0).select(key, "row", F.inline("f")).repartition("row")
+    upto = Window.partitionBy("row", "place").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum("size").over(upto) - F.col("behind")
+    rows = rows.select(key, "row", "place", "value", stop.alias("stop"), (F.sum("breaks").over(upto) + 1 - F.col("breaks_behind")).cast("int").alias("line"))
+    rows = rows.where((F.col("value") != "") & ~X.is_placeholder(F.col("value"))).withColumn("start", F.col("stop") - F.length("value"))
+    first = Window.partitionBy("row", "start", "stop").orderBy("place")
+    return rows.withColumn("claim", F.row_number().over(first)).where("claim = 1").select(key, "place", "start", "stop", "line", "value")
 
-    def claimed(place: int, rule: str, severity: str, pattern: str) -> Column:
-        return F.transform(_spans(pattern), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lit(place).alias("place"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), x["line"].alias("line"), x["value"].alias("value")))
 
-    found = F.concat(*[claimed(i, *rule) for i, rule in enumerate(rules)])
-    found = F.array_sort(F.filter(found, lambda x: ~X.is_placeholder(x["value"])))
-    same = lambda x, y: (x["start"] == y["start"]) & (x["stop"] == y["stop"])
-    return _let(found, lambda all_: F.filter(all_, lambda x, i: (i == 0) | ~same(x, F.get(all_, i - 1))))
+def _hinted(rules: tuple) -> list[tuple[str, tuple[str, ...]]]:
+    return [(pattern, HINTS.get(rule, ()) if (rule, severity, pattern) in SECRET_RULES else ()) for rule, severity, pattern in rules]
 
 
 def secret_scan(files: DataFrame, rules: tuple = SECRET_RULES, key: str = "path") -> DataFrame:
     """Credentials: key, rule_id, severity, line, value, masked. Each span of a text goes to the first rule that finds it; placeholders are passed over."""
-    rows = files.select(key, F.explode(_secret_spans(rules)).alias("f"))
-    return rows.select(key, "f.rule_id", "f.severity", "f.line", "f.value", X.mask(F.col("f.value")).alias("masked"))
+    named = F.element_at(F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity")) for r, s, _ in rules]), F.col("place") + 1)
+    rows = spans_of(files, _hinted(rules), key).withColumn("rule", named)
+    return rows.select(key, "rule.rule_id", "rule.severity", "line", "value", X.mask(F.col("value")).alias("masked"))
 
 
 def high_entropy_scan(files: DataFrame, threshold: float = 4.25, length: int = 28, key: str = "path") -> DataFrame:
     """Long tokens of high entropy whose span no credential rule has claimed: key, value, entropy, line."""
     pattern = rf"((?<![A-Za-z0-9])[A-Za-z0-9+/=_-]{{{length},}}(?![A-Za-z0-9]))"
-    claimed = F.transform(_secret_spans(SECRET_RULES), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
-    rows = files.where(F.col("text").rlike(pattern)).select(key, claimed.alias("claimed"), F.explode(_spans(pattern)).alias("f"))
-    rows = rows.where(~F.array_contains("claimed", F.struct(F.col("f.start").alias("start"), F.col("f.stop").alias("stop")))).select(key, "f.value", "f.line")
-    rows = rows.where(~X.is_placeholder(F.col("value")) & ~F.col("value").rlike("^(sha256-|symbol:|https)"))
+    # where no such token is, no span needs its rules
+    rows = spans_of(files.where(F.col("text").rlike(pattern)), [*_hinted(SECRET_RULES), (pattern, ())], key).where(F.col("place") == len(SECRET_RULES))
+    rows = rows.where(~F.col("value").rlike("^(sha256-|symbol:|https)"))
     return rows.withColumn("entropy", X.shannon_entropy(F.col("value"))).where(F.col("entropy") >= threshold).select(key, "value", "entropy", "line")
 
 
@@ -167,6 +189,18 @@ def _hidden(kind: T.DataType) -> Column:
     return F.lit(None).cast(kind)
 
 
+def _last_of_each_key(entries: Column) -> Column:
+    """A map of entries, of those with one key the last: their keys and places are sorted, and each that another of its key follows goes."""
+
+    def kept(order: Column) -> Column:
+        following = F.concat(F.slice(order, F.lit(2), F.size(order)), F.array(F.lit(None)))
+        places = F.zip_with(order, following, lambda a, b: F.when(b["k"].isNull() | (a["k"] != b["k"]), a["i"]))
+        return F.map_from_entries(F.transform(F.array_sort(F.filter(places, lambda i: i.isNotNull())), lambda i: F.get(entries, i)))
+
+    sorted_ = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("k"), i.alias("i"))))
+    return F.when(entries.isNotNull(), _let(sorted_, kept))
+
+
 def redact_nested(df: DataFrame, known: tuple[str, ...] = ()) -> DataFrame:
     """Every text of df redacted, at any depth, map keys as well. What stands under a sensitive column, field or key is hidden whatever its
     type, nulls too. Of map keys that redaction makes equal the last counts."""
@@ -181,8 +215,7 @@ def redact_nested(df: DataFrame, known: tuple[str, ...] = ()) -> DataFrame:
         if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
             value = lambda e: F.when(X.sensitive_key(e["key"]), _hidden(kind.valueType)).otherwise(visit(e["value"], kind.valueType))
             clean = F.transform(F.map_entries(c), lambda e: F.struct(X.redact_text(e["key"], known).alias("key"), value(e).alias("value")))
-            last = F.filter(clean, lambda e, i: ~F.exists(F.slice(clean, i + 2, F.size(clean)), lambda later: later["key"] == e["key"]))
-            return F.map_from_entries(last)
+            return _let(clean, _last_of_each_key)
         if isinstance(kind, T.StructType):
             return F.when(c.isNotNull(), F.struct(*[field(c[f.name], f) for f in kind]))
         return c

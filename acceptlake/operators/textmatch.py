@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .names import contained
 
 MATCHES, THRESHOLD, CANDIDATE_CHARACTERS = 8, 0.2, 20_000
 MAX_REQUIREMENTS = 50_000
@@ -46,25 +47,15 @@ def similarities(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.select("requirement_id", "candidate_id", F.when(norm > 0, F.col("dot") / norm).otherwise(0.0).alias("cosine"), (F.col("common") / F.greatest(F.lit(1), F.least("l_size", "r_size"))).alias("overlap"))
 
 
-#: Lengths of the beginnings of names by which names meet the texts that may hold them.
-GRAMS = (8, 4, 2, 1)
-
-
 def explicit_reference(requirements: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Pairs whose requirement names the candidate: its path, symbol or id, their last part, or the last dotted part if longer than three.
-
-    A name may stand anywhere in the text, so each different name meets the texts that hold its beginning (an equi join) and is then looked for.
-    """
+    """Pairs whose requirement names the candidate: its path, symbol or id, their last part, or the last dotted part if longer than three. A
+    name may stand anywhere in the text; all names are looked for at once."""
     value = lambda c: F.lower(F.nullif(F.col(c), F.lit("")))
     short = lambda c: F.when(F.length(F.substring_index(value(c), ".", -1)) > 3, F.substring_index(value(c), ".", -1))
     names = F.array_distinct(F.array_compact(F.array(*[x for c in ("path", "symbol", "id") for x in (value(c), F.substring_index(value(c), "/", -1), short(c))])))
     named = candidates.select(F.col("id").alias("candidate_id"), F.explode(names).alias("name"))
-    texts = requirements.where(F.col("text").isNotNull()).select(F.col("id").alias("requirement_id"), F.lower("text").alias("r_text"))
-    all_of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("r_text") - n + 1)), lambda i: F.substring("r_text", i, F.lit(n)))
-    grams = texts.select("requirement_id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[all_of(n) for n in GRAMS]))).alias("gram"))
-    first = F.coalesce(*[F.when(F.length("name") >= n, F.left("name", F.lit(n))) for n in GRAMS], F.lit(""))
-    met = named.select("name").distinct().withColumn("gram", first).join(grams, "gram").join(texts, "requirement_id").where(F.col("r_text").contains(F.col("name")))
-    return named.join(met.select("name", "requirement_id"), "name").select("requirement_id", "candidate_id").distinct()
+    met = contained(named.select("name"), requirements.select(F.col("id").alias("text_id"), F.lower("text").alias("text")))
+    return named.join(met, "name").select(F.col("text_id").alias("requirement_id"), "candidate_id").distinct()
 
 
 def evidence_candidates(files: DataFrame, symbols: DataFrame, tests: DataFrame, routes: DataFrame, characters: int | None = None) -> DataFrame:
@@ -99,7 +90,8 @@ def requirement_topk(scores: DataFrame, k: int = MATCHES, threshold: float = THR
 
 
 def requirement_mapping(requirements: DataFrame, scores: DataFrame, k: int = MATCHES, threshold: float = THRESHOLD) -> DataFrame:
-    """Each requirement with its best score, whether that supports it, and the paths and symbols of its matches by kind."""
+    """Each requirement with its best score, whether that supports it, and the paths and symbols of its matches by kind. scores: of
+    requirement_scores, or only the k best (bestmatch.top_scores)."""
     best = scores.groupBy(F.col("requirement_id").alias("id")).agg(F.max("score").alias("best"))
     names = lambda kind, c: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col(c))))
     kept = requirement_topk(scores, k, threshold).groupBy(F.col("requirement_id").alias("id")).agg(names("file", "path").alias("files"), names("symbol", "symbol").alias("symbols"), names("test", "path").alias("tests"), names("route", "symbol").alias("routes"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import textmatch as P
+from ..operators.bestmatch import top_scores
 from .base import Registry, duck, table
 from .security_queries import DOC_FILES
 
@@ -113,6 +114,10 @@ def rounded(spark, d):
     return scores(spark, d).withColumn("score", F.round("score", 9))
 
 
+def best(spark, d):
+    return top_scores(requirements(spark, d), candidates(spark, d))
+
+
 @R.add("requirement_scores", f"WITH {BASE_SQL} SELECT requirement_id, candidate_id, round(score, 6) AS score, concat_ws(', ', CASE WHEN explicit > 0 THEN 'explicit name or path reference' END, CASE WHEN overlap > 0 THEN 'shared domain terms' END, CASE WHEN cosine > 0 THEN 'local TF-IDF similarity' END) AS reasons FROM scores WHERE score > 0")
 def requirement_scores(spark, d):
     return scores(spark, d).select("requirement_id", "candidate_id", F.round("score", 6).alias("score"), "reasons")
@@ -120,7 +125,7 @@ def requirement_scores(spark, d):
 
 @R.add("requirement_topk", f"WITH {BASE_SQL} SELECT requirement_id, candidate_id, CAST(place AS INT) AS place, round(score, 4) AS score FROM kept")
 def requirement_topk(spark, d):
-    return P.requirement_topk(rounded(spark, d)).select("requirement_id", "candidate_id", "place", F.round("score", 4).alias("score"))
+    return P.requirement_topk(best(spark, d)).select("requirement_id", "candidate_id", "place", F.round("score", 4).alias("score"))
 
 
 @R.add(
@@ -129,12 +134,12 @@ def requirement_topk(spark, d):
  coalesce((SELECT string_agg(DISTINCT path, ',' ORDER BY path) FROM kept WHERE requirement_id = m.id AND kind = 'test'), '') AS tests FROM mapping m""",
 )
 def requirement_mapping(spark, d):
-    out = P.requirement_mapping(requirements(spark, d), rounded(spark, d))
+    out = P.requirement_mapping(requirements(spark, d), best(spark, d))
     return out.select("id", "title", F.round("score", 4).alias("score"), "supported", F.array_join("files", ",").alias("files"), F.array_join("tests", ",").alias("tests"))
 
 
 def _mapping(spark, d):
-    return P.requirement_mapping(requirements(spark, d), rounded(spark, d))
+    return P.requirement_mapping(requirements(spark, d), best(spark, d))
 
 
 @R.add("requirement_coverage", f"WITH {BASE_SQL} SELECT avg(CAST(supported AS DOUBLE)) AS coverage, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE NOT supported), '') AS unsupported FROM mapping")
@@ -144,7 +149,7 @@ def requirement_coverage(spark, d):
 
 @R.add("unmentioned_files", f"WITH {BASE_SQL} SELECT DISTINCT path FROM cand WHERE path NOT IN (SELECT path FROM kept)")
 def unmentioned_files(spark, d):
-    return P.unmentioned_files(candidates(spark, d), P.requirement_topk(rounded(spark, d)))
+    return P.unmentioned_files(candidates(spark, d), P.requirement_topk(best(spark, d)))
 
 
 @R.add(
