@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged, unstage
+
 # How sure an edge of each type is.
 CONFIDENCE = {"defines": 1.0, "inherits": 0.8, "imports": 1.0, "calls": 0.9}
 
@@ -74,16 +76,23 @@ def fan_out(edges: DataFrame) -> DataFrame:
 def blast_radius(edges: DataFrame, changed: DataFrame, max_depth: int = 4) -> DataFrame:
     """id, distance, reach of the nodes that depend on a changed one over at most max_depth edges; the changed ones themselves are left out.
 
-    One join for each step; a node that several steps reach counts with the least. Changed ids that no edge knows reach nothing.
+    Only nodes that are new in a step are expanded in the next: a step is one join of the frontier with the edges and one anti join with what is
+    reached already, and the walk ends when nothing new comes. Changed ids that no edge knows reach nothing.
     """
-    back = edges.select("source", "target").distinct()
-    step = changed.select("id").distinct()
-    seen = step.withColumn("distance", F.lit(0))
+    back = staged(edges.select("source", "target").distinct(), "back")
+    frontier = staged(changed.select("id").distinct().withColumn("distance", F.lit(0)), "reached")
+    reached, steps = frontier, [frontier]
     for depth in range(1, max_depth + 1):
-        step = back.join(step.select(F.col("id").alias("target")), "target").select(F.col("source").alias("id")).distinct()
-        seen = seen.unionByName(step.withColumn("distance", F.lit(depth)))
-    seen = seen.groupBy("id").agg(F.min("distance").alias("distance"))
-    return seen.where("distance > 0").withColumn("reach", F.when(F.col("distance") == 1, "direct").when(F.col("distance") == 2, "one_hop").otherwise("transitive"))
+        step = back.join(frontier.select(F.col("id").alias("target")), "target").select(F.col("source").alias("id")).distinct()
+        frontier = staged(step.join(reached.select("id"), "id", "left_anti").withColumn("distance", F.lit(depth)), "reached")
+        steps.append(frontier)
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
+    reach = F.when(F.col("distance") == 1, "direct").when(F.col("distance") == 2, "one_hop").otherwise("transitive")
+    out = staged(reached.where("distance > 0").withColumn("reach", reach), "reach")
+    unstage(back, *steps)
+    return out
 
 
 def graph_view(nodes: DataFrame, edges: DataFrame, reach: DataFrame, max_nodes: int = 2000) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import tomllib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,11 @@ from ..functions import text as X
 from .names import contained
 from .security import by_line
 
+try:
+    import yaml
+except ImportError:  # YAML texts have no keys then
+    yaml = None
+
 
 def _requirement(raw: DataFrame) -> DataFrame:
     """name, spec, locked, direct_url of requirement lines (column raw)."""
@@ -105,17 +115,47 @@ def compose_env_drift(references: DataFrame, compose: DataFrame) -> DataFrame:
     return references.select("name").distinct().join(keys, "name", "left_anti").join(F.broadcast(there)).drop("there")
 
 
-def config_flatten(rows: DataFrame, depth: int = 4) -> DataFrame:
-    """Leaf keys of JSON objects (path, text) as path:key:...; lists and values are leaves. Deeper than depth, the rest is a leaf."""
-    level = rows.select(F.col("path").alias("key"), F.try_parse_json("text").alias("v")).where("v IS NOT NULL")
-    out = None
-    is_object = lambda c: F.schema_of_variant(c).startswith("OBJECT")
-    for _ in range(depth):
-        leaves = level.where(~is_object(F.col("v"))).select("key")
-        out = leaves if out is None else out.unionByName(leaves)
-        inner = level.where(is_object(F.col("v"))).select("key", F.explode(F.from_json(F.to_json("v"), "map<string,string>")).alias("k", "x"))
-        level = inner.select(F.concat_ws(":", "key", "k").alias("key"), F.coalesce(F.try_parse_json("x"), F.parse_json(F.lit("null"))).alias("v"))
-    return out.unionByName(level.select("key"))
+def _leaves(key: str, value) -> Iterator[tuple[str, str]]:
+    """Leaf keys below key, of any depth, with their values as JSON."""
+    todo = [(key, value)]
+    while todo:
+        key, value = todo.pop()
+        if isinstance(value, dict):
+            todo += [(f"{key}:{k}", v) for k, v in reversed(value.items())]
+        else:
+            yield key, json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str)
+
+
+def _parsed(path: str, text: str):
+    """The value of a configuration text: TOML or YAML by its ending, else JSON. ValueError where it can't be read."""
+    end = path.rpartition(".")[2].lower()
+    if end == "toml":
+        return tomllib.loads(text)
+    if end in ("yaml", "yml"):
+        if yaml is None:
+            raise ValueError("no YAML parser")
+        try:
+            return yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            raise ValueError(str(e)) from e
+    return json.loads(text)
+
+
+def config_flatten(rows: DataFrame) -> DataFrame:
+    """Leaf keys of configuration texts (path, text) as path:key:..., of any depth, with their values as JSON; lists are leaves. Each text is parsed
+    once, in the task that holds it; one that can't be parsed has no keys, nor has an empty object."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                try:
+                    found += _leaves(path, _parsed(path, text)) if path is not None and text is not None else []
+                except (ValueError, RecursionError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], ["key", "value"])
+
+    return rows.select("path", "text").mapInArrow(scan, "key string, value string")
 
 
 def model_fields(files: DataFrame) -> DataFrame:

@@ -201,9 +201,8 @@ def _last_of_each_key(entries: Column) -> Column:
     return F.when(entries.isNotNull(), _let(sorted_, kept))
 
 
-def redact_nested(df: DataFrame, known: tuple[str, ...] = ()) -> DataFrame:
-    """Every text of df redacted, at any depth, map keys as well. What stands under a sensitive column, field or key is hidden whatever its
-    type, nulls too. Of map keys that redaction makes equal the last counts."""
+def redacted_column(f: T.StructField, known: tuple[str, ...] = ()) -> Column:
+    """A column redacted at any depth, map keys as well; known: secrets to be hidden wherever they stand."""
 
     def visit(c: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StringType):
@@ -223,4 +222,10 @@ def redact_nested(df: DataFrame, known: tuple[str, ...] = ()) -> DataFrame:
     def field(c: Column, f: T.StructField) -> Column:
         return F.when(X.sensitive_key(F.lit(f.name)), _hidden(f.dataType)).otherwise(visit(c, f.dataType)).alias(f.name)
 
-    return df.select(*[field(F.col(f"`{f.name}`"), f) for f in df.schema])
+    return field(F.col(f"`{f.name}`"), f)
+
+
+def redact_nested(df: DataFrame, known: tuple[str, ...] = ()) -> DataFrame:
+    """Every text of df redacted, at any depth, map keys as well. What stands under a sensitive column, field or key is hidden whatever its
+    type, nulls too. Of map keys that redaction makes equal the last counts."""
+    return df.select(*[redacted_column(f, known) for f in df.schema])

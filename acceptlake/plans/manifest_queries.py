@@ -103,10 +103,19 @@ def compose_env_drift(spark, d):
     return P.compose_env_drift(env(spark, d), rows)
 
 
-@R.add("config_flatten", "SELECT event_id || ':k' AS key FROM events UNION ALL SELECT event_id || ':a:b' FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id || ':a:c' FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id || ':l' FROM events WHERE event_id % 2 = 0")
+_DEEP = 40
+
+
+@R.add(
+    "config_flatten",
+    f"""SELECT event_id || ':k' AS key, CASE WHEN event_id % 2 = 0 THEN '1' ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END AS value FROM events WHERE event_id % 7 <> 3
+UNION ALL SELECT event_id || '{"".join(f":d{i}" for i in range(_DEEP))}', '"x y"' FROM events WHERE event_id % 2 = 0 AND event_id % 7 <> 3 UNION ALL SELECT event_id || ':a:c', 'null' FROM events WHERE event_id % 2 = 0 AND event_id % 7 <> 3
+UNION ALL SELECT event_id || ':l', '[1,{{"z":2}}]' FROM events WHERE event_id % 2 = 0 AND event_id % 7 <> 3 UNION ALL SELECT event_id || '.toml:t:n', CAST(event_id AS VARCHAR) FROM events WHERE event_id % 7 = 3""",
+)
 def config_flatten(spark, d):
-    text = "CASE WHEN event_id % 2 = 0 THEN concat('{\"k\":1,\"a\":{\"b\":\"x y\",\"c\":null},\"l\":[1,{\"z\":2}]}') ELSE props END"
-    return P.config_flatten(table(spark, d, "events").selectExpr("CAST(event_id AS STRING) AS path", f"{text} AS text"))
+    deep = "".join(f'"d{i}":{{' for i in range(_DEEP - 1)) + f'"d{_DEEP - 1}":"x y"' + "}" * (_DEEP - 1)
+    text = f"CASE WHEN event_id % 7 = 3 THEN concat('[t]\\nn = ', event_id) WHEN event_id % 2 = 0 THEN '{{\"k\":1,\"a\":{{\"c\":null,\"e\":{{}}}},\"l\":[1,{{\"z\":2}}],{deep}}}' ELSE props END"
+    return P.config_flatten(table(spark, d, "events").selectExpr("concat(event_id, IF(event_id % 7 = 3, '.toml', '')) AS path", f"{text} AS text"))
 
 
 MODEL = f"concat('import x', {_NL}, 'class T', CAST(p_partkey % 30 AS STRING), '(Base):', {_NL}, '    id = Column(Int)', {_NL}, '    f', CAST(p_size AS STRING), ': Mapped[int] = mapped_column(Int)', {_NL}, '    def m(self):', {_NL}, '        pass')"

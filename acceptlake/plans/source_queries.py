@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import snapshots as P
-from ..streaming.progress import shared_folder
-from .base import EXECUTIONS_SQL, FINDINGS_SQL, Registry, duck, executions, findings, table
+from ..sources.staging import shared_folder
+from .base import Registry, duck, table
 from .security_queries import DOC_FILES
 
 R = Registry()
@@ -93,21 +95,77 @@ def archive_inventory_audit(spark, d):
     return P.archive_inventory_audit(e)
 
 
-@R.add("results_sink", f"WITH {FINDINGS_SQL}, {EXECUTIONS_SQL} SELECT 'findings' AS name, count(*) AS n, count(DISTINCT run_id % 16) AS runs FROM findings UNION ALL SELECT 'executions', count(*), count(DISTINCT run_id % 16) FROM executions")
+#: Tables of results: the table that stands in, its key, and the value of a row (SQL of both engines).
+_RESULTS = {
+    "changed_files": ("part", "p_partkey", "concat('src/m', p_partkey, ' ', p_size)"),
+    "symbols": ("part", "p_partkey", "p_name"),
+    "edges": ("orders", "o_orderkey", "concat('o', o_orderkey, ' c', o_custkey)"),
+    "requirements": ("benchmark", "item_id", "text"),
+    "findings": ("orders", "o_orderkey", "o_orderpriority"),
+    "executions": ("events", "event_id", "event_type"),
+    "policy_decisions": ("events", "event_id", "concat(event_type, ' ', user_id)"),
+    "artifacts": ("documents", "doc_id", "source"),
+}
+
+
+def _results_sql() -> str:
+    """Runs that a rerun replaces have its rows and no others; it has brought no artifacts."""
+    value = lambda n, v: f"concat({v}, ' [REDACTED] n', {_RESULTS[n][1]})" if n == "findings" else v
+    first = [f"SELECT '{n}' AS name, {k} % 16 AS run_id, {k} AS item, {value(n, v)} AS value FROM {t} WHERE {k} % 4 <> 0" for n, (t, k, v) in _RESULTS.items()]
+    again = [f"SELECT '{n}', {k} % 16, {k}, concat('again ', {value(n, v)}) FROM {t} WHERE {k} % 8 = 4" for n, (t, k, v) in _RESULTS.items() if n != "artifacts"]
+    return " UNION ALL ".join(first + again)
+
+
+@R.add("results_sink", _results_sql())
 def results_sink(spark, d):
+    """All tables of sixteen runs; a rerun of four of them that brings half their rows; an attempt that was never published."""
     root = shared_folder(spark, "out")
-    made = {"findings": findings(spark, d), "executions": executions(spark, d)}
-    P.results_sink({k: df.withColumn("run_id", F.col("run_id") % 16) for k, df in made.items()}, root)
-    parts = [spark.read.parquet(f"{root}/{k}").agg(F.count("*").alias("n"), F.count_distinct("run_id").alias("runs")).select(F.lit(k).alias("name"), "n", "runs") for k in made]
-    return parts[0].unionByName(parts[1])
 
+    def tables(again: bool):
+        out = {}
+        for name, (t, k, v) in _RESULTS.items():
+            rows = table(spark, d, t).selectExpr(f"CAST({k} % 16 AS BIGINT) AS run_id", f"{k} AS item", f"{'concat(`again `, '.replace('`', chr(39)) if again else '('}{v}) AS value")
+            if name == "findings":
+                rows = rows.withColumn("evidence", F.create_map(F.lit("password"), F.lit("x1"), F.lit("note"), F.concat(F.lit("n"), "item")))
+            if not again or name != "artifacts":
+                out[name] = rows.where("item % 8 = 4") if again else rows
+        return out
+
+    P.results_sink(tables(False), root)
+    P.results_sink(tables(True), root, spark.range(4).select((F.col("id") * 4).alias("run_id")))
+    table(spark, d, "part").selectExpr("CAST(1 AS BIGINT) AS run_id", "p_partkey AS item", "'lost' AS value").write.parquet(f"{root}/symbols/attempt=lost")
+    parts = []
+    for name in _RESULTS:
+        value = F.concat("value", F.lit(" "), F.col("evidence")["password"], F.lit(" "), F.col("evidence")["note"]) if name == "findings" else F.col("value")
+        parts.append(P.read_results(spark, root, name).select(F.lit(name).alias("name"), "run_id", "item", value.alias("value")))
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
-@R.add("evidence_sink", "SELECT count(*) AS n, count(DISTINCT conv_id) AS ids FROM conversations")
+
+#: Datasets of evidence: the table that stands in, and its key.
+_EVIDENCE = {"analysis": ("customer", "c_custkey"), "changed_files": ("part", "p_partkey"), "requirements": ("benchmark", "item_id"), "dependency_graph": ("supplier", "s_suppkey"), "findings": ("part", "p_size"), "test_results": ("events", "event_id"), "policy_decisions": ("nation", "n_nationkey"), "audit_events": ("conversations", "conv_id")}
+_TOKEN, _SECRET = "gh" + "p_" + "A" * 30, "hunter2secret"
+
+
+def _evidence_sql() -> str:
+    """The lines as they must stand, written out."""
+    row = lambda k: f"""'{{"api_key":"[REDACTED]","body":{{"a":null,"b":"use [REDACTED] and [REDACTED] k' || {k} || '"}},"list":[{{"x":"v' || {k} || '","y":' || {k} || '}}],"zeta":' || {k} || '}}'"""
+    line = lambda n, k: f"""'{{"{n}":' || {row(k)} || ',"schema_version":"1.0"}}'""" if n < "schema_version" else f"""'{{"schema_version":"1.0","{n}":' || {row(k)} || '}}'"""
+    return " UNION ALL ".join([f"SELECT '{n}' AS name, {line(n, k)} AS value FROM {t}" for n, (t, k) in _EVIDENCE.items()] + [f"SELECT '{n}', 'same digest, ' || count(*) FROM {t}" for n, (t, k) in _EVIDENCE.items()])
+
+
+@R.add("evidence_sink", _evidence_sql())
 def evidence_sink(spark, d):
-    root = shared_folder(spark, "out")
-    P.evidence_sink({"turns": table(spark, d, "conversations")}, root)
-    back = spark.read.text(f"{root}/turns").select(F.from_json("value", "schema_version string, turns struct<conv_id:bigint,text:string>").alias("v"))
-    return back.where("v.schema_version = '1.0' AND v.turns.text IS NOT NULL").agg(F.count("*").alias("n"), F.count_distinct("v.turns.conv_id").alias("ids"))
+    """All datasets, written twice from rows that lie differently: the lines, and whether the digests agree."""
+    def tables(parts: int):
+        body = f"map('b', concat('use {_TOKEN} and {_SECRET} k', k), 'a', CAST(NULL AS STRING)) AS body"
+        return {n: table(spark, d, t).selectExpr(f"CAST({k} AS BIGINT) AS k").repartition(parts).selectExpr("k AS zeta", "concat('key', k) AS api_key", body, "array(named_struct('y', k, 'x', concat('v', k))) AS list") for n, (t, k) in _EVIDENCE.items()}
+
+    roots = [shared_folder(spark, "out") for _ in range(2)]
+    one, two = (P.evidence_sink(tables(n), root, (_SECRET,)) for n, root in zip((1, 5), roots, strict=True))
+    same = one.join(two.withColumnsRenamed({"sha256": "other", "rows": "r", "size": "s"}), "name").where("size = s AND rows = r")
+    lines = [spark.read.text(f"{roots[0]}/{n}").select(F.lit(n).alias("name"), "value") for n in _EVIDENCE]
+    verdict = same.select("name", F.concat(F.when(F.col("sha256") == F.col("other"), "same digest, ").otherwise("other digest, "), "rows").alias("value"))
+    return reduce(lambda x, y: x.unionByName(y), [*lines, verdict])
 
 
 _KIND = "CASE doc_id % 5 WHEN 0 THEN 'application/json' WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'application/octet-stream' ELSE 'text/plain' END"

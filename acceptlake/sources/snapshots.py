@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from functools import reduce
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from .staging import exists, publish
 
 MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES, MAX_PATCH_BYTES = 20_000, 2_000_000, 100 << 20, 10 << 20
 # Path parts that are no source.
@@ -96,20 +101,87 @@ def archive_inventory_audit(entries: DataFrame, max_entries: int = 10_000, max_e
     return rows.select("archive", "pos", F.explode(F.array_compact(F.array(*[F.when(t, name) for name, t in tests.items()]))).alias("code"))
 
 
-def results_sink(tables: dict[str, DataFrame], root: str) -> None:
-    """Each table under root, partitioned by run, appended."""
-    for name, df in tables.items():
-        df.write.mode("append").partitionBy("run_id").parquet(f"{root}/{name}")
+# The tables of a run's results, and the datasets of its evidence.
+RESULT_TABLES = ("changed_files", "symbols", "edges", "requirements", "findings", "executions", "policy_decisions", "artifacts")
+EVIDENCE_SETS = ("analysis", "changed_files", "requirements", "dependency_graph", "findings", "test_results", "policy_decisions", "audit_events")
+
+
+def _known(names, known: tuple[str, ...]) -> None:
+    if odd := sorted(set(names) - set(known)):
+        raise ValueError(f"unknown: {', '.join(odd)}")
+
 
+def results_sink(tables: dict[str, DataFrame], root: str, runs: DataFrame | None = None) -> str:
+    """Publish the results of runs: tables (of RESULT_TABLES, each with run_id) under root. Evidence of findings is redacted.
 
-def evidence_sink(tables: dict[str, DataFrame], root: str) -> None:
-    """Each table as redacted JSON lines under root; a folder that is there already is an error."""
+    All tables are written as one attempt first. One file with the runs and their attempt then publishes them all at once; what an attempt
+    without it has left is never read. Runs that are published again replace all that they had, also in tables that they no longer bring. runs: the
+    runs (run_id), if some may have no row at all. Returns the attempt.
+    """
+    from ..operators.security import redacted_column
+
+    _known(tables, RESULT_TABLES)
+    spark = next(iter(tables.values())).sparkSession
+    attempt = uuid.uuid4().hex
+    for name, df in tables.items():
+        if name == "findings" and "evidence" in df.columns:
+            df = df.withColumn("evidence", redacted_column(df.schema["evidence"]))
+        df.write.parquet(f"{root}/{name}/attempt={attempt}")
+    mine = [spark.read.parquet(f"{root}/{name}/attempt={attempt}").select("run_id") for name in tables] + ([] if runs is None else [runs.select("run_id")])
+    ids = reduce(DataFrame.unionByName, mine).distinct()
+    ids.select("run_id", F.lit(attempt).alias("attempt"), F.lit(time.time_ns()).alias("published")).coalesce(1).write.mode("append").parquet(f"{root}/published")
+    return attempt
+
+
+def read_results(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows of a table of results_sink, of each run's last attempt."""
+    _known([name], RESULT_TABLES)
+    last = spark.read.parquet(f"{root}/published").groupBy("run_id").agg(F.max_by("attempt", F.struct("published", "attempt")).alias("attempt"))
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}")
+    return rows.join(last, ["run_id", "attempt"], "left_semi").drop("attempt")
+
+
+def _canonical(c: Column, kind: T.DataType) -> Column:
+    """c with the fields and keys of all that it holds in the order of their names."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_canonical(c[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _canonical(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        keys = F.array_sort(F.map_keys(c))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: _canonical(F.try_element_at(c, k), kind.valueType)))
+    return c
+
+
+def canonical_json(df: DataFrame, name: str) -> DataFrame:
+    """A line of JSON (value) for each row, under name and beside the schema's version: keys sorted at every depth, nulls kept."""
+    row = {name: _canonical(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema), "schema_version": F.lit("1.0")}
+    return df.select(F.to_json(F.struct(*[row[k].alias(k) for k in sorted(row)]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def lines_digest(lines: DataFrame) -> DataFrame:
+    """rows, size and sha256 of a dataset (value), the same however its lines lie: of the sorted digests of the lines, in 4,096 parts by their first digits."""
+    rows = lines.select(F.sha2("value", 256).alias("d"), (F.octet_length("value") + 1).cast("long").alias("size"))
+    parts = rows.groupBy(F.left("d", F.lit(3)).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"), F.sum("size").alias("size"))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256).alias("sha256"))
+
+
+def evidence_sink(tables: dict[str, DataFrame], root: str, known: tuple[str, ...] = ()) -> DataFrame:
+    """Datasets of evidence (of EVIDENCE_SETS) as redacted canonical JSON lines, sorted, a folder each under root, which comes into being as a
+    whole: one that is there already is an error. known: secrets to be hidden wherever they stand. Returns name, rows, size and sha256 of each."""
     from ..operators.security import redact_nested
 
+    _known(tables, EVIDENCE_SETS)
+    spark = next(iter(tables.values())).sparkSession
+    if exists(spark, root):
+        raise FileExistsError(f"{root} is there already")
+    made, digests = f"{root.rstrip('/')}.{uuid.uuid4().hex}", []
     for name, df in tables.items():
-        clean = redact_nested(df)
-        row = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.struct(*[F.col(f"`{c}`") for c in sorted(clean.columns)]).alias(name)))
-        clean.select(row.alias("value")).write.mode("errorifexists").text(f"{root}/{name}")
+        canonical_json(redact_nested(df, known), name).sort("value").write.text(f"{made}/{name}")
+    publish(spark, made, root)
+    for name in tables:
+        digests.append(lines_digest(spark.read.text(f"{root}/{name}")).select(F.lit(name).alias("name"), "rows", "size", "sha256"))
+    return reduce(DataFrame.unionByName, digests)
 
 
 def evidence_manifest(artifacts: DataFrame) -> DataFrame:

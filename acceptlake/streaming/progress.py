@@ -5,8 +5,6 @@ events: run_id, event_id, stage, status, ts. Streams read a folder of event file
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,16 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as X
 from ..operators import policy as P
-
-
-def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir (in local mode without it, a temporary one)."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="acceptlake-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+from ..sources.staging import shared_folder
 
 
 def drained(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None]) -> None:
