@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import policy as PO
+from ..sources.staging import shared_folder
 from ..streaming import progress as P
 from .base import Registry, duck, table
 from .security_queries import DOC_FILES, q
@@ -29,6 +30,20 @@ def event_stream(spark, d):
     return stream(spark, d, "events").selectExpr(*_EVENT)
 
 
+#: A batch for each part of the events, in no order of their times; an event long after all others ends the stream.
+_PARTS, _LATE = 3, "2000 days"
+
+
+def shuffled_stream(spark, d):
+    """All events dealt into batches without regard to their times, then one that lets the watermark pass them all."""
+    root, rows = shared_folder(spark, "shuffled"), events(spark, d)
+    for part in range(_PARTS):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(_PARTS)) == part).coalesce(1).write.parquet(f"{root}/{part}")
+    end = rows.agg(F.max("ts").alias("ts")).select(F.lit(None).cast(rows.schema["run_id"].dataType).alias("run_id"), F.lit(-1).cast(rows.schema["event_id"].dataType).alias("event_id"), F.lit("end").alias("stage"), F.lit("queued").alias("status"), (F.col("ts") + F.expr("INTERVAL 9000 DAYS")).alias("ts"), F.lit(0).cast(rows.schema["value"].dataType).alias("value"))
+    end.coalesce(1).write.parquet(f"{root}/end")
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(root)
+
+
 EVENTS_SQL = f"e AS (SELECT user_id AS run_id, event_id, {duck(_STAGE)} AS stage, {_STATUS} AS status, ts, value FROM events)"
 
 
@@ -43,12 +58,13 @@ def stage_event_pairing(spark, d):
 
 @R.add("stream_stage_pairing", PAIRING_SQL)
 def stream_stage_pairing(spark, d):
-    return P.into_table(P.stage_event_stream(event_stream(spark, d)))
+    """Starts may come in a later batch than their finishes."""
+    return P.into_table(P.stage_event_stream(shuffled_stream(spark, d), _LATE))
 
 
 @R.add("stream_run_progress", f"WITH {EVENTS_SQL} SELECT run_id, arg_max(stage, [epoch_us(ts), event_id]) AS stage, arg_max(status, [epoch_us(ts), event_id]) AS status, count(*) AS events FROM e GROUP BY run_id")
 def stream_run_progress(spark, d):
-    return P.into_table(P.run_progress(event_stream(spark, d)), ["run_id"])
+    return P.into_table(P.run_progress_stream(shuffled_stream(spark, d), _LATE), ["run_id"]).where("run_id IS NOT NULL")
 
 
 _SEVERITY = "CASE CAST(floor(value) AS INT) % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END"
@@ -77,19 +93,28 @@ def stream_policy_gate(spark, d):
     e = stream(spark, d, "events")
     pair = "stack(2, 'event.value', value, NULL, 'event.kind', NULL, event_type) AS (metric, value_num, value_str)"
     metrics = e.selectExpr("event_id AS run_id", pair).withColumn("value_bool", F.lit(None).cast("boolean"))
-    root = P.shared_folder(spark, "gate")
+    root = shared_folder(spark, "gate")
     P.policy_gate(metrics, rules, root)
     return spark.read.parquet(f"{root}/batch=*").select("run_id", "verdict")
 
 
-@R.add(
-    "run_activity_sessions",
-    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id AS run_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1800000000 AS end, count(*) AS events FROM s GROUP BY user_id, k""",
-)
+SESSIONS_SQL = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id AS run_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1800000000 AS end, count(*) AS events FROM s GROUP BY user_id, k"""
+
+
+def _session_rows(out):
+    return out.where("run_id IS NOT NULL").select("run_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "events")
+
+
+@R.add("run_activity_sessions", SESSIONS_SQL)
 def run_activity_sessions(spark, d):
-    out = P.activity_sessions(events(spark, d))
-    return out.select("run_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "events")
+    return _session_rows(P.activity_sessions(events(spark, d)))
+
+
+@R.add("stream_activity_sessions", SESSIONS_SQL)
+def stream_activity_sessions(spark, d):
+    """Sessions whose events come in batches without regard to their times."""
+    return _session_rows(P.into_table(P.activity_sessions(shuffled_stream(spark, d), late=_LATE)))
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as X
@@ -18,9 +18,19 @@ from ..operators import policy as P
 from ..sources.staging import shared_folder
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drained(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None]) -> None:
-    """Run a stream over all that is there, each batch through write, with its state in the shared folder."""
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", shared_folder(stream.sparkSession, "state")).trigger(availableNow=True).start()
+    """Run a stream over all that is there, each batch through write, with its state in the shared folder and, on the executors, in RocksDB."""
+    spark = stream.sparkSession
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", shared_folder(spark, "state")).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_PROVIDER, before)
     query.awaitTermination()
 
 
@@ -43,43 +53,120 @@ def stage_event_pairing(events: DataFrame) -> DataFrame:
     return rows.where(F.col("status").isin("completed", "failed")).select("run_id", "stage", "event_id", "status", F.floor((us("ts") - us("started_at")) / 1000).alias("duration_ms"))
 
 
-def stage_event_stream(events: DataFrame, late: str = "1 hour", keep: str = "1 day") -> DataFrame:
-    """stage_event_pairing on a stream: the state of a run and stage is its latest start, which goes when the watermark has passed it by `keep`.
-
-    A batch's events of one run and stage are taken in the order of ts and event_id; a finish event is paired when it comes, so a start
-    that comes in a later batch than its finish is not seen. Events later than the watermark are dropped.
-    """
-    ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+def _frames(rows: list[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
+
+
+class _Pairing(StatefulProcessor):
+    """Events of one run and stage wait until the watermark has passed them, and are then paired in the order of their times."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.start = handle.getValueState("start", "us long")
+        self.waiting = handle.getListState("waiting", "us long, event_id long, status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for part in rows for r in zip(part["us"].tolist(), part["event_id"].tolist(), part["status"].tolist(), strict=True)]
+        self.waiting.appendList(new)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self._wake([r[0] for r in self.waiting.get()])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        due = [r for r in rows if r[0] // 1000 < passed]
+        rest = rows[len(due) :]
+        start = self.start.get()[0] if self.start.exists() else None
+        out = []
+        for us, event_id, status in due:
+            if status in ("completed", "failed"):
+                out.append((*key, event_id, status, None if start is None else (us - start) // 1000))
+            elif status == "running":
+                start = us
+        if start is not None and not rest and start // 1000 + self.keep_ms <= passed:
+            start = None
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+        if start is None:
+            self.start.clear()
+        else:
+            self.start.update((start,))
+        if rest:
+            self._wake([r[0] for r in rest])
+        elif start is not None:
+            self.handle.registerTimer(max(start // 1000, passed) + self.keep_ms)
+        return _frames(out, ["run_id", "stage", "event_id", "status", "duration_ms"])
+
+    def _wake(self, times: list[int]) -> None:
+        self.handle.registerTimer(min(times) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
 
-    def pair(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start = state.get[0] if state.exists else None
-        rows = pd.concat(parts).sort_values(["us", "event_id"])
-        starts = rows["us"].where(rows["status"] == "running").astype("Int64").ffill()
-        before = starts.shift(1)
-        if start is not None:
-            starts, before = starts.fillna(start), before.fillna(start)
-        if not pd.isna(starts.iloc[-1]):
-            latest = int(starts.iloc[-1])
-            state.update((latest,))
-            state.setTimeoutTimestamp(max(latest // 1000, state.getCurrentWatermarkMs()) + ms)
-        done = rows["status"].isin(["completed", "failed"])
-        out = rows[done][["event_id", "status"]].assign(run_id=key[0], stage=key[1], duration_ms=((rows["us"] - before) // 1000)[done])
-        yield out[["run_id", "stage", "event_id", "status", "duration_ms"]]
 
+def stage_event_stream(events: DataFrame, late: str = "1 hour", keep: str = "1 day") -> DataFrame:
+    """stage_event_pairing on a stream, by event time: events of a run and stage are held until the watermark has passed them, so a start that
+    comes in a later batch than its finish pairs with it. The latest start stays in the state until the watermark has passed it by `keep`. Events later than
+    the watermark are dropped."""
+    ms = int(pd.Timedelta(keep).total_seconds() * 1000)
     run = events.schema["run_id"].dataType.simpleString()
-    rows = events.withWatermark("ts", late).select("run_id", "stage", "event_id", "status", "ts", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("run_id", "stage").applyInPandasWithState(pair, f"run_id {run}, stage string, event_id long, status string, duration_ms long", "started long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = events.withWatermark("ts", late).select("run_id", "stage", F.col("event_id").cast("long").alias("event_id"), "status", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("run_id", "stage").transformWithStateInPandas(_Pairing(ms), f"run_id {run}, stage string, event_id long, status string, duration_ms long", "Append", "EventTime")
 
 
 def run_progress(events: DataFrame) -> DataFrame:
-    """Latest stage and status of each run, and how many events it has had; for batches and for streams in update mode."""
+    """Latest stage and status of each run, and how many events it has had."""
     last = F.max_by(F.struct("stage", "status"), F.struct("ts", "event_id"))
     return events.groupBy("run_id").agg(last.alias("last"), F.count("*").alias("events")).select("run_id", "last.stage", "last.status", "events")
 
 
+class _Progress(StatefulProcessor):
+    """The latest event of a run and how many there were; gone when the watermark has passed the latest by `keep`."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long, event_id long, stage string, status string, events long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.last.get() if self.last.exists() else None
+        best, n = (tuple(held)[:4], held[4]) if held is not None else (None, 0)
+        for part in rows:
+            n += len(part)
+            top = max(zip(part["us"].tolist(), part["event_id"].tolist(), part["stage"].tolist(), part["status"].tolist(), strict=True))
+            best = top if best is None else max(best, top)
+        self.last.update((*best, n))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(best[0] // 1000, timerValues.getCurrentWatermarkInMs()) + self.keep_ms)
+        return _frames([(*key, best[2], best[3], n)], ["run_id", "stage", "status", "events"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def run_progress_stream(events: DataFrame, late: str = "1 hour", keep: str = "30 days") -> DataFrame:
+    """run_progress on a stream, for update mode: a row for each run that a batch has events of. A run that is silent for `keep` leaves the
+    state; should it speak again, it counts anew. Events later than the watermark are dropped."""
+    ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    run = events.schema["run_id"].dataType.simpleString()
+    rows = events.withWatermark("ts", late).select("run_id", F.col("event_id").cast("long").alias("event_id"), "stage", "status", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("run_id").transformWithStateInPandas(_Progress(ms), f"run_id {run}, stage string, status string, events long", "Update", "EventTime")
+
+
 def finding_counts(findings: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "30 minutes") -> DataFrame:
     """Findings of each severity in each window of ts. On a stream, rows later than the watermark are dropped."""
     rows = findings.withWatermark("ts", late) if findings.isStreaming else findings
@@ -105,6 +192,8 @@ def policy_gate(metrics: DataFrame, rules: DataFrame, root: str) -> None:
     drained(metrics, "append", write)
 
 
-def activity_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Events of a run that follow each other within the gap: start, end (the last event plus the gap) and number."""
-    return events.groupBy("run_id", F.session_window("ts", gap)).agg(F.count("*").alias("events")).select("run_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
+def activity_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Events of a run that follow each other within the gap: start, end (the last event plus the gap) and number. On a stream a session is given
+    when the watermark has passed its end (append mode) and then leaves the state; events later than the watermark are dropped."""
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    return rows.groupBy("run_id", F.session_window("ts", gap)).agg(F.count("*").alias("events")).select("run_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
