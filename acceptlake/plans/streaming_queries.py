@@ -59,7 +59,7 @@ def stage_event_pairing(spark, d):
 @R.add("stream_stage_pairing", PAIRING_SQL)
 def stream_stage_pairing(spark, d):
     """Starts may come in a later batch than their finishes."""
-    return P.into_table(P.stage_event_stream(shuffled_stream(spark, d), _LATE))
+    return P.into_table(P.stage_event_stream(shuffled_stream(spark, d), _LATE, keep=_LATE))
 
 
 @R.add("stream_run_progress", f"WITH {EVENTS_SQL} SELECT run_id, arg_max(stage, [epoch_us(ts), event_id]) AS stage, arg_max(status, [epoch_us(ts), event_id]) AS status, count(*) AS events FROM e GROUP BY run_id")

@@ -86,7 +86,8 @@ class _Pairing(StatefulProcessor):
         out = []
         for us, event_id, status in due:
             if status in ("completed", "failed"):
-                out.append((*key, event_id, status, None if start is None else (us - start) // 1000))
+                ms = None if start is None else (us - start) // 1000
+                out.append((*key, event_id, status, ms if ms is None or ms <= self.keep_ms else None))
             elif status == "running":
                 start = us
         if start is not None and not rest and start // 1000 + self.keep_ms <= passed:
@@ -113,8 +114,8 @@ class _Pairing(StatefulProcessor):
 
 def stage_event_stream(events: DataFrame, late: str = "1 hour", keep: str = "1 day") -> DataFrame:
     """stage_event_pairing on a stream, by event time: events of a run and stage are held until the watermark has passed them, so a start that
-    comes in a later batch than its finish pairs with it. The latest start stays in the state until the watermark has passed it by `keep`. Events later than
-    the watermark are dropped."""
+    comes in a later batch than its finish pairs with it. A start is forgotten `keep` after it: later finishes have none, and it leaves the state when
+    the watermark has come so far. Events later than the watermark are dropped."""
     ms = int(pd.Timedelta(keep).total_seconds() * 1000)
     run = events.schema["run_id"].dataType.simpleString()
     rows = events.withWatermark("ts", late).select("run_id", "stage", F.col("event_id").cast("long").alias("event_id"), "status", "ts", F.unix_micros("ts").alias("us"))

@@ -20,9 +20,8 @@ def test_oracle(spark, con, name):
     oracle.compare(spark, con, QUERIES[name], SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    QUERIES[name](spark, SF).collect()
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
