@@ -10,8 +10,8 @@ about ROWS_PER_BIN documents are summed first, then only the one bin of each sou
 order, so that a source with a third of all rows does not meet in one task. Only that bin's border goes back to the documents.
 
 Null and empty texts have size 0 and are taken 0 words; documents without a source form a source of their own; rows that
-share id, source and size stand for each other in ties and each counts; a null id hashes like the word "null". Very long texts count
-as any other, in the JVM. An empty table gives an empty result. Columns that share a name with a result column are replaced by it; all others
+share id, source and size stand for each other in ties and each counts; a null id hashes like the word "null". The query weighs labelled documents by
+their labels. Very long texts count as any other, in the JVM. An empty table gives an empty result. Columns that share a name with a result column are replaced by it; all others
 pass through, whatever their names.
 """
 
@@ -58,15 +58,24 @@ def source_targets(sizes: DataFrame, cycle: tuple[float, ...], share: float, cap
     return s.withColumn("epochs", epochs.cast("long")).select("source", "source_size", "rows", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, quality: Column | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_text: bool = True) -> DataFrame:
+def judged(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """Quality weights (mark_id, mark) of labelled documents: 2 where the label is over 0, else 0.5; of several labels of an id the best, null is none."""
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull())
+    return rows.groupBy(F.col(id_col).alias("mark_id")).agg(F.when(F.max(quality_col) > 0, 2.0).otherwise(0.5).alias("mark"))
+
+
+def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, quality: Column | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_text: bool = True, labels: DataFrame | None = None) -> DataFrame:
     """Documents with size, source_size, target, times (how often the mix takes the document) and taken (its words, repeats counted).
 
-    quality: a weight of each document from its columns (null or not positive: 1); without it, default_quality. Without with_text the
-    text is left out of the result, and the texts are read once only.
+    quality: a weight of each document from its columns (null or not positive: 1); without it, default_quality. labels (mark_id, mark; an id once):
+    weights that go before either. Without with_text the text is left out of the result, and the texts are read once only.
     """
     result = (*RESULT, *([] if with_text else [text_col]))
     keyed = docs.select(packed(docs, *result).alias("doc"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), (F.lit(None).cast("double") if quality is None else F.when(quality > 0, quality).otherwise(1.0)).alias("quality"), F.octet_length(text_col).alias("bytes"))
     weight = default_quality(F.col("bytes"), F.col("size")) if quality is None else F.col("quality")
+    if labels is not None:
+        keyed = keyed.join(labels, F.col("id") == F.col("mark_id"), "left")
+        weight = F.coalesce("mark", weight)
     keyed = keyed.withColumn("key", -F.log(uniform(F.col("id"), seed)) / weight)
     if with_text:
         small = staged(keyed.select("source", "id", "size", "key"), "mix")
@@ -108,13 +117,15 @@ def mixed_documents(docs: DataFrame, quality: Column | None = None, id_col: str
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs, with_text=False).select("doc_id", "size", "source_size", "target", "taken")
+    labels = judged(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mix(docs, with_text=False, labels=labels).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce(strlen(text), 0) AS bytes,
                   (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
-k AS (SELECT *, -ln(u) / (CASE WHEN size <= 0 THEN 1.0::DOUBLE WHEN bytes::DOUBLE / size BETWEEN 3 AND 12 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END) AS key FROM d),
+lab AS (SELECT doc_id AS id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+k AS (SELECT d.*, -ln(u) / (CASE WHEN quality > 0 THEN 2.0::DOUBLE WHEN quality IS NOT NULL THEN 0.5::DOUBLE WHEN size <= 0 THEN 1.0::DOUBLE WHEN bytes::DOUBLE / size BETWEEN 3 AND 12 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END) AS key FROM d LEFT JOIN lab ON lab.id = d.doc_id),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
 r AS (SELECT *, 2.0::DOUBLE * source_size / weight AS ratio FROM w),
