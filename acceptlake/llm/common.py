@@ -115,7 +115,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 # ---------------------------------------------------------------- words in numpy
 
 #: Text bytes that are handled at once; a longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _byte_class(test) -> np.ndarray:
@@ -233,3 +233,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             b = max(b, a + 1)
             yield batch.slice(a, b - a)
             a = b
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it needs only

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from .common import carried, restored, slices, staged, unstage
 
 TRAIN_DOCS, PROFILE = 3_000, 400
+#: Counts (texts times n-grams of the profiles) that are held at once.
+COUNTS = 1 << 20
 #: Languages beyond this number are refused: the profiles are broadcast, PROFILE n-grams each.
 MAX_LANGUAGES = 1_000
 RESULT = (T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False))
@@ -187,7 +189,7 @@ def identify(docs: DataFrame, labelled: Column, lang_col: str = "lang", text_col
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made and shared.value:
             made.append(_Ranker(shared.value, size))
-        most = max(1, (4 << 20) // max(1, made[0].n)) if made else 1 << 20
+        most = max(1, COUNTS // max(1, made[0].n)) if made else COUNTS
         for big in slices(batches, "text"):
             for a in range(0, big.num_rows, most):
                 part = big.slice(a, most)
