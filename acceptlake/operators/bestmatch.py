@@ -13,14 +13,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Accumulator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .textmatch import MATCHES, candidate_text, explicit_reference, idf
+from ..sources.staging import staged, unstage
+from .textmatch import MATCHES, explicit_reference, idf
 
 #: Tokens of the requirements of a round. Scores are rounded, far below what tells them apart, so that ties are the same whatever the order of sums.
 ROUND_TOKENS, DIGITS = 1_000_000, 9
+#: Different tokens whose weights are broadcast at most (some 40 bytes each); more are joined.
+MAX_BROADCAST = 1_000_000
 # What similarity, overlap, a reference by name and the kind add to a score.
 COSINE, OVERLAP, EXPLICIT, BONUS = 0.62, 0.28, 0.3, 0.04
 _SCHEMA = "requirement_id string, candidate_id string, kind string, path string, symbol string, score double, reasons string"
@@ -85,8 +88,26 @@ class Block:
 REASONS = ("explicit name or path reference", "shared domain terms", "local TF-IDF similarity")
 
 
-def _counts(items: DataFrame, text: str) -> DataFrame:
-    return items.select("id", X.tokens(F.col(text)).alias("t"))
+def _counts(candidates: DataFrame) -> DataFrame:
+    """id, total, token, n, in_text: tokens of text, path and symbol; in_text: whether the text itself has the token. Each text is read once, and its
+    tokens are counted in the task that has read it."""
+    of = lambda c: F.coalesce(X.tokens(F.col(c)), F.array().cast("array<string>"))
+    rows = candidates.select("id", of("text").alias("own"), F.concat(of("path"), of("symbol")).alias("rest"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            length = [batch.column(c).value_lengths().to_numpy() for c in (1, 2)]
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in length])
+            tokens = pa.concat_arrays([batch.column(1).flatten(), batch.column(2).flatten()]).dictionary_encode()
+            known = max(1, len(tokens.dictionary))
+            key, first, n = np.unique(row * known + tokens.indices.to_numpy(), return_index=True, return_counts=True)
+            at = key // known
+            columns = [batch.column(0).take(pa.array(at)), pa.array((length[0] + length[1])[at].astype(np.int32)), tokens.dictionary.take(pa.array(key % known)), pa.array(n.astype(np.int64)), pa.array(first < length[0].sum())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "total", "token", "n", "in_text"])
+
+    return rows.mapInArrow(count, "id string, total int, token string, n long, in_text boolean")
 
 
 def top_scores(requirements: DataFrame, candidates: DataFrame, k: int = MATCHES, made: Accumulator | None = None) -> DataFrame:
@@ -95,11 +116,10 @@ def top_scores(requirements: DataFrame, candidates: DataFrame, k: int = MATCHES,
     requirements: id, text; candidates: id, kind, text, path, symbol, each id once.
     """
     spark = requirements.sparkSession
-    r_tokens = _counts(requirements, "text")
-    c_tokens = candidates.select("id", X.tokens(F.col("text")).alias("plain"), X.tokens(candidate_text()).alias("t"))
-    distinct = r_tokens.select(F.explode(F.array_distinct("t")).alias("token")).unionByName(c_tokens.select(F.explode(F.array_distinct("plain")).alias("token")))
-    n = requirements.count()
-    weights = idf(distinct, n + candidates.count())
+    r_tokens = requirements.select("id", X.tokens(F.col("text")).alias("t"))
+    counts = staged(_counts(candidates), "counts")
+    distinct = r_tokens.select(F.explode(F.array_distinct("t")).alias("token")).unionByName(counts.where("in_text").select("token"))
+    weights = staged(idf(distinct, requirements.count() + candidates.count()), "weights")
     mine = r_tokens.select("id", F.size("t").alias("total"), F.explode("t").alias("token")).groupBy("id", "total", "token").agg(F.count("*").alias("n")).join(weights, "token", "left")
     mine = mine.groupBy("id").agg(F.collect_list(F.struct("token", (F.col("n") / F.col("total") * F.col("idf")).alias("w"))).alias("tokens"), F.count("*").alias("size"))
     mine = requirements.select("id").join(mine, "id", "left").select("id", F.coalesce("tokens", F.array().cast("array<struct<token:string,w:double>>")).alias("tokens"), F.coalesce("size", F.lit(0)).alias("size"))
@@ -108,20 +128,22 @@ def top_scores(requirements: DataFrame, candidates: DataFrame, k: int = MATCHES,
     rounds, out = max(1, -(-total // ROUND_TOKENS)), None
     for r in range(rounds):
         chosen = [(x.id, [t.token for t in x.tokens], np.array([t.w for t in x.tokens]), x.size) for x in mine.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).toLocalIterator()]
-        found = _scored(spark, chosen, c_tokens, candidates, weights, named, k, made)
+        found = staged(_scored(spark, chosen, counts, candidates, weights, named, k, made), "scored")
         out = found if out is None else out.unionByName(found)
+    unstage(counts, weights)
     best = Window.partitionBy("requirement_id").orderBy(F.desc("score"), "candidate_id")
     return out.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
-def _scored(spark, chosen: list, c_tokens: DataFrame, candidates: DataFrame, weights: DataFrame, named: DataFrame, k: int, made: Accumulator | None) -> DataFrame:
+def _scored(spark: SparkSession, chosen: list, counts: DataFrame, candidates: DataFrame, weights: DataFrame, named: DataFrame, k: int, made: Accumulator | None) -> DataFrame:
     """The best of each task for the requirements of a round."""
     number = {t: i for i, t in enumerate(sorted({t for _, tokens, _, _ in chosen for t in tokens}))}
     known = spark.createDataFrame(list(number.items()), "token string, number int")
     items = [(i, np.array([number[t] for t in tokens], np.int64), w / (np.sqrt((w * w).sum()) or 1.0), size) for i, tokens, w, size in chosen]
     shared = spark.sparkContext.broadcast((items, len(number)))  # ROUND_TOKENS tokens, or one longer requirement
-    counts = c_tokens.select("id", F.size("t").alias("total"), F.explode("t").alias("token")).groupBy("id", "total", "token").agg(F.count("*").alias("n"))
-    w = counts.join(weights.join(F.broadcast(known), "token", "left"), "token", "left").select("id", "number", (F.col("n") / F.col("total") * F.coalesce("idf", F.lit(1.0))).alias("w"))
+    weights = weights.join(F.broadcast(known), "token", "left")
+    weights = F.broadcast(weights) if weights.count() <= MAX_BROADCAST else weights  # then a candidate's tokens stay where they were counted
+    w = counts.join(weights, "token", "left").select("id", "number", (F.col("n") / F.col("total") * F.coalesce("idf", F.lit(1.0))).alias("w"))
     vectors = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("size"), F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "w"))).alias("tokens"))
     rows = candidates.select("id", "kind", "path", "symbol").join(vectors, "id", "left").join(named, "id", "left")
 

@@ -45,6 +45,7 @@ def test_starts_are_kept_between_batches(spark, tmp_path):
         [(1, 1, "a", "running", "2024-01-01 00:00:00"), (2, 2, "a", "completed", "2024-01-01 00:00:01")],
         [(1, 3, "a", "completed", "2024-01-01 00:00:02.5"), (1, 4, "a", "running", "2024-01-01 00:00:03")],
         [(1, 5, "a", "failed", "2024-01-01 00:00:04")],
+        [(9, 9, "end", "queued", "2024-01-03 00:00:00")],  # events wait until the watermark has passed them
     ]
     for rows in parts:
         df = spark.createDataFrame(rows, kind.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts"))
@@ -53,4 +54,4 @@ def test_starts_are_kept_between_batches(spark, tmp_path):
     got = {r.event_id: r.duration_ms for r in P.into_table(P.stage_event_stream(stream)).collect()}
     assert got == {2: None, 3: 2500, 5: 1000}
     counts = P.into_table(P.run_progress(stream), ["run_id"]).collect()
-    assert {(r.run_id, r.status, r.events) for r in counts} == {(1, "failed", 4), (2, "completed", 1)}
+    assert {(r.run_id, r.status, r.events) for r in counts} == {(1, "failed", 4), (2, "completed", 1), (9, "queued", 1)}

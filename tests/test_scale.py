@@ -64,8 +64,9 @@ def test_best_matches_are_those_of_all_scores(spark, monkeypatch):
     by = {}
     for x in every.collect():
         by.setdefault(x.requirement_id, []).append((-x.score, x.candidate_id, x.reasons))
-    for k, tokens in ((3, 1_000_000), (8, 40)):
+    for k, tokens, broadcast in ((3, 1_000_000, 1_000_000), (8, 40, 5)):
         monkeypatch.setattr(bestmatch, "ROUND_TOKENS", tokens)
+        monkeypatch.setattr(bestmatch, "MAX_BROADCAST", broadcast)
         got = {}
         for x in bestmatch.top_scores(r, c.repartition(3), k).collect():
             got.setdefault(x.requirement_id, []).append((-x.score, x.candidate_id, x.reasons))
