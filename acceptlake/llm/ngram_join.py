@@ -54,7 +54,9 @@ FULL = 1 << 12
 #: Members that one task verifies against one pivot, about.
 MEMBERS = 256
 #: Classes that a task remembers to send their text once.
-SEEN = 1 << 20
+SEEN = 1 << 18
+#: Different keys that a task counts before it forgets those that it has met once.
+COUNTED = 1 << 19
 _U = np.uint64
 
 
@@ -158,7 +160,7 @@ class _Counts:
         new, n = np.unique(keys, return_counts=True)
         self.keys, at = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
         self.count = np.bincount(at, np.concatenate([self.count, n]), len(self.keys)).astype(np.int64)
-        if len(self.keys) > 1 << 21:  # what is rare so far can't become frequent by what it had
+        if len(self.keys) > COUNTED:  # what is rare so far can't become frequent by what it had
             often = self.count > 1
             self.keys, self.count = self.keys[often], self.count[often]
 
