@@ -13,7 +13,8 @@ from ..operators import codefacts as P
 from ..operators import graph as G
 from ..operators import textmatch as T
 from ..operators.security import fingerprint
-from .base import Registry, table
+from ..sources.staging import staged
+from .base import Registry, spread, table
 from .security_queries import q
 from .textmatch_queries import BASE_SQL, rounded
 
@@ -87,12 +88,19 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
 
 
+def parts(spark, d):
+    """A part's row is small and its text is not: one file of parts is read by all cores."""
+    return spread(table(spark, d, "part").select("p_partkey"))
+
+
 def files(spark, d):
-    return table(spark, d, "part").selectExpr(f"concat('app/m', {_K}, '.py') AS path", f"{_text()} AS text")
+    return parts(spark, d).selectExpr(f"concat('app/m', {_K}, '.py') AS path", f"{_text()} AS text")
 
 
-def facts(spark, d):
-    return code_facts(files(spark, d))
+def facts(spark, d, *kinds, plain=()):
+    """The facts that a query is made of; written down once where several sides of a join are."""
+    out = code_facts(files(spark, d), kinds, plain)
+    return staged(out, "facts") if len(kinds) > 1 else out
 
 
 _PIECES_SQL = "pieces AS (" + " UNION ALL ".join(f"SELECT p_partkey AS k, {i} AS piece, p_partkey % {len(p)} AS variant, {' + '.join(['0', *[f'CASE p_partkey % {len(b)} ' + ' '.join(f'WHEN {v} THEN ' + str(len(x['text'])) for v, x in enumerate(b)) + ' END' for b in PIECES[:i]]])} AS before FROM part" for i, p in enumerate([*PIECES, [{}]])) + ")"
@@ -118,32 +126,32 @@ _NAME = f"'app.m' || k || '.' || {_put('name')} AS qualified_name"
 
 @R.add("code_declarations", f"WITH {_DECL} SELECT path, {_NAME}, {_put('owner')} AS owner, kind, line AS start_line, CAST(before + stop AS INT) AS end_line, is_async, {_put('signature')} AS signature, bases, {_put('decorators')} AS decorators FROM f")
 def code_declarations(spark, d):
-    return P.code_declarations(facts(spark, d)).drop("number").withColumns({"bases": F.array_join("bases", ","), "decorators": F.array_join("decorators", ";")})
+    return P.code_declarations(facts(spark, d, "declaration", "decorator")).drop("number").withColumns({"bases": F.array_join("bases", ","), "decorators": F.array_join("decorators", ";")})
 
 
 @R.add("code_imports", f"WITH {_expected('import', 'module, name, alias, dynamic')} SELECT path, line, {_put('module')} AS module, {_put('name')} AS name, alias, dynamic, coalesce(name = '*', false) AS wildcard FROM f")
 def code_imports(spark, d):
-    return P.code_imports(facts(spark, d))
+    return P.code_imports(facts(spark, d, "import"))
 
 
 @R.add("code_calls", f"WITH {_expected('call', 'caller, target')} SELECT path, {_put('caller')} AS caller, target, line FROM f")
 def code_calls(spark, d):
-    return P.code_calls(facts(spark, d))
+    return P.code_calls(facts(spark, d, "call", plain=("call",)))
 
 
 @R.add("code_complexity", f"WITH {_DECL} SELECT path, {_NAME}, CAST(complexity AS BIGINT) AS complexity FROM f")
 def code_complexity(spark, d):
-    return P.code_complexity(facts(spark, d)).drop("number")
+    return P.code_complexity(facts(spark, d, "declaration", "branch", plain=("declaration",))).drop("number")
 
 
 @R.add("code_exports", f"WITH {_DECL} SELECT path, {_NAME}, CASE WHEN owner IS NULL AND k % 3 = 2 THEN list_contains(['_hidden', 'x'], n) ELSE n NOT LIKE '\\_%' ESCAPE '\\' END AS exported FROM (SELECT *, list_last(string_split(name, '.')) AS n FROM f)")
 def code_exports(spark, d):
-    return P.code_exports(facts(spark, d)).drop("number")
+    return P.code_exports(facts(spark, d, "declaration", "export", plain=("declaration",))).drop("number")
 
 
 @R.add("code_behaviour", f"WITH {_DECL} SELECT path, {_NAME}, shapes AS return_shapes, raised AS raises FROM f WHERE kind <> 'class'")
 def code_behaviour(spark, d):
-    return P.code_behaviour(facts(spark, d)).drop("number").withColumns({c: F.array_join(c, ",") for c in ("return_shapes", "raises")})
+    return P.code_behaviour(facts(spark, d, "declaration", "return", "raise", plain=("declaration",))).drop("number").withColumns({c: F.array_join(c, ",") for c in ("return_shapes", "raises")})
 
 
 @R.add(
@@ -152,20 +160,21 @@ def code_behaviour(spark, d):
 UNION ALL SELECT 'app/m' || k || '.py', CAST(before + 1 AS INT), 'python.syntax-error', 'medium' FROM pieces WHERE piece = {len(PIECES)} AND k % 11 = 10""",
 )
 def code_warnings(spark, d):
-    return P.code_warnings(facts(spark, d))
+    return P.code_warnings(code_facts(files(spark, d), ("import", "error")))
 
 
+_ROUTE_FACTS = ("declaration", "decorator", "assigned call")
 _ROUTES = _expected("route", "method, route, handler, models, response_model, status, dependencies")
 
 
 @R.add("web_routes", f"WITH {_ROUTES} SELECT path, method, {_put('route')} AS route, {_put('handler')} AS handler, models AS request_models, response_model, CAST(status AS INT) AS status, dependencies, line FROM f")
 def web_routes(spark, d):
-    return P.web_routes(facts(spark, d)).withColumns({c: F.array_join(c, ";") for c in ("request_models", "dependencies")})
+    return P.web_routes(facts(spark, d, *_ROUTE_FACTS)).withColumns({c: F.array_join(c, ";") for c in ("request_models", "dependencies")})
 
 
 @R.add("danger_calls", f"WITH {_expected('danger', 'rule_id, severity')} SELECT path, rule_id, severity, line FROM f")
 def danger_calls(spark, d):
-    return P.danger_calls(facts(spark, d))
+    return P.danger_calls(facts(spark, d, "call"))
 
 
 _CHANGES = "CASE WHEN k % 2 = 0 THEN 'response model changed' END, CASE WHEN k % 5 = 0 THEN 'status code changed' END, CASE WHEN k % 7 = 0 THEN 'dependencies changed' END"
@@ -174,11 +183,11 @@ _CHANGES = "CASE WHEN k % 2 = 0 THEN 'response model changed' END, CASE WHEN k %
 @R.add("route_diff_of_sources", f"WITH {_ROUTES} SELECT {_put('route')} AS path, method, 'modified' AS change, k % 2 = 0 OR k % 5 = 0 AS breaking, concat_ws('; ', {_CHANGES}) AS explanation FROM f WHERE method = 'POST' AND (k % 2 = 0 OR k % 5 = 0 OR k % 7 = 0)")
 def route_diff_of_sources(spark, d):
     """The routes of two versions of the sources, compared."""
-    before = table(spark, d, "part").selectExpr("p_partkey", f"concat('app/m', {_K}, '.py') AS path", f"{_text()} AS text")
+    before = parts(spark, d).selectExpr("p_partkey", f"concat('app/m', {_K}, '.py') AS path", f"{_text()} AS text")
     after = before.selectExpr("path", "replace(replace(replace(text, IF(p_partkey % 2 = 0, 'list[Item]', '\\0'), 'New'), IF(p_partkey % 5 = 0, 'status_code=201', '\\0'), 'status_code=202'), IF(p_partkey % 7 = 0, 'Depends(auth)', '\\0'), 'Depends(other)') AS text")
 
     def routes(df):
-        r = P.web_routes(code_facts(df))
+        r = P.web_routes(staged(code_facts(df, _ROUTE_FACTS), "facts"))
         return r.where("route <> '/a'").select("method", F.col("route").alias("path"), F.array_join("request_models", ";").alias("request"), F.col("response_model").alias("response"), "status", F.array_join("dependencies", ";").alias("depends"), F.col("line").alias("position"))
 
     return G.route_diff(routes(before), routes(after))

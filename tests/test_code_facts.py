@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from acceptlake.functions import pysource
 from acceptlake.operators import codefacts as C
+from acceptlake.plans import code_queries as Q
+
+SMOKE_DIR = "/root/testdata/sf0.001"
 
 SERVICE = '''
 import importlib
@@ -98,3 +101,21 @@ def test_python_analyzers_fail_alone(spark):
 
     rows = C.run_analyzers(files, [C.python_analyzer("mine", body)]).collect()
     assert sorted((r.first, r.seq, r.path, r.rule_id, r.line) for r in rows) == [(1, 5, "a", "lines", 2), (2, 2, "b", "analyzer.failed", None), (4, 4, "d", "analyzer.failed", None)]
+
+
+def test_wanted_facts_are_those_of_all(spark, facts):
+    """Kinds that are asked for are the same rows as among all facts; plain ones only lack their arguments and signatures."""
+    texts = [("app/service.py", SERVICE), ("api.py", ROUTES), ("pkg/__init__.py", SPREAD), ("broken.py", "def broken(:\n")]
+    for path, text in texts:
+        whole = list(pysource.facts_of(path, text))
+        for kind in pysource.KINDS:
+            assert list(pysource.facts_of(path, text, [kind])) == [r for r in whole if r[1] == kind]
+        bare = list(pysource.facts_of(path, text, pysource.KINDS, ["call", "declaration"]))
+        assert [r[:9] + r[10:12] for r in bare] == [r[:9] + r[10:12] for r in whole] and all(r[12] is None for r in bare if r[1] in ("call", "declaration"))
+    with pytest.raises(ValueError):
+        pysource.code_facts(spark.createDataFrame([], "path string, text string"), ["calls"])
+
+
+def test_one_file_of_parts_is_read_by_all_cores(spark):
+    for df in (Q.files(spark, SMOKE_DIR), Q.code_calls(spark, SMOKE_DIR)):
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
