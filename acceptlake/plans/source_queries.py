@@ -86,9 +86,9 @@ _ENTRY = """concat(CASE p_partkey % 6 WHEN 0 THEN '../' WHEN 1 THEN '/abs/' WHEN
 @R.add(
     "archive_inventory_audit",
     f"""WITH e AS (SELECT p_brand AS archive, p_partkey AS pos, {duck(_ENTRY)} AS path, p_size * 300000 AS size, p_partkey % 11 = 0 AS encrypted, p_partkey % 13 = 0 AS link FROM part),
-t AS (SELECT *, sum(size) OVER (PARTITION BY archive ORDER BY pos ROWS UNBOUNDED PRECEDING) AS total, count(*) OVER (PARTITION BY archive, lower(path)) AS same FROM e)
+t AS (SELECT *, sum(size) OVER (PARTITION BY archive ORDER BY pos ROWS UNBOUNDED PRECEDING) AS total, count(*) OVER (PARTITION BY archive, lower(path)) AS same, row_number() OVER (PARTITION BY archive ORDER BY pos) AS place FROM e)
 SELECT archive, pos, 'unsafe_path' AS code FROM t WHERE pos % 6 IN (0, 1) UNION ALL SELECT archive, pos, 'non_portable_name' FROM t WHERE pos % 6 = 2 UNION ALL SELECT archive, pos, 'duplicate_path' FROM t WHERE same > 1 UNION ALL SELECT archive, pos, 'special_file' FROM t WHERE link
-UNION ALL SELECT archive, pos, 'encrypted' FROM t WHERE encrypted UNION ALL SELECT archive, pos, 'entry_too_large' FROM t WHERE size > 10485760 UNION ALL SELECT archive, pos, 'total_too_large' FROM t WHERE total > 104857600""",
+UNION ALL SELECT archive, pos, 'encrypted' FROM t WHERE encrypted UNION ALL SELECT archive, pos, 'entry_too_large' FROM t WHERE size > 10485760 UNION ALL SELECT archive, pos, 'total_too_large' FROM t WHERE total > 104857600 UNION ALL SELECT archive, pos, 'too_many_entries' FROM t WHERE place > 10000""",
 )
 def archive_inventory_audit(spark, d):
     e = table(spark, d, "part").selectExpr("p_brand AS archive", "p_partkey AS pos", f"{_ENTRY} AS path", "CAST(p_size * 300000 AS BIGINT) AS size", "CAST(p_size * 100000 AS BIGINT) AS packed", "CASE WHEN p_partkey % 13 = 0 THEN 41471 ELSE 33188 END AS mode", "p_partkey % 11 = 0 AS encrypted")
