@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import textmatch as P
-from ..operators.bestmatch import top_scores
+from ..operators.bestmatch import pairs, top_scores
 from .base import Registry, duck, table
 from .security_queries import DOC_FILES
 
@@ -72,8 +72,7 @@ def tfidf(spark, d):
 
 
 def _near(spark, d):
-    w = _weights(spark, d)
-    return P.similarities(P.tfidf(P.tokenize(requirements(spark, d)), w), P.tfidf(P.tokenize(candidates(spark, d), P.candidate_text()), w))
+    return pairs(requirements(spark, d), candidates(spark, d), references=False)
 
 
 @R.add("cosine_join", f"WITH {BASE_SQL} SELECT requirement_id, candidate_id, round(cosine, 6) AS cosine FROM near")

@@ -84,3 +84,38 @@ def test_pairs_below_the_bound_are_not_made():
     some, score, _, made = block.best("R", np.array([0, 1]), np.array([0.1, 0.9]), 30, 0.3, 10)
     assert made == 10 and len(some) == 10 and (score > 0.3).all()
     assert block.best("R", np.array([0, 1]), np.array([0.1, 0.9]), 30, 0.0, 10)[3] == n
+
+
+def test_all_pairs_are_made_where_the_candidates_are(spark, monkeypatch):
+    """Pairs as by joining tokens, in rounds and small pieces; nothing behind the making of pairs deals them out again."""
+    requirements, candidates = evidence()
+    r = spark.createDataFrame(requirements, "id string, title string, text string")
+    c = spark.createDataFrame(candidates, "id string, kind string, text string, path string, symbol string")
+    both = r.select(F.concat(F.lit("r"), "id").alias("id"), "text").unionByName(c.select(F.concat(F.lit("c"), "id").alias("id"), "text"))
+    weights = textmatch.idf(textmatch.tokenize(both), both.count())
+    plain = textmatch.similarities(textmatch.tfidf(textmatch.tokenize(r), weights), textmatch.tfidf(textmatch.tokenize(c, textmatch.candidate_text()), weights))
+    of = lambda df: sorted((x.requirement_id, x.candidate_id, round(x.cosine, 9), round(x.overlap, 9)) for x in df.collect())
+    monkeypatch.setattr(bestmatch, "ROUND_TOKENS", 100)
+    monkeypatch.setattr(textmatch, "PIECE_ENTRIES", 50)
+    assert of(bestmatch.pairs(r, c, references=False)) == of(plain)
+    named = {(x.requirement_id, x.candidate_id) for x in bestmatch.pairs(r, c).where("explicit = 1").collect()}
+    assert named == {tuple(x) for x in textmatch.explicit_reference(r, c).collect()} and ("R90", "c17") in named
+    monkeypatch.undo()
+    plan = textmatch.requirement_scores(r, c)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_first_rows_of_a_task(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "c", "d"]), f"c{k}", rng.choice([0.0, 0.1, 0.2, 0.5])) for k in range(500)]
+    scores = spark.createDataFrame(rows, "requirement_id string, candidate_id string, score double").repartition(3)
+    monkeypatch.setattr(textmatch, "HEAD_ROWS", 40)
+    got = {(x.requirement_id, x.candidate_id, x.place) for x in textmatch.requirement_topk(scores, 30, 0.3).collect()}
+    expected = {(q, c, n) for q in "abcd" for n, (s, c) in enumerate(sorted((-s, c) for r, c, s in rows if r == q), 1) if n <= 30 and -s >= 0.18}
+    assert got == expected and textmatch._heads(scores, 5).count() <= 3 * 4 * 5
+
+
+def test_pieces_of_a_batch():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(6)), "t": [["a"] * n if n is not None else None for n in (3, 0, 9, None, 2, 2)]})
+    parts = list(textmatch.pieces(batch, "t", most=4))
+    assert [p["k"].to_pylist() for p in parts] == [[0, 1], [2], [3, 4, 5]] and not list(textmatch.pieces(batch.slice(0, 0), "t"))
