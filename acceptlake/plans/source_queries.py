@@ -161,7 +161,8 @@ def evidence_sink(spark, d):
         return {n: table(spark, d, t).selectExpr(f"CAST({k} AS BIGINT) AS k").repartition(parts).selectExpr("k AS zeta", "concat('key', k) AS api_key", body, "array(named_struct('y', k, 'x', concat('v', k))) AS list") for n, (t, k) in _EVIDENCE.items()}
 
     roots = [shared_folder(spark, "out") for _ in range(2)]
-    one, two = (P.evidence_sink(tables(n), root, (_SECRET,)) for n, root in zip((1, 5), roots, strict=True))
+    cores = spark.sparkContext.defaultParallelism
+    one, two = (P.evidence_sink(tables(n), root, (_SECRET,)) for n, root in zip((cores, cores + 5), roots, strict=True))
     same = one.join(two.withColumnsRenamed({"sha256": "other", "rows": "r", "size": "s"}), "name").where("size = s AND rows = r")
     lines = [spark.read.text(f"{roots[0]}/{n}").select(F.lit(n).alias("name"), "value") for n in _EVIDENCE]
     verdict = same.select("name", F.concat(F.when(F.col("sha256") == F.col("other"), "same digest, ").otherwise("other digest, "), "rows").alias("value"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from .staging import exists, publish
+from .staging import exists, publish, staged, unstage
 
 MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES, MAX_PATCH_BYTES = 20_000, 2_000_000, 100 << 20, 10 << 20
 # Path parts that are no source.
@@ -177,7 +177,9 @@ def evidence_sink(tables: dict[str, DataFrame], root: str, known: tuple[str, ...
         raise FileExistsError(f"{root} is there already")
     made, digests = f"{root.rstrip('/')}.{uuid.uuid4().hex}", []
     for name, df in tables.items():
-        canonical_json(redact_nested(df, known), name).sort("value").write.text(f"{made}/{name}")
+        lines = staged(canonical_json(redact_nested(df, known), name), "lines")  # a sort reads its input twice: to find its bounds, and to deal it
+        lines.sort("value").write.text(f"{made}/{name}")
+        unstage(lines)
     publish(spark, made, root)
     for name in tables:
         digests.append(lines_digest(spark.read.text(f"{root}/{name}")).select(F.lit(name).alias("name"), "rows", "size", "sha256"))
