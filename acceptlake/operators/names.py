@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of the names of an automaton and of the texts that it reads in a task.
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 
 
 def names_in(names: list[str], texts: list[str]) -> list[tuple[int, int]]:
