@@ -30,18 +30,18 @@ def event_stream(spark, d):
     return stream(spark, d, "events").selectExpr(*_EVENT)
 
 
-#: A batch for each part of the events, in no order of their times; an event long after all others ends the stream.
+#: A batch for each part of the events (a file for each core, or fewer), in no order of their times; an event long after all others ends the stream.
 _PARTS, _LATE = 3, "2000 days"
 
 
 def shuffled_stream(spark, d):
     """All events dealt into batches without regard to their times, then one that lets the watermark pass them all."""
-    root, rows = shared_folder(spark, "shuffled"), events(spark, d)
+    root, rows, files = shared_folder(spark, "shuffled"), events(spark, d), spark.sparkContext.defaultParallelism
     for part in range(_PARTS):
-        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(_PARTS)) == part).coalesce(1).write.parquet(f"{root}/{part}")
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(_PARTS)) == part).repartition(files).write.parquet(f"{root}/{part}")
     end = rows.agg(F.max("ts").alias("ts")).select(F.lit(None).cast(rows.schema["run_id"].dataType).alias("run_id"), F.lit(-1).cast(rows.schema["event_id"].dataType).alias("event_id"), F.lit("end").alias("stage"), F.lit("queued").alias("status"), (F.col("ts") + F.expr("INTERVAL 9000 DAYS")).alias("ts"), F.lit(0).cast(rows.schema["value"].dataType).alias("value"))
     end.coalesce(1).write.parquet(f"{root}/end")
-    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(root)
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(root)
 
 
 EVENTS_SQL = f"e AS (SELECT user_id AS run_id, event_id, {duck(_STAGE)} AS stage, {_STATUS} AS status, ts, value FROM events)"

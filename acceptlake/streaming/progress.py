@@ -72,9 +72,7 @@ class _Pairing(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [r for part in rows for r in zip(part["us"].tolist(), part["event_id"].tolist(), part["status"].tolist(), strict=True)]
         self.waiting.appendList(new)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self._wake([r[0] for r in self.waiting.get()])
+        self._wake([r[0] for r in new])  # what waits already has its own timer
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -82,7 +80,7 @@ class _Pairing(StatefulProcessor):
         rows = sorted(tuple(r) for r in self.waiting.get())
         due = [r for r in rows if r[0] // 1000 < passed]
         rest = rows[len(due) :]
-        start = self.start.get()[0] if self.start.exists() else None
+        before = start = self.start.get()[0] if self.start.exists() else None
         out = []
         for us, event_id, status in due:
             if status in ("completed", "failed"):
@@ -92,12 +90,13 @@ class _Pairing(StatefulProcessor):
                 start = us
         if start is not None and not rest and start // 1000 + self.keep_ms <= passed:
             start = None
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-        if start is None:
+        if due:  # of several timers that are due the first finds all rows
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        if start is None and before is not None:
             self.start.clear()
-        else:
+        elif start != before:
             self.start.update((start,))
         if rest:
             self._wake([r[0] for r in rest])
