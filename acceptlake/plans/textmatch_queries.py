@@ -57,8 +57,7 @@ def tokenize(spark, d):
 
 def _weights(spark, d):
     r, c = requirements(spark, d), candidates(spark, d)
-    counts = P.tokenize(r.select(F.concat(F.lit("r"), "id").alias("id"), "text").unionByName(c.select(F.concat(F.lit("c"), "id").alias("id"), "text")))
-    return P.idf(counts, r.count() + c.count())
+    return P.idf_of_texts(r.select("text").unionByName(c.select("text")), r.count() + c.count())
 
 
 @R.add("idf", f"WITH {BASE_SQL} SELECT token, round(idf, 6) AS idf FROM idf")

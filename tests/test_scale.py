@@ -143,3 +143,16 @@ def test_tokens_are_counted_from_bytes(spark, monkeypatch):
     plan = textmatch.tokenize(df, F.col("own"))._jdf.queryExecution().executedPlan().toString()
     assert "lower" in plan and "regexp_extract_all" not in plan and "lambda" not in plan
     assert textmatch.counted(df.where("own is null and rest is null")).count() == textmatch.counted(df.limit(0)).count() == 0
+
+
+def test_frequencies_are_summed_in_the_task(spark, monkeypatch):
+    texts = spark.createDataFrame(list(enumerate(odd_texts())), "id long, text string").coalesce(2)
+    of = lambda df: sorted((x.token, round(x.idf, 12)) for x in df.collect())
+    plain = of(textmatch.idf(textmatch.tokenize(texts), 400))
+    monkeypatch.setattr(textmatch, "PIECE_BYTES", 60)
+    for held in (3, 40, 1_000_000):
+        monkeypatch.setattr(textmatch, "HELD_TOKENS", held)
+        assert of(textmatch.idf_of_texts(texts, 400)) == plain
+    assert textmatch.frequencies(texts).count() <= 2 * len(plain) and textmatch.frequencies(texts.limit(0)).count() == 0
+    same = spark.range(0, 500, 1, 1).select(F.lit("one two two three").alias("text"))
+    assert sorted(map(tuple, textmatch.frequencies(same).collect())) == [("one", 500), ("three", 500), ("two", 500)]
